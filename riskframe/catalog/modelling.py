@@ -48,7 +48,7 @@ def _untimed(folds):
 
 @query("logistic_cross_validation")
 def logistic_cross_validation(spark, sf):
-    return _untimed(cross_validate(LOGISTIC, training(spark, sf), ROLES))
+    return _untimed(cross_validate(LOGISTIC, training(spark, sf), ROLES, parallelism=5))
 
 
 @query("candidate_comparison")
@@ -63,7 +63,7 @@ def candidate_comparison(spark, sf):
 @query("out_of_fold_coverage", "WITH " + TX + """, s AS (SELECT label, count(*) AS n, (sum(count(*)) OVER (ORDER BY label) - count(*))::BIGINT AS first FROM tx GROUP BY label)
 SELECT label, (f + 1)::INTEGER AS fold, ((first + n - f + 4) // 5 - (first - f + 4) // 5)::BIGINT AS n_rows FROM s CROSS JOIN range(5) r(f)""")
 def out_of_fold_coverage(spark, sf):
-    scores = oof_scores(LOGISTIC, training(spark, sf), ROLES)
+    scores = oof_scores(LOGISTIC, training(spark, sf), ROLES, parallelism=5)
     return scores.filter("score between 0 and 1").groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
 
 

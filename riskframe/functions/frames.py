@@ -32,6 +32,15 @@ def bounded_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """At least one partition per core for work that computes much per row.
+
+    Large inputs come in more partitions than that and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def explode_count(df: DataFrame, count: str, name: str, keys: Sequence[str], chunk: int = 100_000, spread: bool = True) -> DataFrame:
     """One row per number 1..count; a large count is first cut into chunks over the tasks."""
     n, one, step = F.col(count).cast("bigint"), F.lit(1).cast("bigint"), F.lit(chunk).cast("bigint")

@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import cut_lineage
+from ..functions.frames import cut_lineage, spread
 from ..functions.hashing import uniform
 from ..schema import FEATURE_COLS, LABEL_COL, SEED
 from .features import balanced_weight, lr_preprocess, tree_preprocess
@@ -186,7 +186,7 @@ def _fit_bagged(spec: Candidate, prepared: PipelineModel, rows: DataFrame, colum
 def fit(spec: Candidate, train: DataFrame, columns: Columns):
     """Fit a candidate on training rows; statistics, weights and synthetic rows come from them only."""
     prepared = preprocess_for(spec, columns).fit(train)
-    rows = prepared.transform(train.select(columns.key, columns.label, *columns.features))
+    rows = prepared.transform(spread(train.select(columns.key, columns.label, *columns.features), [columns.key]))
     rows = rows.select(columns.key, columns.label, "features")
     weight = None
     if spec.strategy == SUBSAMPLE:
@@ -199,7 +199,7 @@ def fit(spec: Candidate, train: DataFrame, columns: Columns):
     elif spec.strategy == SMOTE:
         arrays = rows.withColumn("features", vector_to_array("features"))
         made = smote(arrays, columns.label, columns.key, "features")
-        rows = cut_lineage(made.select(columns.label, array_to_vector("features").alias("features")))
+        rows = cut_lineage(spread(made.select(columns.key, columns.label, array_to_vector("features").alias("features")), [columns.key]))
     elif spec.strategy != ORIGINAL:
         raise ValueError(f"Unknown strategy: {spec.strategy}")
     total = float(rows.count()) if spec.model == LR else 0.0

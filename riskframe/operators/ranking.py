@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import bounded_side, cut_lineage, join_on
 
-ROWS_PER_BUCKET = 250_000
+ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 20_000
 
 
