@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.frames import cut_lineage
+from ..functions.frames import cut_lineage, shared_folder
 from ..operators import explain as E
 from ..operators import metrics as M
 from ..operators.models import BALANCED, DT, LR, RF, SMOTE, SUBSAMPLE, Candidate, Columns, candidate_table, candidates, fit, params_table, predict
@@ -38,8 +38,7 @@ def training(spark, sf):
 
 
 def _folder(spark) -> str:
-    cut_lineage(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/riskframe-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def _untimed(folds):

@@ -3,28 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store a frame that is read several times, in the cluster's checkpoint folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for stored intermediate tables, reachable from every executor."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared:
-            context.setCheckpointDir(shared)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="riskframe-"))
-        else:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach")
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="riskframe-"))
+        folder = context.getCheckpointDir()
+    return f"{folder}/riskframe"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Store a frame that is read several times as a table in the cluster's shared folder.
+
+    A lost executor costs no recomputation, later reads take only the columns they need, and
+    the table's size lets Spark choose its joins.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
