@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import bounded_side, cut_lineage, join_on
 from ..functions.hashing import hash_token
+from .quality import attach_group_facts
 
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 4096
@@ -34,28 +35,51 @@ def nearest_neighbours(
     """
     kind = df.schema[key].dataType.simpleString()
     points = cut_lineage(df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x")))
-    total = points.count()
-    pivots = min(max_pivots, max(1, math.ceil(total / block_rows)))
-    chosen = points.withColumn("token", hash_token(["id"], f"{seed}/pivots")).orderBy("token").limit(pivots)
-    centres = np.array([r["x"] for r in chosen.select("x").collect()], dtype=float)
+    # Copies of a point share their answer, and no answer needs more than k + 1 of them.
+    places = cut_lineage(points.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")))
+    total = places.count()
     if total == 0:
         return df.sparkSession.createDataFrame([], f"{key} {kind}, rank int, neighbour {kind}, distance double")
-    celled = cut_lineage(_with_cell(points, centres, kind))
+    pivots = min(max_pivots, math.ceil(total / block_rows))
+    chosen = places.withColumn("token", hash_token(["id"], f"{seed}/pivots")).orderBy("token").limit(pivots)
+    centres = np.array([r["x"] for r in chosen.select("x").collect()], dtype=float)
+    celled = cut_lineage(_with_cell(_lowest_copies(points, k + 1, kind), centres, kind))
     cells = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("reach").alias("radius"))
     cells = cut_lineage(cells.withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("int")))
 
-    own = celled.select("id", "x", "cell", F.lit(float("inf")).alias("limit"))
-    first = cut_lineage(_visit(own, celled, cells, k, kind, block_rows))
-    if pivots == 1:
-        return _nearest(first, k).withColumnRenamed("id", key)
-    limits = first.groupBy("id").agg(F.count(F.lit(1)).alias("found"), F.max("distance").alias("far"))
-    limited = join_on(celled, limits, ["id"], "left").select(
-        "id", "x", "cell", F.when(F.col("found") >= k, F.col("far")).otherwise(F.lit(float("inf"))).alias("limit")
+    asking = cut_lineage(_with_cell(places.select("id", "x"), centres, kind))
+    own = asking.select("id", "x", "cell", F.lit(float("inf")).alias("limit"))
+    found = cut_lineage(_visit(own, celled, cells, k + 1, kind, block_rows))
+    if pivots > 1:
+        limits = found.groupBy("id").agg(F.count(F.lit(1)).alias("found"), F.sort_array(F.collect_list("distance")).alias("far"))
+        reach = F.when(F.col("found") > k, F.get("far", F.lit(k))).otherwise(F.lit(float("inf")))
+        limited = join_on(asking, limits, ["id"], "left").select("id", "x", "cell", F.coalesce(reach, F.lit(float("inf"))).alias("limit"))
+        radius = {r["cell"]: r["radius"] for r in cells.select("cell", "radius").collect()}
+        outward = _other_cells(limited, centres, radius, kind)
+        found = found.unionByName(_visit(outward, celled, cells, k + 1, kind, block_rows))
+    answers = _nearest(found, k + 1).groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "neighbour", "distance"))).alias("near")
     )
-    radius = {r["cell"]: r["radius"] for r in cells.select("cell", "radius").collect()}
-    outward = _other_cells(limited, centres, radius, kind)
-    second = _visit(outward, celled, cells, k, kind, block_rows)
-    return _nearest(first.unionByName(second), k).withColumnRenamed("id", key)
+    known = join_on(places, answers, ["id"]).select("x", "n", "near")
+    rows = attach_group_facts(points, known, ["x"], "inner")
+    others = F.slice(F.filter("near", lambda s: s["neighbour"] != F.col("id")), 1, k)
+    listed = rows.withColumn("others", others).select("id", F.posexplode("others").alias("at", "hit"))
+    return listed.select(F.col("id").alias(key), (F.col("at") + 1).alias("rank"), "hit.neighbour", "hit.distance")
+
+
+def _lowest_copies(points: DataFrame, most: int, kind: str) -> DataFrame:
+    """At most ``most`` rows per distinct vector, those of lowest id; thinned before the shuffle."""
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                batch = batch.sort_values("id", kind="stable")
+                _, place = np.unique(np.stack(batch["x"]) + 0.0, axis=0, return_inverse=True)
+                yield batch[pd.Series(place.ravel()).groupby(place.ravel()).cumcount().to_numpy() < most]
+
+    order = Window.partitionBy("x").orderBy("id")
+    thinned = points.mapInPandas(thin, f"id {kind}, x array<double>").withColumn("copy", F.row_number().over(order))
+    return thinned.filter(F.col("copy") <= most).drop("copy")
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -124,7 +148,6 @@ def _visit(visits: DataFrame, celled: DataFrame, cells: DataFrame, k: int, kind:
         for at in range(0, len(asking), 512):
             part = asking.iloc[at:at + 512]
             away = _distances(np.stack(part["x"]), points)
-            away[part["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
             near = np.argsort(away, axis=1, kind="stable")[:, :k]
             rows = np.repeat(np.arange(len(part)), near.shape[1])
             found = away[rows, near.ravel()]

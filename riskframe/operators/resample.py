@@ -11,6 +11,7 @@ from ..functions.frames import cut_lineage, explode_count
 from ..functions.hashing import hash_token, hex_number, uniform
 from ..schema import SEED
 from .neighbours import BLOCK_ROWS, nearest_neighbours
+from .quality import attach_group_facts
 from .sampling import class_sizes, hash_segments
 
 CHUNK = 100_000
@@ -42,9 +43,11 @@ def smote(
     dealt = hash_segments(base, label, {minority: [extra, few - extra]}, [key], f"{seed}/smote", "__part")
     counted = dealt.withColumn("__draws", F.lit(each) + F.when(F.col("__part") == 0, 1).otherwise(0))
 
-    near = nearest_neighbours(base, key, vector, k, seed, block_rows)
+    near = cut_lineage(nearest_neighbours(base, key, vector, k, seed, block_rows))
     ends = base.select(F.col(key).alias("neighbour"), F.col(vector).alias("__end"))
-    lines = near.join(ends, "neighbour").groupBy(key).agg(
+    # One row may be the neighbour of very many.
+    sought = near.groupBy("neighbour").agg(F.count(F.lit(1)).alias("n")).join(ends, "neighbour")
+    lines = attach_group_facts(near, sought, ["neighbour"], "inner").groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("rank", "__end"))).alias("__ends")
     )
     # The k end points travel with their row, so the new rows are written without a shuffle.
