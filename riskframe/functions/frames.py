@@ -70,6 +70,12 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def one_row(*facts: DataFrame) -> DataFrame:
+    """Several one-row frames with distinct columns as one row."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), facts)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def explode_features(df: DataFrame, names: Sequence[str], carried: Sequence[str]) -> DataFrame:
     """Arrays ``x`` and ``phi`` to one row per feature: feature, value, contribution."""
     cells = F.array(*[

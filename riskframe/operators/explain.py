@@ -21,7 +21,6 @@ from ..functions.hashing import hash_token, hex_number
 from ..functions.values import direction
 from ..schema import SEED
 from .features import feature_names, transform_only
-from .joins import cohort_join
 from .models import BaggedForest, predict
 from .quantiles import exact_quantiles
 from .sampling import sample_exact
@@ -158,8 +157,10 @@ def global_importance(contributions: DataFrame) -> DataFrame:
 def cohort_importance(contributions: DataFrame, label: str, names: tuple[str, str] = ("fraud", "legitimate")) -> DataFrame:
     """Importance of positives and negatives side by side."""
     both = importance(contributions, [label])
-    parts = [both.filter(F.col(label) == code).drop(label) for code in (1, 0)]
-    return cohort_join(*parts, "feature", names)
+    return both.groupBy("feature").agg(*[
+        F.max(F.when(F.col(label) == code, F.col(c))).alias(f"{name}_{c}")
+        for code, name in zip((1, 0), names, strict=True) for c in ("mean_absolute", "mean_signed")
+    ])
 
 
 def top_contributions(contributions: DataFrame, n: int, key: Sequence[str]) -> DataFrame:

@@ -141,9 +141,13 @@ def transform_only(model: PipelineModel, df: DataFrame) -> DataFrame:
 def class_weights(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Balanced weights: rows / (classes * rows of the class)."""
     counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes"))
-    joined = join_on(counts, totals, by) if by else counts.withColumn("__one", F.lit(1)).join(
-        totals.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    if by:
+        totals = counts.groupBy(*by).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes"))
+        joined = join_on(counts, totals, by)
+    else:
+        joined = counts.withColumns({
+            "total": counts.agg(F.sum("n")).scalar(), "classes": counts.agg(F.count(F.lit(1))).scalar()
+        })
     weight = F.col("total").cast("double") / (F.col("classes") * F.col("n"))
     return joined.select(*by, label, "n", weight.alias("weight"))
 

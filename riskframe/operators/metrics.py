@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import join_on
+from ..functions.frames import join_on, one_row
 from ..functions.values import grid, round_to, safe_div
 from ..schema import GRID_START, GRID_STEP, GRID_STOP
 from .ranking import ROWS_PER_BUCKET, prefix_sums
@@ -278,16 +278,14 @@ def classification_metrics(
     ranks = ranking_metrics(df, label, score, by)
     if by:
         return join_on(points, ranks, by)
-    both = points.withColumn("__one", F.lit(1)).join(ranks.withColumn("__one", F.lit(1)), "__one")
-    return both.drop("__one")
+    return one_row(points, ranks)
 
 
 def compute_metrics(
     df: DataFrame, model: str, label: str = "label", predicted: str = "predicted", score: str = "score"
 ) -> DataFrame:
     """One rounded row for a comparison table."""
-    points = point_metrics(df, label, predicted).withColumn("__one", F.lit(1))
-    both = points.join(ranking_metrics(df, label, score).withColumn("__one", F.lit(1)), "__one")
+    both = one_row(point_metrics(df, label, predicted), ranking_metrics(df, label, score))
     return both.select(F.lit(model).alias("model"), *[round_to(m, 4).alias(m) for m in CV_METRICS])
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import one_row
 from .columns import coerce_numeric, quarantine, quoted, require_binary, validate_frame
 from .metrics import average_precision, classify, point_metrics
 from .models import predict
@@ -43,9 +44,8 @@ def score_upload(
 def evaluate_labelled(df: DataFrame, label: str, score: str = "fraud_probability", predicted: str = "predicted_class") -> DataFrame:
     """Precision, recall, F1, PR-AUC and confusion counts of a labelled, scored table."""
     rows = require_binary(df, label)
-    points = point_metrics(rows, label, predicted).withColumn("__one", F.lit(1))
-    ranks = average_precision(rows, label, score).withColumn("__one", F.lit(1))
-    return points.join(ranks, "__one").select("precision", "recall", "f1", "pr_auc", "tn", "fp", "fn", "tp")
+    both = one_row(point_metrics(rows, label, predicted), average_precision(rows, label, score))
+    return both.select("precision", "recall", "f1", "pr_auc", "tn", "fp", "fn", "tp")
 
 
 def score_summary(valid: DataFrame, rejected: DataFrame, predicted: str = "predicted_class") -> DataFrame:
