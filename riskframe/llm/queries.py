@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, token_counts
+from pyspark.sql import functions as F
+
+from . import mixing, simhash, token_counts
 from .common import table
 from .registry import query
 
@@ -28,3 +30,9 @@ counted AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, len(list_filte
 SELECT doc_id, text, lang, source, n_chars, unnest(range(1, n + 1))::INTEGER AS copy FROM counted WHERE n > 0""")
 def op10(spark, sf):
     return mixing.mix_sources(table(spark, sf, "documents"))
+
+
+@query("op7_simhash")
+def op7(spark, sf):
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
