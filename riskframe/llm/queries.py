@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, token_counts
-from .common import table
+from . import language, line_dedup, mixing, simhash, token_counts
+from .common import remainder, table
 from .registry import query
 
 
@@ -36,3 +36,33 @@ def op10(spark, sf):
 def op7(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op4_language")
+def op4(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    found = language.identify(docs.select("doc_id", "text"), docs.filter(remainder("doc_id", 3) != 1))
+    return found.select("doc_id", held_out.alias("held_out"), "__language.*")
+
+
+@query("op5_line_dedup", """
+WITH lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+counted AS (SELECT doc_id, pos, trim(line, ' ') AS line, len(regexp_split_to_array(trim(line, ' '), '[ \\t]+')) AS w
+  FROM lines WHERE trim(line, ' ') <> ''),
+placed AS (SELECT *, (sum(w) OVER (PARTITION BY doc_id ORDER BY pos))::BIGINT AS e FROM counted),
+spans AS (SELECT doc_id, pos AS a, max(pos) OVER f AS b, list(line) OVER f AS content, max(e) OVER f - (e - w) AS words
+  FROM (SELECT *, e - w AS s FROM placed) WINDOW f AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION SELECT doc_id, min(pos) OVER g, pos, list(line) OVER g, e - min(e - w) OVER g
+  FROM placed WINDOW g AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+ranked AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY content ORDER BY doc_id, a) AS k FROM spans WHERE words >= 50),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS pos FROM ranked WHERE k > 1),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM lines ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines, coalesce(n.n, 0)::BIGINT AS n_removed,
+  CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN kept k USING (doc_id)""")
+def op5(spark, sf):
+    found = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), "text")
