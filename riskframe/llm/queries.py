@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, mixing, simhash, token_counts
+from . import language, line_dedup, mixing, simhash, token_counts, url_filter
 from .common import remainder, table
 from .registry import query
 
@@ -66,3 +66,35 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN kept k USING (doc_id)""")
 def op5(spark, sf):
     found = line_dedup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), "text")
+
+
+# The model of every order, its ratios and the cut, as in the operator; differences are compared rounded.
+@query("op9_url_filter", """
+WITH split AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(rule, own, start, kind) AS (VALUES ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+  ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+ruled AS (SELECT s.*, r.rule, r.kind FROM split s LEFT JOIN (
+    SELECT s.page_id, max_by(rule, length(rule)) AS rule, max_by(kind, length(rule)) AS kind FROM split s JOIN rules
+    ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start) GROUP BY s.page_id) r USING (page_id)),
+sym AS (SELECT *, regexp_replace(translate(lower(coalesce(url, '')), '123456789', '000000000'), '[^a-z0/.\\-_?=&#:%+,@]', '~', 'g') AS y FROM ruled),
+cells AS (SELECT page_id, kind, unnest(list_transform(range(1, length(y) + 1), lambda i: substr('^^^' || y, i, 4))) AS gram FROM sym),
+g AS (SELECT gram, count(*) FILTER (WHERE kind = 'allow') AS a, count(*) FILTER (WHERE kind = 'block') AS b FROM cells GROUP BY gram),
+p0 AS (SELECT *, (sum(a) OVER (PARTITION BY right(gram, 1)) + 4.0::DOUBLE / 41) / (sum(a) OVER () + 4) AS pa,
+  (sum(b) OVER (PARTITION BY right(gram, 1)) + 4.0::DOUBLE / 41) / (sum(b) OVER () + 4) AS pb FROM g),
+p1 AS (SELECT * REPLACE ((sum(a) OVER (PARTITION BY right(gram, 2)) + 4 * pa) / (sum(a) OVER (PARTITION BY left(right(gram, 2), 1)) + 4) AS pa,
+  (sum(b) OVER (PARTITION BY right(gram, 2)) + 4 * pb) / (sum(b) OVER (PARTITION BY left(right(gram, 2), 1)) + 4) AS pb) FROM p0),
+p2 AS (SELECT * REPLACE ((sum(a) OVER (PARTITION BY right(gram, 3)) + 4 * pa) / (sum(a) OVER (PARTITION BY left(right(gram, 3), 2)) + 4) AS pa,
+  (sum(b) OVER (PARTITION BY right(gram, 3)) + 4 * pb) / (sum(b) OVER (PARTITION BY left(right(gram, 3), 2)) + 4) AS pb) FROM p1),
+p3 AS (SELECT gram, ln((a + 4 * pa) / (sum(a) OVER (PARTITION BY left(gram, 3)) + 4)) - ln((b + 4 * pb) / (sum(b) OVER (PARTITION BY left(gram, 3)) + 4)) AS llr FROM p2),
+scored AS (SELECT page_id, avg(llr) AS difference FROM cells JOIN p3 USING (gram) GROUP BY page_id),
+m AS (SELECT avg(difference) FILTER (WHERE kind = 'allow') AS ma, avg(difference) FILTER (WHERE kind = 'block') AS mb,
+  coalesce(stddev_pop(difference) FILTER (WHERE kind = 'allow'), 0) + 1e-6 AS sa, coalesce(stddev_pop(difference) FILTER (WHERE kind = 'block'), 0) + 1e-6 AS sb
+  FROM ruled JOIN scored USING (page_id)),
+cut AS (SELECT (ma * sb + mb * sa) / (sa + sb) AS cut FROM m)
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.kind, CASE WHEN cut IS NULL OR coalesce(difference, 0) >= cut THEN 'allow' ELSE 'block' END) AS verdict,
+  round(CASE WHEN cut IS NULL THEN 0 ELSE coalesce(difference, 0) END, 6) AS difference
+FROM ruled r LEFT JOIN scored USING (page_id) CROSS JOIN cut""")
+def op9(spark, sf):
+    found = url_filter.judge(table(spark, sf, "pages").select("page_id", "url"))
+    return found.select("page_id", "host", "path", "rule", "verdict", F.round("difference", 6).alias("difference"))
