@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, line_dedup, mixing, simhash, token_counts, url_filter
+from . import decontaminate, language, line_dedup, mixing, simhash, token_counts, url_filter
 from .common import remainder, table
 from .registry import query
 
@@ -98,3 +98,8 @@ FROM ruled r LEFT JOIN scored USING (page_id) CROSS JOIN cut""")
 def op9(spark, sf):
     found = url_filter.judge(table(spark, sf, "pages").select("page_id", "url"))
     return found.select("page_id", "host", "path", "rule", "verdict", F.round("difference", 6).alias("difference"))
+
+
+@query("op3_decontaminate")
+def op3(spark, sf):
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("__text")
