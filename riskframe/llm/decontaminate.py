@@ -2,9 +2,11 @@
 
 Words lose case and outer punctuation; numbers, units after numbers, and names (capitalised words
 that do not open a sentence; neighbours form one name) become typed placeholders. Windows of five
-template words are hash-joined with those of the benchmark. A document holds an item if it has at
-least 80 % of the item's windows. Then the slots are compared: in a copy or a re-parameterised
-question the item's value for a slot always turns into the same value of the document.
+template words are hash-joined with those of the benchmark. As case may be lost in a copy, every
+text is also cut with its names as plain words. A document holds an item if it has at least 80 %
+of the item's windows in one form or the other. Then the slots are compared: in a copy or a
+re-parameterised question the item's value for a slot always turns into the same value of the
+document.
 
 An item with n windows must share one of its n - ceil(0.8 n) + 1 rarest, so only those look for
 candidates; passages that many items share join nothing by themselves. Documents' windows pass a
@@ -76,11 +78,11 @@ class Templates:
         self.hash.append(self.digest(low))
         self.kind.append(kind)
         self.ends.append(word.rstrip("\"')]}»”")[-1:] in (".", "!", "?", ":", ";"))
-        self.capital.append(core[:1].isupper())
+        self.capital.append(core[:1].isupper() and core != core.upper())
         return i
 
     def windows(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        """text number, position, hash, slot kinds (window x width) and slot values of every window."""
+        """text number, position, hash, slot kinds (window x width), slot values, and whether it starts inside a name."""
         if len(self.hash) > KNOWN_WORDS:
             self.forget()
         ids, sizes = [], []
@@ -100,28 +102,30 @@ class Templates:
         kind = np.where((kind == LITERAL) & capital & ~opens, NAME, kind)
         keep = kind != NOTHING
         value, kind, doc = value[keep], kind[keep], doc[keep]
-        if not value.size:
-            return tuple(np.empty(0, np.int64) for _ in range(3)) + (np.empty((0, self.width), np.int8), np.empty((0, self.width), np.int64))
-        same = np.concatenate(([False], doc[1:] == doc[:-1]))
-        after = np.concatenate(([NOTHING], kind[:-1]))
-        kind = np.where((kind == UNIT) & ~(same & (after == NUMBER)), LITERAL, kind)
-        goes_on = same & (kind == NAME) & (np.concatenate(([NOTHING], kind[:-1])) == NAME)
+        first = np.searchsorted(doc, np.arange(len(sizes)))
+        same = np.concatenate(([False], doc[1:] == doc[:-1]))[: doc.size]
+        before = np.concatenate(([NOTHING], kind[:-1]))[: doc.size]
+        kind = np.where((kind == UNIT) & ~(same & (before == NUMBER)), LITERAL, kind)
+        goes_on = same & (kind == NAME) & (before == NAME)
+        plain = self.cut(value, np.where(kind == NAME, LITERAL, kind), doc, np.arange(doc.size))
         starts = np.flatnonzero(~goes_on)
-        place = np.arange(value.size) - np.repeat(starts, np.diff(np.concatenate((starts, [value.size]))))
+        place = np.arange(doc.size) - np.repeat(starts, np.diff(np.concatenate((starts, [doc.size]))))
         with np.errstate(over="ignore"):
-            value = np.add.reduceat(value * (2 * place.astype(np.uint64) + np.uint64(1)), starts)
-        kind, doc = kind[starts], doc[starts]
+            value = np.add.reduceat(value * (2 * place.astype(np.uint64) + np.uint64(1)), starts) if starts.size else value
+        named = self.cut(value, kind[starts], doc[starts], starts)
+        chosen = (named[3] == NAME).any(axis=1)
+        doc, at, h, kinds, slots = (np.concatenate((a, b[chosen])) for a, b in zip(plain, named))
+        return doc, at - first[doc], h, kinds, slots, goes_on[at]
+
+    def cut(self, value: np.ndarray, kind: np.ndarray, doc: np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, ...]:
         n, w = value.size, self.width
-        if n < w:
-            return tuple(np.empty(0, np.int64) for _ in range(3)) + (np.empty((0, w), np.int8), np.empty((0, w), np.int64))
-        whole = np.flatnonzero(doc[: n - w + 1] == doc[w - 1 :])
+        whole = np.flatnonzero(doc[: max(n - w + 1, 0)] == doc[w - 1 :])
         template = np.where(kind == LITERAL, value, self.typed[kind])
         literals = np.concatenate(([0], np.cumsum(kind == LITERAL)))
-        few = (literals[w:] - literals[:-w])[whole] < self.min_literals
+        few = literals[whole + w] - literals[whole] < self.min_literals
         h = np.where(few, self.roll(value, whole) ^ np.uint64(0x9E3779B97F4A7C15), self.roll(template, whole))
-        docs_first = np.searchsorted(doc, np.arange(len(sizes)))
         at = whole[:, None] + np.arange(w)
-        return doc[whole], whole - docs_first[doc[whole]], h.view(np.int64), kind[at].astype(np.int8), value[at].view(np.int64)
+        return doc[whole], origin[whole], h.view(np.int64), kind[at].astype(np.int8), value[at].view(np.int64)
 
     def roll(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -152,18 +156,18 @@ def _key_type(df: DataFrame, key: str) -> str:
 
 
 def template_windows(df: DataFrame, key: str, text: str, width: int, bitmap=None) -> DataFrame:
-    """key, __text, pos, h, kinds, slots per window; with a bitmap only the windows it knows."""
+    """key, __text, pos, h, kinds, slots, inside (a name) per window; with a bitmap only the windows it knows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(width)
         bits = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
         for batch in batches:
             for rows in _rows(batch):
-                doc, pos, h, kinds, slots = templates.windows([r[2] for r in rows])
+                doc, pos, h, kinds, slots, inside = templates.windows([r[2] for r in rows])
                 if bits is not None and h.size:
                     i = h.view(np.uint64) % np.uint64(bits.size * 8)
                     known = (bits[i >> np.uint64(3)] >> (i & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    doc, pos, h, kinds, slots = doc[known], pos[known], h[known], kinds[known], slots[known]
+                    doc, pos, h, kinds, slots, inside = (x[known] for x in (doc, pos, h, kinds, slots, inside))
                 if not h.size:
                     continue
                 offsets = np.arange(0, h.size * width + 1, width, dtype=np.int32)
@@ -171,9 +175,10 @@ def template_windows(df: DataFrame, key: str, text: str, width: int, bitmap=None
                     pa.array([rows[i][0] for i in doc], batch.column(0).type), pa.array([rows[i][1] for i in doc], pa.int64()),
                     pa.array(pos, pa.int64()), pa.array(h, pa.int64()),
                     pa.ListArray.from_arrays(offsets, kinds.ravel()), pa.ListArray.from_arrays(offsets, slots.ravel()),
-                ], names=[key, "__text", "pos", "h", "kinds", "slots"])
+                    pa.array(inside),
+                ], names=[key, "__text", "pos", "h", "kinds", "slots", "inside"])
 
-    schema = f"`{key}` {_key_type(df, key)}, __text long, pos long, h long, kinds array<tinyint>, slots array<long>"
+    schema = f"`{key}` {_key_type(df, key)}, __text long, pos long, h long, kinds array<tinyint>, slots array<long>, inside boolean"
     return df.select(key, text_hash(text).alias("__text"), text).mapInArrow(cut, schema)
 
 
@@ -193,18 +198,21 @@ def hash_bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> bytes:
 
 
 def benchmark_items(benchmark: DataFrame, key: str = "item_id", text: str = "text", width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
-    """item_id, size (windows), pos, h, kinds, slots, rare (looks for candidates); one item per template."""
-    found = cut_lineage(template_windows(benchmark, key, text, width).withColumnRenamed(key, "item_id"))
+    """item_id, size (places of windows), pos, h, slots, rare (looks for candidates); one item per template."""
+    found = template_windows(benchmark, key, text, width).withColumnRenamed(key, "item_id").filter("NOT inside").drop("inside")
+    found = cut_lineage(found.dropDuplicates(["item_id", "__text", "pos", "h"]))
     shape = found.groupBy("item_id", "__text").agg(F.xxhash64(F.array_sort(F.collect_set(F.struct("pos", "h")))).alias("shape"))
     chosen = shape.groupBy("shape").agg(F.min(F.struct(F.col("item_id").isNull().alias("n"), "item_id", "__text")).alias("k"))
     chosen = chosen.select("k.item_id", "k.__text")
-    own = null_safe(found, chosen, ["item_id", "__text"], "left_semi").dropDuplicates(["item_id", "__text", "pos"])
+    own = null_safe(found, chosen, ["item_id", "__text"], "left_semi")
     common = own.groupBy("h").agg(F.count_distinct("item_id", "__text").alias("items"))
-    item = Window.partitionBy("item_id", "__text")
-    own = own.join(common, "h").withColumn("size", F.count(F.lit(1)).over(item))
-    rank = F.row_number().over(item.orderBy("items", "h", "pos"))
+    item = ["item_id", "__text"]
+    own = own.join(common, "h").drop("kinds")
+    places = own.groupBy(*item, "pos").agg(F.max("items").alias("items"))
+    places = places.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*item)))
+    rank = F.row_number().over(Window.partitionBy(*item).orderBy("items", "pos"))
     need = F.ceil(F.col("size") * coverage - 1e-9)
-    return own.withColumn("rare", rank <= F.col("size") - need + 1).drop("items")
+    return null_safe(own.drop("items"), places.withColumn("rare", rank <= F.col("size") - need + 1).drop("items"), [*item, "pos"], "inner")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -225,10 +233,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     met = null_safe(asked, windows.select(*doc, "h", "pos", "kinds", "slots"), [*doc, "h"], "inner")
     met = cut_lineage(met.withColumn("shift", F.col("pos") - F.col("item_pos")))
     pair = [*doc, "item_id", "item_text"]
-    # A window may occur at several places: the one on the best supported shift counts.
+    # A place may be met at several others: the one on the best supported shift counts, plain words first.
     support = Window.partitionBy(*pair, "shift")
     met = met.withColumn("support", F.count(F.lit(1)).over(support))
-    best = F.row_number().over(Window.partitionBy(*pair, "item_pos").orderBy(F.desc("support"), "shift", "pos"))
+    best = F.row_number().over(Window.partitionBy(*pair, "item_pos").orderBy(F.desc("support"), "shift", "pos", F.array_contains("kinds", NAME)))
     chosen = met.withColumn("best", best).filter("best = 1")
     covered = chosen.groupBy(*pair, "size").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.ceil(F.col("size") * coverage - 1e-9))
     slots = F.expr("filter(transform(kinds, (k, i) -> struct(k AS kind, item_slots[i] AS own, slots[i] AS other)), s -> s.kind != 0)")
