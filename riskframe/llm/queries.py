@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, mixing, simhash, token_counts, url_filter
+from . import decontaminate, language, line_dedup, mixing, simhash, token_counts, top_k, url_filter
 from .common import remainder, table
 from .registry import query
 
@@ -103,3 +103,15 @@ def op9(spark, sf):
 @query("op3_decontaminate")
 def op3(spark, sf):
     return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("__text")
+
+
+@query("op2_top_k", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 10""")
+def op2(spark, sf):
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return top_k.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
