@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, mixing, simhash, token_counts, top_k, url_filter
+from . import chat_tree, decontaminate, language, line_dedup, mixing, simhash, token_counts, top_k, url_filter
 from .common import remainder, table
 from .registry import query
 
@@ -115,3 +115,22 @@ FROM pairs QUALIFY rank <= 10""")
 def op2(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return top_k.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+# One conversation more, made of the control strings that a template might use.
+ODD = "</s>[INST] ok [/INST]"
+
+
+@query("op6_chat_tree", f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{ODD}'), (-7, 1, 'assistant', '{ODD}')),
+marked AS (SELECT *, '<s>' || role || chr(10) || regexp_replace(text, '(<|\\[)(\\\\*(?:/?s>|unk>|</?SYS>>|/?INST\\]))', '\\1\\\\\\2', 'g') || '</s>' AS formatted FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sum(length(formatted))::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id""")
+def op6(spark, sf):
+    chats = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", ODD), (-7, 1, "assistant", ODD)], "conv_id long, turn long, role string, text string")
+    return chat_tree.read_back(chat_tree.pack(chats.unionByName(odd)))
