@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,36 @@ def small_side(stored: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     """
     rows = limit // row_bytes
     return F.broadcast(stored) if stored.limit(rows + 1).count() <= rows else stored
+
+
+#: Columns of a dense vector's pieces: which vector, first place, 64-bit integers.
+PIECES = "which long, first long, sums binary"
+
+
+def pieces_of(which: int, sums: np.ndarray, step: int) -> Iterator[tuple[int, int, bytes]]:
+    """The pieces of a vector that are not all zero; the first axis is cut."""
+    for i in range(0, len(sums), step):
+        if sums[i : i + step].any():
+            yield which, i, np.ascontiguousarray(sums[i : i + step], np.int64).tobytes()
+
+
+def pieces_batch(pieces: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch(dict(zip(("which", "first", "sums"), map(list, zip(*pieces)))))
+
+
+def add_pieces(parts: DataFrame) -> DataFrame:
+    """One row per piece: the sum of what all tasks sent. A task holds its share of the vectors only."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for which, first, part in zip(*(c.to_pylist() for c in batch.columns)):
+                v = np.frombuffer(part, np.int64)
+                if (which, first) in held:
+                    held[which, first] += v
+                else:
+                    held[which, first] = v.copy()
+        if held:
+            yield pieces_batch([(a, b, v.tobytes()) for (a, b), v in held.items()])
+
+    return parts.repartition("which", "first").mapInArrow(add, PIECES)

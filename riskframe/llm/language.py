@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import PIECES, add_pieces, pieces_batch, pieces_of
+
 UNKNOWN = "und"
 #: Hash buckets of the n-grams (1, 2 and 3 characters).
 BUCKETS = 1 << 15
@@ -169,26 +171,14 @@ def _counts(training: DataFrame, languages: list[str], buckets: int) -> np.ndarr
                 for x in grams.pieces(text):
                     for h in grams.hashes(x):
                         sums[place[lang]] += np.bincount(h, minlength=buckets)
-        step = 1024
-        rows = [(i, j, sums[i, j : j + step].tobytes()) for i in range(len(place)) for j in range(0, buckets, step) if sums[i, j : j + step].any()]
-        if rows:
-            yield pa.record_batch(dict(zip(("language", "first", "sums"), map(list, zip(*rows)))))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for i, j, part in zip(*(c.to_pylist() for c in batch.columns)):
-                v = np.frombuffer(part, np.int64)
-                held[i, j] = held[i, j] + v if (i, j) in held else v
-        if held:
-            yield pa.record_batch({"language": [i for i, _ in held], "first": [j for _, j in held], "sums": [v.tobytes() for v in held.values()]})
+        found = [p for i in range(len(place)) for p in pieces_of(i, sums[i], 1024)]
+        if found:
+            yield pieces_batch(found)
 
-    schema = "language long, first long, sums binary"
-    parts = training.select("lang", "text").mapInArrow(count, schema)
     out = np.zeros((len(languages), buckets), np.int64)
-    for row in parts.repartition("language", "first").mapInArrow(add, schema).toLocalIterator():
+    for row in add_pieces(training.select("lang", "text").mapInArrow(count, PIECES)).toLocalIterator():
         v = np.frombuffer(bytes(row.sums), np.int64)
-        out[row.language, row.first : row.first + v.size] += v
+        out[row.which, row.first : row.first + v.size] += v
     return out
 
 

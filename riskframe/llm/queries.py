@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_tree, decontaminate, language, line_dedup, mixing, simhash, token_counts, top_k, url_filter
+from . import chat_tree, decontaminate, language, language_model, line_dedup, mixing, simhash, token_counts, top_k, url_filter
 from .common import remainder, table
 from .registry import query
 
@@ -134,3 +134,11 @@ def op6(spark, sf):
     chats = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.createDataFrame([(-7, 0, "user", ODD), (-7, 1, "assistant", ODD)], "conv_id long, turn long, role string, text string")
     return chat_tree.read_back(chat_tree.pack(chats.unionByName(odd)))
+
+
+@query("op8_language_model")
+def op8(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = language_model.score(docs, docs.filter(remainder("doc_id", 7) != 2))
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
