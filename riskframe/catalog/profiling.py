@@ -92,7 +92,7 @@ def quantiles_by_group(spark, sf):
     f"SELECT event_type, 'value' AS feature, {p}::DOUBLE AS prob, round(quantile_cont(value, {p}), 6) AS value FROM ev GROUP BY event_type"
     for p in (0.25, 0.5, 0.9)))
 def quantiles_by_counting(spark, sf):
-    out = N.exact_quantiles(table(spark, sf, "events"), ["value"], [0.25, 0.5, 0.9], ["event_type"], small_cells=0)
+    out = N.exact_quantiles(table(spark, sf, "events"), ["value"], [0.25, 0.5, 0.9], ["event_type"])
     return rounded(out, 6)
 
 

@@ -47,11 +47,11 @@ def stratified_folds(spark, sf):
     return S.stratified_folds(transactions(spark, sf).select("row_id", "label"), "label", ["row_id"])
 
 
-# The same with cut tokens found by counting instead of sorting, on a five-class label.
+# The same on a five-class label.
 @query("stratified_folds_many_classes", "WITH ev AS (SELECT event_id, event_type FROM events)" + FOLDS.format(c="event_type", t="ev", k="event_id"))
 def stratified_folds_many_classes(spark, sf):
     events = table(spark, sf, "events").select("event_id", "event_type")
-    return S.stratified_folds(events, "event_type", ["event_id"], sort_rows=0)
+    return S.stratified_folds(events, "event_type", ["event_id"])
 
 
 @query("union_by_name", """

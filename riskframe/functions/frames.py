@@ -10,11 +10,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-
+from .values import quoted
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for stored intermediate tables, reachable from every executor."""
+    """The folder for stored intermediate tables, reachable from every executor.
+
+    A folder of one machine is accepted in local mode only; a cluster must name one.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
@@ -37,18 +39,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a stored frame when it is small; past the bound leave a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """At least one partition per core for work that computes much per row.
+def spread(df: DataFrame, keys: Sequence[str], partitions: int | None = None, ordered: bool = False) -> DataFrame:
+    """Rows dealt by their keys, for work that computes much per row.
 
-    Large inputs come in more partitions than that and pass unchanged.
+    With a fixed number of partitions and ``ordered`` rows every task sees the same rows in the
+    same order wherever it runs, so seeded fits repeat.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    dealt = df.repartition(n, *[quoted(k) for k in keys])
+    return dealt.sortWithinPartitions(*[quoted(k) for k in keys]) if ordered else dealt
 
 
 def explode_count(df: DataFrame, count: str, name: str, keys: Sequence[str], chunk: int = 100_000, spread: bool = True) -> DataFrame:
@@ -65,8 +64,8 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     """Join by name where null equals null; the right side's key copies are dropped."""
     if not keys:
         raise ValueError("At least one join key is required")
-    renamed = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
-    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    renamed = right.select(*[quoted(c).alias(f"__r_{c}") if c in keys else quoted(c) for c in right.columns])
+    condition = reduce(lambda a, b: a & b, [quoted(k).eqNullSafe(quoted(f"__r_{k}")) for k in keys])
     return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
 
 

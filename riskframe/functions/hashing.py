@@ -14,9 +14,22 @@ from pyspark.sql import functions as F
 from .values import col
 
 
+def cell_text(c: str | Column, separator: str = "") -> Column:
+    """A cell as text from which it can be told: null is ``\\N``, and backslashes and separators are escaped."""
+    text = F.replace(col(c).cast("string"), F.lit("\\"), F.lit("\\\\"))
+    text = F.replace(text, F.lit(separator), F.lit("\\" + separator)) if separator else text
+    return F.coalesce(text, F.lit("\\N"))
+
+
+def row_text(cells: Sequence[str | Column], separator: str) -> Column:
+    """Cells as one text; different rows have different texts."""
+    return F.concat_ws(separator, *[cell_text(c, separator) for c in cells])
+
+
 def hash_token(key: Sequence[str | Column], seed: object) -> Column:
     """32 hex digits from key and seed; its text order is the seeded random order."""
-    return F.md5(F.concat_ws("|", *[col(k).cast("string") for k in key], F.lit(str(seed))))
+    parts = [cell_text(k, "|" if len(key) > 1 else "") for k in key]
+    return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
 def hex_number(token: Column, start: int, digits: int) -> Column:
@@ -29,9 +42,7 @@ def uniform(key: Sequence[str | Column], seed: object) -> Column:
 
 
 def row_hash(cols: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(c) for c in cols])
+    """64-bit hash that tells null from an empty text."""
+    return F.xxhash64(*[x for c in cols for x in (col(c).isNull(), col(c))])
 
 
-def hash_number_prefix(token: Column) -> Column:
-    """First 52 bits of a token as a double; exact, and in the token's order."""
-    return hex_number(token, 1, 13).cast("double")

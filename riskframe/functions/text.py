@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
-import re
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import LABEL_ALIASES, LABEL_COL
+from ..schema import FEATURE_COLS, LABEL_ALIASES, LABEL_COL, V_COLS
+
+# Components may be called V, PC or PCA, with the number in one digit or two.
+PREFIXES = ("v", "pc", "pca")
+
+
+def _spellings() -> dict[str, str]:
+    known = dict.fromkeys(LABEL_ALIASES, LABEL_COL) | {c.lower(): c for c in FEATURE_COLS}
+    for number, column in enumerate(V_COLS, 1):
+        known |= {f"{prefix}{digits}": column for prefix in PREFIXES for digits in (str(number), f"{number:02d}")}
+    return known
+
+
+SPELLINGS = _spellings()
+_OTHERS = {ord(c): None for c in map(chr, range(128)) if c not in string.ascii_letters + string.digits}
 
 
 def canonical_name(name: str) -> str | None:
     """Model column meant by a spelling, or None when it is no model column."""
-    squeezed = "".join(ch for ch in name.lower() if ch in "abcdefghijklmnopqrstuvwxyz0123456789")
-    if squeezed in ("time", "amount"):
-        return squeezed.capitalize()
-    if squeezed in LABEL_ALIASES:
-        return LABEL_COL
-    numbered = re.match(r"^(v|pca|pc)([0-9]{1,2})$", squeezed)
-    number = int(numbered.group(2)) if numbered else 0
-    return f"V{number}" if number in range(1, 29) else None
+    letters = name.translate(_OTHERS).encode("ascii", "ignore").decode()
+    return SPELLINGS.get(letters.lower())
 
 
 def join_names(flags: Sequence[tuple[str, Column]]) -> Column:

@@ -19,8 +19,13 @@ INF = float("inf")
 NUMBER_TEXT = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and spaces included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    return quoted(c) if isinstance(c, str) else c
 
 
 def is_missing(c: str | Column) -> Column:
@@ -38,8 +43,15 @@ def fold_nan(c: str | Column) -> Column:
 def missing_flag(df: DataFrame, name: str) -> Column:
     """Missing test that fits the column's type."""
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return is_missing(F.col(f"`{name}`"))
-    return F.col(f"`{name}`").isNull()
+        return is_missing(quoted(name))
+    return quoted(name).isNull()
+
+
+def required(c: str | Column, what: str) -> Column:
+    """The value; the query fails when one is null or NaN, as a metric of it would mean nothing."""
+    value = col(c)
+    gap = value.isNull() | F.isnan(value.cast("double"))
+    return F.when(gap, F.raise_error(F.lit(f"missing {what}")).cast("double")).otherwise(value)
 
 
 def to_double(c: str | Column) -> Column:

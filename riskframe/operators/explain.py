@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import bounded_side, cut_lineage, explode_features, join_on
+from ..functions.frames import cut_lineage, explode_features, join_on
 from ..functions.hashing import hash_token, hex_number
 from ..functions.values import direction
 from ..schema import SEED
@@ -177,7 +177,7 @@ def representative_rows(
     medians = exact_quantiles(predictions, [score], [0.5], [category], **options).select(
         category, F.col("value").alias("median")
     )
-    rows = join_on(predictions, bounded_side(cut_lineage(medians)), [category])
+    rows = join_on(predictions, cut_lineage(medians), [category])
     gap = F.abs(F.col(score) - F.col("median"))
     whole = F.struct(*[F.col(c) for c in predictions.columns if c != category])
     best = rows.groupBy(category).agg(

@@ -1,7 +1,8 @@
 """Classification metrics from labels, scores and predicted classes.
 
 Everything that depends on the order of scores starts from one row per distinct score.
-All kernels take grouping columns, so fold, candidate and pooled results share code.
+All kernels take grouping columns, so fold, candidate and pooled results share code. A missing
+label, score or prediction (null or NaN) fails the query, as a metric over it would mean nothing.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import join_on, one_row
-from ..functions.values import grid, round_to, safe_div
+from ..functions.values import grid, required, round_to, safe_div
 from ..schema import GRID_START, GRID_STEP, GRID_STOP
 from .ranking import ROWS_PER_BUCKET, prefix_sums
 
@@ -23,12 +24,13 @@ def classify(df: DataFrame, threshold: float, rule: str = "ge", score: str = "sc
     """0/1 class: ``ge`` is the frozen rule, ``gt`` the classifier's own cut at 0.5."""
     if rule not in ("ge", "gt"):
         raise ValueError("rule must be 'ge' or 'gt'")
-    hit = F.col(score) >= threshold if rule == "ge" else F.col(score) > threshold
+    value = required(score, "score")
+    hit = value >= threshold if rule == "ge" else value > threshold
     return df.withColumn(name, hit.cast("tinyint"))
 
 
 def outcome(df: DataFrame, label: str = "label", predicted: str = "predicted", name: str = "outcome") -> DataFrame:
-    y, p = F.col(label) == 1, F.col(predicted) == 1
+    y, p = required(label, "label") == 1, required(predicted, "prediction") == 1
     kind = (
         F.when(y & p, "true_positive").when(~y & p, "false_positive")
         .when(y & ~p, "false_negative").otherwise("true_negative")
@@ -44,9 +46,9 @@ def score_table(
 
     Also carries total_tp, total_fp and the next lower score's pos and neg.
     """
-    positives = F.sum((F.col(label) == 1).cast("bigint"))
+    positives = F.sum((required(label, "label") == 1).cast("bigint"))
     counts = (
-        df.groupBy(*by, F.col(score).cast("double").alias("threshold"))
+        df.groupBy(*by, required(score, "score").cast("double").alias("threshold"))
         .agg(positives.alias("pos"), F.count(F.lit(1)).alias("n"))
         .select(*by, "threshold", "pos", (F.col("n") - F.col("pos")).alias("neg"))
     )
@@ -99,7 +101,10 @@ def ranking_metrics(
     df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    table = score_table(df, label, score, by, rows_per_bucket)
+    return ranking_metrics_of(score_table(df, label, score, by, rows_per_bucket), by)
+
+
+def ranking_metrics_of(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return table.groupBy(*by).agg(_auc().alias("roc_auc"), _average_precision().alias("pr_auc"))
 
 
@@ -119,7 +124,10 @@ def threshold_table(df: DataFrame, label: str = "label", score: str = "score", b
 
 def pr_curve(df: DataFrame, label: str = "label", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Precision-recall points and the closing point (1, 0), which has no threshold."""
-    table = score_table(df, label, score, by)
+    return pr_curve_of(score_table(df, label, score, by), by)
+
+
+def pr_curve_of(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     points = table.select(*by, "threshold", _precision().alias("precision"), _recall().alias("recall"))
     end = table.groupBy(*by).agg(
         F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")
@@ -132,7 +140,10 @@ def roc_curve(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """ROC points from (0, 0); with ``thin`` points inside a straight stretch are dropped."""
-    table = score_table(df, label, score, by, rows_per_bucket)
+    return roc_curve_of(score_table(df, label, score, by, rows_per_bucket), by, thin)
+
+
+def roc_curve_of(table: DataFrame, by: Sequence[str] = (), thin: bool = True) -> DataFrame:
     if thin:
         first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
         bends = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
@@ -152,7 +163,10 @@ def best_threshold(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Operating point of highest F1 (the lowest such threshold) with its metrics and counts."""
-    table = score_table(df, label, score, by, rows_per_bucket)
+    return best_threshold_of(score_table(df, label, score, by, rows_per_bucket), by)
+
+
+def best_threshold_of(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     rows = table.withColumns({"precision": _precision(), "recall": _recall()})
     rows = rows.withColumn("f1", _f1(F.col("precision"), F.col("recall")))
     point = F.struct(
@@ -178,9 +192,10 @@ def threshold_grid(
     in a join.
     """
     cuts = grid(start, stop, step)
-    reached = sum((F.coalesce(F.col(score) >= F.lit(t), F.lit(False)).cast("int") for t in cuts), F.lit(0))
-    counts = df.groupBy(*by, reached.alias("reached")).agg(
-        F.sum((F.col(label) == 1).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n")
+    checked = df.select(*by, required(label, "label").alias("__y"), required(score, "score").alias("__s"))
+    reached = sum(((F.col("__s") >= F.lit(t)).cast("int") for t in cuts), F.lit(0))
+    counts = checked.groupBy(*by, reached.alias("reached")).agg(
+        F.sum((F.col("__y") == 1).cast("bigint")).alias("pos"), F.count(F.lit(1)).alias("n")
     )
     flagged = [F.col("reached") > i for i in range(len(cuts))]
     per_cut = counts.groupBy(*by).agg(
@@ -206,7 +221,7 @@ def threshold_grid(
 
 
 def confusion(df: DataFrame, label: str = "label", predicted: str = "predicted", by: Sequence[str] = ()) -> DataFrame:
-    y, p = F.col(label) == 1, F.col(predicted) == 1
+    y, p = required(label, "label") == 1, required(predicted, "prediction") == 1
     return df.groupBy(*by).agg(
         F.count_if(~y & ~p).alias("tn"), F.count_if(~y & p).alias("fp"),
         F.count_if(y & ~p).alias("fn"), F.count_if(y & p).alias("tp"),
@@ -282,10 +297,12 @@ def classification_metrics(
 
 
 def compute_metrics(
-    df: DataFrame, model: str, label: str = "label", predicted: str = "predicted", score: str = "score"
+    df: DataFrame, model: str, label: str = "label", predicted: str = "predicted", score: str = "score",
+    table: DataFrame | None = None,
 ) -> DataFrame:
-    """One rounded row for a comparison table."""
-    both = one_row(point_metrics(df, label, predicted), ranking_metrics(df, label, score))
+    """One rounded row for a comparison table; a ready score table saves building another."""
+    ranks = ranking_metrics(df, label, score) if table is None else ranking_metrics_of(table)
+    both = one_row(point_metrics(df, label, predicted), ranks)
     return both.select(F.lit(model).alias("model"), *[round_to(m, 4).alias(m) for m in CV_METRICS])
 
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import bounded_side, cut_lineage, join_on
+from ..functions.frames import cut_lineage, join_on
 from ..functions.hashing import hash_token
 from .quality import attach_group_facts
 
@@ -120,13 +120,13 @@ def _other_cells(limited: DataFrame, centres: np.ndarray, radius: dict[int, floa
 
 def _visit(visits: DataFrame, celled: DataFrame, cells: DataFrame, k: int, kind: str, block_rows: int) -> DataFrame:
     """Best k per point and block for the given (point, cell) visits."""
-    sized = bounded_side(cells.select("cell", "blocks"))
+    sized = cells.select("cell", "blocks")
     blocks = join_on(celled, sized, ["cell"]).select(
         "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "x"
     )
     calls = cut_lineage(visits)
     chunks = calls.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("chunks"))
-    chunks = bounded_side(cut_lineage(chunks))
+    chunks = cut_lineage(chunks)
     callers = join_on(join_on(calls, sized, ["cell"]), chunks, ["cell"]).select(
         "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - F.lit(1).cast("bigint"))).alias("block"),
         F.pmod(F.xxhash64(F.lit("chunk"), "id"), F.col("chunks")).alias("chunk"), "id", "x", "limit",

@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import BROADCAST_ROWS, cut_lineage, explode_count, join_on
+from ..functions.frames import cut_lineage, explode_count, join_on
+from ..functions.hashing import row_text
 from ..functions.values import is_inf, missing_flag
 
-HOT_GROUPS = 1000
-
 
 def numeric_cols(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -139,22 +138,12 @@ def duplicate_measures(df: DataFrame, feats: Sequence[str], label: str) -> DataF
 
 
 def attach_group_facts(df: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join per-group facts (with group size ``n``) back to the rows, safe for huge groups.
+    """Join per-group facts back to the rows.
 
-    Few groups are broadcast. Otherwise the groups with at least 1/1000 of the counted rows,
-    at most 1000 of them, are broadcast and only the remaining rows are shuffled.
+    The facts are stored, so Spark knows their bytes: small ones are broadcast, and with large
+    ones both sides are plain exchanges, in which adaptive execution splits a group of any size.
     """
-    facts = cut_lineage(facts)
-    if facts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return join_on(df, F.broadcast(facts), keys, how)
-    total = facts.agg(F.sum("n")).first()[0]
-    heavy = F.col("n") * HOT_GROUPS >= F.lit(total)
-    hot = facts.filter(heavy)
-    if hot.isEmpty():
-        return join_on(df, facts, keys, how)
-    hot_rows = join_on(df, F.broadcast(hot), keys, "inner")
-    other_rows = join_on(df, F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return hot_rows.unionByName(join_on(other_rows, facts.filter(~heavy), keys, how))
+    return join_on(df, cut_lineage(facts), keys, how)
 
 
 def mark_duplicates(df: DataFrame, cols: Sequence[str], key: Sequence[str]) -> DataFrame:
@@ -206,8 +195,7 @@ def uncovered(whole: DataFrame, *parts: DataFrame) -> DataFrame:
 
 def fingerprint(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Order-free content checksum: row count and sums over four slices of each row's md5."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols]
-    token = F.md5(F.concat_ws("\u001f", *cells))
+    token = F.md5(row_text(cols, "\u001f"))
     hashed = df.select(*by, token.alias("token"))
     slices = [
         F.sum(F.conv(F.substring("token", 1 + 8 * i, 8), 16, 10).cast("decimal(28,0)")).cast("string").alias(f"sum_{i}")
@@ -262,6 +250,6 @@ def with_row_key(df: DataFrame, cols: Sequence[str], name: str = "row_id", chunk
     Copies of a row are interchangeable, so they are counted and written out again with
     numbers; a group of any size is spread over tasks in chunks.
     """
-    content = F.md5(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols]))
+    content = F.md5(row_text(cols, "\u001f"))
     copies = explode_count(row_groups(df, cols), "n", "__copy", cols, chunk)
     return copies.select(F.concat_ws("-", content, F.col("__copy").cast("string")).alias(name), *cols)

@@ -1,125 +1,93 @@
-"""Exact order statistics and quantiles (linear interpolation) on data of any size.
+"""Exact quantiles (linear interpolation) on data of any size, in two passes.
 
-Few cells: Spark's exact ``percentile``. Many cells: repeated counting. Every round splits
-the interval that holds a wanted rank into equal steps, counts the steps with map-side
-aggregation, and keeps the one step the rank falls into. Nothing but step counts is
-shuffled, however the values are distributed.
+The first pass counts and sketches: Spark's approximate percentiles have a guaranteed rank error,
+so two of them enclose every wanted rank. The second pass counts the values outside these
+brackets by interval, and the values inside one by one; both are summed before any shuffle, and
+running sums give the exact ranks. Columns of few values have brackets without ends.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import bounded_side, cut_lineage, join_on
-from ..functions.values import fold_nan
+from ..functions.frames import cut_lineage, join_on
+from ..functions.values import fold_nan, quoted
 
-SMALL_CELLS = 4_000_000
-STEPS = 4096
-LARGEST = 1.7976931348623157e308
-
-
-def order_statistics(
-    values: DataFrame, wanted: DataFrame, keys: Sequence[str], value: str = "value", steps: int = STEPS
-) -> DataFrame:
-    """Value at 0-based rank ``k`` of each group.
-
-    ``wanted`` holds the keys and ``k``; the result adds ``value`` and ``below``, the number
-    of smaller values in the group.
-    """
-    values = values.filter(F.col(value).isNotNull()).withColumn(
-        value, F.greatest(F.least(F.col(value), F.lit(LARGEST)), F.lit(-LARGEST))
-    )
-    span = values.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    state = cut_lineage(join_on(wanted.select(*keys, "k"), span, keys).withColumn("below", F.lit(0).cast("bigint")))
-    done = None
-    while True:
-        solved = state.filter(F.col("lo") == F.col("hi"))
-        done = solved if done is None else done.unionByName(solved)
-        state = state.filter(F.col("lo") < F.col("hi"))
-        if state.isEmpty():
-            break
-        state = cut_lineage(_narrow(values, state, list(keys), value, steps))
-    result = F.when(F.col("lo") >= LARGEST, F.lit(float("inf")))
-    result = result.when(F.col("lo") <= -LARGEST, F.lit(float("-inf"))).otherwise(F.col("lo"))
-    return done.select(*keys, "k", result.alias("value"), "below")
-
-
-def _narrow(values: DataFrame, state: DataFrame, keys: list[str], value: str, steps: int) -> DataFrame:
-    intervals = state.select(*keys, "lo", "hi", "below").distinct()
-    inside = join_on(values, bounded_side(intervals), keys).filter(F.col(value).between(F.col("lo"), F.col("hi")))
-    share = (F.col(value) / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
-    step = F.least(F.floor(share * steps), F.lit(steps - 1))
-    counts = inside.groupBy(*keys, F.col("lo").alias("from"), "below", step.alias("step")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")
-    )
-    running = (
-        Window.partitionBy(*keys, "from").orderBy("step")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    placed = counts.withColumn("upto", F.col("below") + F.sum("n").over(running)).select(
-        *keys, "from", "lo", "hi", (F.col("upto") - F.col("n")).alias("start"), "upto"
-    )
-    targets = state.select(*keys, "k", F.col("lo").alias("from"))
-    hit = join_on(placed, bounded_side(targets), [*keys, "from"])
-    return hit.filter((F.col("k") >= F.col("start")) & (F.col("k") < F.col("upto"))).select(
-        *keys, "k", "lo", "hi", F.col("start").alias("below")
-    )
+#: Rank errors of the sketch are at most 1/ACCURACY of the values.
+ACCURACY = 10_000
+MARGIN = 3
+INF = float("inf")
 
 
 def melt(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Long form: one row per feature, NaN folded to null."""
     cells = F.array(*[
-        F.struct(F.lit(c).alias("feature"), fold_nan(F.col(c).cast("double")).alias("value")) for c in cols
+        F.struct(F.lit(c).alias("feature"), fold_nan(quoted(c).cast("double")).alias("value")) for c in cols
     ])
-    return df.select(*by, F.explode(cells).alias("cell")).select(*by, "cell.feature", "cell.value")
+    return df.select(*map(quoted, by), F.explode(cells).alias("cell")).select(*map(quoted, by), "cell.feature", "cell.value")
 
 
-def exact_quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    small_cells: int = SMALL_CELLS,
-    steps: int = STEPS,
-) -> DataFrame:
-    """Long table: by..., feature, prob, value. Missing cells are left out of the count."""
-    rows = df.select(*by, *cols)
-    if rows.count() * len(cols) <= small_cells:
-        return _small_quantiles(rows, cols, probs, by)
-    cells = melt(rows, cols, by)
-    keys = [*by, "feature"]
-    rank = F.col("prob") * (F.col("n") - 1)
-    wanted = (
-        cells.groupBy(*keys).agg(F.count("value").alias("n"))
-        .select(*keys, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"), "n")
-        .withColumns({"k0": F.when(F.col("n") > 0, F.floor(rank)), "k1": F.when(F.col("n") > 0, F.ceil(rank))})
-        .withColumn("share", rank - F.col("k0"))
-    )
-    wanted = cut_lineage(wanted)
-    ranks = wanted.filter("n > 0").select(*keys, F.explode(F.array("k0", "k1")).alias("k")).distinct()
-    found = order_statistics(cells, ranks, keys, steps=steps).drop("below")
-    low = found.select(*keys, F.col("k").alias("k0"), F.col("value").alias("v0"))
-    high = found.select(*keys, F.col("k").alias("k1"), F.col("value").alias("v1"))
-    both = join_on(join_on(wanted, low, [*keys, "k0"], "left"), high, [*keys, "k1"], "left")
-    value = F.when(F.col("share") == 0, F.col("v0")).otherwise(
-        F.col("v0") * (1 - F.col("share")) + F.col("v1") * F.col("share")
+def _brackets(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str], accuracy: int) -> DataFrame:
+    """by..., feature, n, lo and hi (a value below and above each wanted rank), k0 and k1 (the ranks around it)."""
+    shares = [s for p in probs for s in (max(p - MARGIN / accuracy, 0.0), min(p + MARGIN / accuracy, 1.0))]
+    values = {c: fold_nan(quoted(c).cast("double")) for c in cols}
+    sketched = df.groupBy(*map(quoted, by)).agg(*[
+        F.struct(F.count(v).alias("n"), F.percentile_approx(v, shares, accuracy).alias("at")).alias(f"__{i}")
+        for i, v in enumerate(values.values())
+    ])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"__{i}.n").alias("n"), F.col(f"__{i}.at").alias("at")) for i, c in enumerate(cols)])
+    long = sketched.select(*map(quoted, by), F.explode(cells).alias("c")).select(*map(quoted, by), "c.*")
+    many = F.col("n") >= MARGIN * accuracy
+
+    def edge(j: int, p: float, low: bool) -> Column:
+        inside = p > MARGIN / accuracy if low else p < 1 - MARGIN / accuracy
+        end = F.lit(-INF if low else INF)
+        return F.when(many, F.col("at")[2 * j + (not low)]).otherwise(end) if inside else end
+
+    rank = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    return long.select(
+        *map(quoted, by), "feature", "n",
+        F.array(*[edge(j, p, True) for j, p in enumerate(probs)]).alias("lo"),
+        F.array(*[edge(j, p, False) for j, p in enumerate(probs)]).alias("hi"),
+        F.array(*[F.floor(r) for r in rank]).alias("k0"), F.array(*[F.ceil(r) for r in rank]).alias("k1"),
     )
-    return both.select(*keys, "prob", value.alias("value"))
 
 
-def _small_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
-    shares = F.array(*[F.lit(float(p)) for p in probs])
-    found = df.groupBy(*by).agg(*[
-        F.percentile(fold_nan(F.col(c).cast("double")), shares).alias(f"__q{i}") for i, c in enumerate(cols)
-    ])
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.lit(float(p)).alias("prob"), F.col(f"__q{i}")[j].alias("value"))
-        for i, c in enumerate(cols) for j, p in enumerate(probs)
-    ])
-    return found.select(*by, F.explode(cells).alias("q")).select(*by, "q.*")
+def exact_quantiles(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), accuracy: int = ACCURACY
+) -> DataFrame:
+    """Long table: by..., feature, prob, value. Missing cells are left out of the count."""
+    keys, places = [*by, "feature"], range(len(probs))
+    brackets = cut_lineage(_brackets(df, cols, probs, by, accuracy))
+    cells = melt(df, cols, by).filter(F.col("value").isNotNull())
+    v = F.col("value")
+    met = join_on(cells, brackets.select(*map(quoted, keys), "lo", "hi"), keys)
+    inside = reduce(lambda a, b: a | b, [(v >= F.col("lo")[j]) & (v <= F.col("hi")[j]) for j in places])
+    slot = sum(((v > F.col("hi")[j]).cast("int") for j in places), F.lit(0))
+    counts = met.groupBy(*map(quoted, keys), F.when(inside, v).alias("exact"), F.when(~inside, slot).alias("slot")).agg(
+        F.count(F.lit(1)).alias("m"), F.min(v).alias("place"))
+    upto = Window.partitionBy(*map(quoted, keys)).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("upto", F.sum("m").over(upto))
+    ranks = join_on(placed, brackets.select(*map(quoted, keys), "k0", "k1"), keys)
+
+    def at(k: Column) -> Column:
+        return F.max(F.when((k >= F.col("upto") - F.col("m")) & (k < F.col("upto")), F.col("exact")))
+
+    found = ranks.groupBy(*map(quoted, keys)).agg(
+        F.array(*[at(F.col("k0")[j]) for j in places]).alias("v0"), F.array(*[at(F.col("k1")[j]) for j in places]).alias("v1"))
+    whole = join_on(brackets.select(*map(quoted, keys), "n", "k0"), found, keys, "left")
+
+    def value(j: int, p: float) -> Column:
+        share = F.lit(float(p)) * (F.col("n") - 1) - F.col("k0")[j]
+        low, high = F.col("v0")[j], F.col("v1")[j]
+        return F.when(share == 0, low).otherwise(low * (1 - share) + high * share)
+
+    answers = F.array(*[F.struct(F.lit(float(p)).alias("prob"), value(j, p).alias("value")) for j, p in enumerate(probs)])
+    return whole.select(*map(quoted, keys), F.explode(answers).alias("q")).select(*map(quoted, keys), "q.*")
 
 
 def quantile(df: DataFrame, c: str, q: float, by: Sequence[str] = (), **options) -> DataFrame:
@@ -135,11 +103,11 @@ def quantile_columns(
 ) -> DataFrame:
     """One row per group and feature with one column per named quantile."""
     long = exact_quantiles(df, cols, list(named.values()), by, **options)
-    return long.groupBy(*by, "feature").agg(*[
+    return long.groupBy(*map(quoted, by), "feature").agg(*[
         F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for name, p in named.items()
     ])
 
 
-def cap_at_quantile(df: DataFrame, c: str | Column, q: float = 0.995, **options) -> DataFrame:
+def cap_at_quantile(df: DataFrame, c: str, q: float = 0.995, **options) -> DataFrame:
     """Rows at or below the quantile of a column."""
-    return df.filter(F.col(c) <= F.lit(quantile_value(df, c, q, **options)))
+    return df.filter(quoted(c) <= F.lit(quantile_value(df, c, q, **options)))

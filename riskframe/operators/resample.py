@@ -12,7 +12,7 @@ from ..functions.hashing import hash_token, hex_number, uniform
 from ..schema import SEED
 from .neighbours import BLOCK_ROWS, nearest_neighbours
 from .quality import attach_group_facts
-from .sampling import class_sizes, hash_segments
+from .sampling import class_sizes, hash_segments, parts_frame
 
 CHUNK = 100_000
 
@@ -40,7 +40,7 @@ def smote(
         raise ValueError(f"{few} minority rows cannot have {k} neighbours each")
     base = cut_lineage(rows.filter(F.col(label) == minority))
     each, extra = divmod(need, few)
-    dealt = hash_segments(base, label, {minority: [extra, few - extra]}, [key], f"{seed}/smote", "__part")
+    dealt = hash_segments(base, label, parts_frame(base, label, {minority: [extra, few - extra]}), [key], f"{seed}/smote", "__part")
     counted = dealt.withColumn("__draws", F.lit(each) + F.when(F.col("__part") == 0, 1).otherwise(0))
 
     near = cut_lineage(nearest_neighbours(base, key, vector, k, seed, block_rows))

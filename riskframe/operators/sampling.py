@@ -2,104 +2,121 @@
 
 The random order is the order of an md5 token made from the row key and the seed. Rows go
 to a part by comparing their token with a few cut tokens, so the rows themselves are never
-sorted or shuffled; only the cuts have to be found.
+sorted or shuffled; only the cuts have to be found. For that one scan counts the tokens by class and
+first four digits, and a second one orders the tokens of the few cells a cut falls into. Class
+sizes, quotas and cuts are tables with one row per class.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import cut_lineage, join_on
-from ..functions.hashing import hash_number_prefix, hash_token
+from ..functions.hashing import hash_token
+from ..functions.values import quoted
 from ..schema import FOLDS, SEED, TEST_SIZE
-from .quantiles import order_statistics
 
-SORT_ROWS = 1_000_000
-# Tokens are spread evenly, so wide steps save whole rounds of counting.
-TOKEN_STEPS = 65_536
-MAX_CLASSES = 10_000
+DIGITS = 4
 
 
-def class_sizes(df: DataFrame, label: str) -> dict:
-    """Rows per class, ordered by class; the classes of a stratification label are few."""
-    rows = df.groupBy(label).count().limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"'{label}' has more than {MAX_CLASSES} values; it is no class label")
-    if any(r[0] is None for r in rows):
+def class_counts(df: DataFrame, label: str) -> DataFrame:
+    """label, n: rows per class, stored."""
+    counts = cut_lineage(df.groupBy(quoted(label).alias(label)).agg(F.count(F.lit(1)).alias("n")))
+    if not counts.filter(quoted(label).isNull()).isEmpty():
         raise ValueError(f"'{label}' has missing values")
-    return dict(sorted((r[0], r[1]) for r in rows))
-
-
-def allocate(sizes: dict, draws: int) -> dict:
-    """Share ``draws`` over the classes in proportion; largest remainders get the rest."""
-    total = sum(sizes.values())
-    exact = {c: Fraction(n * draws, total) for c, n in sizes.items()}
-    quota = {c: int(x) for c, x in exact.items()}
-    rest = draws - sum(quota.values())
-    for c in sorted(exact, key=lambda c: quota[c] - exact[c])[:rest]:
-        quota[c] += 1
-    return quota
-
-
-def _cut_tokens(tokens: DataFrame, label: str, ranks: dict, small: bool) -> DataFrame:
-    """Token at each wanted rank of each class, as an array column ``cuts``."""
-    spark = tokens.sparkSession
-    kind = tokens.schema[label].dataType.simpleString()
-    wanted = spark.createDataFrame(
-        [(c, k) for c, ks in ranks.items() for k in ks], f"`{label}` {kind}, k bigint"
-    )
-    in_class = Window.partitionBy(label).orderBy("token")
-    if small:
-        placed = tokens.withColumns({
-            "k": F.row_number().over(in_class).cast("bigint") - 1, "ahead": F.lag("token").over(in_class)
-        })
-        found = join_on(placed, F.broadcast(wanted), [label, "k"])
-    else:
-        numbers = tokens.withColumn("value", hash_number_prefix(F.col("token")))
-        exact = order_statistics(numbers, wanted, [label], steps=TOKEN_STEPS)
-        # A 52-bit number is shared by very few tokens; those few are put in order here.
-        at_cut = join_on(numbers, F.broadcast(exact), [label, "value"])
-        tied = Window.partitionBy(label, "value", "k").orderBy("token")
-        found = at_cut.withColumns({
-            "at": F.row_number().over(tied) - 1 + F.col("below"), "ahead": F.lag("token").over(tied)
-        }).filter(F.col("at") == F.col("k"))
-    return cut_lineage(found.groupBy(label).agg(
+    return counts
+
+
+def class_sizes(df: DataFrame, label: str) -> dict:
+    """Rows per class of a label with few values, ordered by class."""
+    return dict(sorted(tuple(r) for r in class_counts(df, label).toLocalIterator()))
+
+
+def _require_rows(counts: DataFrame, least: int, text: str) -> int:
+    """Total rows; every class must have at least ``least``."""
+    facts = counts.agg(F.min("n").alias("least"), F.sum("n").alias("total")).first()
+    if (facts["least"] or 0) < least:
+        raise ValueError(f"Every class needs at least {text} rows")
+    return facts["total"]
+
+
+def allocate(counts: DataFrame, label: str, draws: int, total: int) -> DataFrame:
+    """label, n, quota: ``draws`` shared in proportion; largest remainders get the rest, ties in class order."""
+    exact = F.col("n").cast("decimal(38,0)") * F.lit(draws).cast("decimal(19,0)")
+    whole = F.floor(exact / F.lit(total))
+    # Division of decimals rounds; the remainder tells whether it went one too far.
+    split = counts.withColumn("exact", exact.cast("decimal(38,0)")).withColumn("base", whole.cast("decimal(38,0)"))
+    split = split.withColumn("rest", F.col("exact") - F.col("base") * F.lit(total))
+    split = split.withColumn("base", F.when(F.col("rest") < 0, F.col("base") - 1).otherwise(F.col("base")))
+    split = cut_lineage(split.withColumn("rest", (F.col("exact") - F.col("base") * F.lit(total)).cast("decimal(38,0)")))
+    left = draws - int(split.agg(F.sum("base")).first()[0])
+    place = F.row_number().over(Window.orderBy(F.desc("rest"), quoted(label)))
+    quota = (F.col("base") + (place <= left).cast("int")).cast("bigint")
+    return split.select(quoted(label), "n", quota.alias("quota"))
+
+
+def split_quotas(spark: SparkSession, sizes: Mapping, test_size: float = TEST_SIZE) -> dict:
+    """Training rows per class of a few known sizes; the test part of the whole is rounded up."""
+    counts = spark.createDataFrame([(c, n) for c, n in sizes.items()], "label int, n bigint")
+    return {r["label"]: r["quota"] for r in _train_quotas(counts, "label", sum(sizes.values()), test_size).collect()}
+
+
+def _train_quotas(counts: DataFrame, label: str, total: int, test_size: float) -> DataFrame:
+    test = -((-Fraction(str(test_size)) * total) // 1)
+    return allocate(counts, label, total - int(test), total)
+
+
+def parts_frame(df: DataFrame, label: str, sizes: Mapping) -> DataFrame:
+    """label, parts: given part sizes of a few classes."""
+    kind = df.schema[label].dataType.simpleString()
+    rows = [(c, [int(n) for n in parts]) for c, parts in sizes.items()]
+    return df.sparkSession.createDataFrame(rows, f"`{label}` {kind}, parts array<bigint>")
+
+
+def _starts() -> Column:
+    """Where the parts after the first begin, from the array ``parts``."""
+    return F.expr("transform(sequence(1, size(parts) - 1), i -> aggregate(slice(parts, 1, i), 0L, (a, b) -> a + b))")
+
+
+def _cut_tokens(tokens: DataFrame, label: str, wanted: DataFrame) -> DataFrame:
+    """label, cuts (tokens at the wanted ranks), repeated (a cut between equal tokens); ``wanted``: label, k."""
+    cell = F.substring("token", 1, DIGITS).alias("cell")
+    counts = tokens.groupBy(quoted(label), cell).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy(quoted(label)).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumn("upto", F.sum("n").over(upto))
+    hit = join_on(wanted, counts, [label]).filter((F.col("k") >= F.col("upto") - F.col("n")) & (F.col("k") < F.col("upto")))
+    hit = cut_lineage(hit.select(quoted(label), "cell", "k", (F.col("upto") - F.col("n")).alias("below")))
+    near = join_on(tokens.withColumn("cell", cell), hit.select(quoted(label), "cell").distinct(), [label, "cell"], "left_semi")
+    order = Window.partitionBy(quoted(label), "cell").orderBy("token")
+    near = near.withColumn("at", F.row_number().over(order).cast("bigint") - 1).withColumn("ahead", F.lag("token").over(order))
+    found = join_on(near, hit, [label, "cell"]).filter(F.col("at") + F.col("below") == F.col("k"))
+    return cut_lineage(found.groupBy(quoted(label)).agg(
         F.array_sort(F.collect_list("token")).alias("cuts"),
         F.max(F.coalesce(F.col("ahead") == F.col("token"), F.lit(False))).alias("repeated"),
     ))
 
 
-def hash_segments(
-    df: DataFrame, label: str, sizes: dict, key: Sequence[str], seed: object, name: str,
-    sort_rows: int = SORT_ROWS,
-) -> DataFrame:
+def hash_segments(df: DataFrame, label: str, parts: DataFrame, key: Sequence[str], seed: object, name: str) -> DataFrame:
     """Cut each class, in its random order, into consecutive parts of the given sizes.
 
-    ``sizes`` maps a class to the list of part sizes, which must add up to its rows.
-    Adds the 0-based part number.
+    ``parts`` maps a class to the sizes of its parts, which must add up to its rows. Adds the
+    0-based part number. Keys that repeat at a cut raise, whatever the number of rows.
     """
-    ranks = {}
-    for c, parts in sizes.items():
-        starts = [sum(parts[:i]) for i in range(1, len(parts))]
-        ranks[c] = sorted({s for s in starts if s < sum(parts)})
+    total = F.expr("aggregate(parts, 0L, (a, b) -> a + b)")
+    plan = parts.withColumn("starts", _starts()).withColumn("total", total)
+    plan = cut_lineage(plan.withColumn("ranks", F.expr("array_sort(array_distinct(filter(starts, s -> s < total)))")))
     token = hash_token(key, seed)
-    total = sum(sum(parts) for parts in sizes.values())
-    cuts = _cut_tokens(df.select(label, token.alias("token")), label, ranks, total <= sort_rows)
+    wanted = plan.select(quoted(label), F.explode("ranks").alias("k"))
+    cuts = _cut_tokens(df.select(quoted(label), token.alias("token")), label, wanted)
     if not cuts.filter("repeated").isEmpty():
         raise ValueError(f"Key {list(key)} is not unique: rows at a cut cannot be told apart")
     # A cut of rank s stands for every part that starts there, empty parts included.
-    kind = df.schema[label].dataType.simpleString()
-    steps = df.sparkSession.createDataFrame(
-        [(c, [sum(1 for i in range(1, len(parts)) if sum(parts[:i]) == s) for s in ranks[c]])
-         for c, parts in sizes.items()],
-        f"`{label}` {kind}, __steps array<int>",
-    )
-    plan = join_on(steps, cuts.drop("repeated"), [label], "left")
-    joined = join_on(df.withColumn("__token", token), F.broadcast(plan), [label])
+    steps = plan.select(quoted(label), F.expr("transform(ranks, r -> size(filter(starts, s -> s = r)))").alias("__steps"))
+    joined = join_on(df.withColumn("__token", token), join_on(steps, cuts.drop("repeated"), [label], "left"), [label])
     passed = F.zip_with(
         F.coalesce("cuts", F.array().cast("array<string>")), "__steps",
         lambda c, s: F.when(c <= F.col("__token"), s).otherwise(F.lit(0)),
@@ -109,61 +126,36 @@ def hash_segments(
 
 
 def stratified_split(
-    df: DataFrame, label: str, key: Sequence[str], test_size: float = TEST_SIZE, seed: int = SEED,
-    sort_rows: int = SORT_ROWS,
+    df: DataFrame, label: str, key: Sequence[str], test_size: float = TEST_SIZE, seed: int = SEED
 ) -> DataFrame:
     """Add ``split`` ('train' or 'test') with exact counts per class."""
     if not 0 < test_size < 1:
         raise ValueError("test_size must lie between 0 and 1")
-    sizes = class_sizes(df, label)
-    if min(sizes.values(), default=0) < 2:
-        raise ValueError("Every class needs at least two rows")
-    train = split_quotas(sizes, test_size)
-    parts = {c: [sizes[c] - train[c], train[c]] for c in sizes}
-    cut = hash_segments(df, label, parts, key, f"{seed}/split", "__part", sort_rows)
+    counts = class_counts(df, label)
+    quotas = _train_quotas(counts, label, _require_rows(counts, 2, "two"), test_size)
+    parts = quotas.select(quoted(label), F.array(F.col("n") - F.col("quota"), F.col("quota")).alias("parts"))
+    cut = hash_segments(df, label, parts, key, f"{seed}/split", "__part")
     return cut.withColumn("split", F.when(F.col("__part") == 0, "test").otherwise("train")).drop("__part")
 
 
-def split_quotas(sizes: dict, test_size: float = TEST_SIZE) -> dict:
-    """Training rows per class; the test part of the whole is rounded up."""
-    total = sum(sizes.values())
-    test = -((-Fraction(str(test_size)) * total) // 1)
-    return allocate(sizes, total - int(test))
-
-
-def fold_sizes(sizes: dict, k: int) -> dict:
-    """Rows per class and fold; both per class and overall they differ by one at most."""
-    parts, start = {}, 0
-    for c, n in sizes.items():
-        ends = (start, start + n)
-        parts[c] = [(ends[1] - f + k - 1) // k - (ends[0] - f + k - 1) // k for f in range(k)]
-        start += n
-    return parts
-
-
-def stratified_folds(
-    df: DataFrame, label: str, key: Sequence[str], k: int = FOLDS, seed: int = SEED,
-    sort_rows: int = SORT_ROWS,
-) -> DataFrame:
-    """Add ``fold`` 1..k."""
-    sizes = class_sizes(df, label)
-    if min(sizes.values(), default=0) < k:
-        raise ValueError(f"Every class needs at least {k} rows")
-    cut = hash_segments(df, label, fold_sizes(sizes, k), key, f"{seed}/folds", "fold", sort_rows)
+def stratified_folds(df: DataFrame, label: str, key: Sequence[str], k: int = FOLDS, seed: int = SEED) -> DataFrame:
+    """Add ``fold`` 1..k; per class and overall the folds differ by one row at most."""
+    counts = class_counts(df, label)
+    _require_rows(counts, k, str(k))
+    end = F.sum("n").over(Window.orderBy(quoted(label)).rowsBetween(Window.unboundedPreceding, 0))
+    ends = counts.withColumn("end", end).withColumn("start", end - F.col("n"))
+    size = F.expr(f"transform(sequence(0, {k - 1}), f -> ((end - f + {k - 1}) div {k}) - ((start - f + {k - 1}) div {k}))")
+    cut = hash_segments(df, label, ends.select(quoted(label), size.alias("parts")), key, f"{seed}/folds", "fold")
     return cut.withColumn("fold", F.col("fold") + 1)
 
 
-def sample_exact(df: DataFrame, n: int, key: Sequence[str], seed: int = SEED, sort_rows: int = SORT_ROWS) -> DataFrame:
+def sample_exact(df: DataFrame, n: int, key: Sequence[str], seed: int = SEED) -> DataFrame:
     """Exactly n rows (or all, when there are fewer), without replacement."""
-    if n <= 100_000:
-        token = hash_token(key, seed)
-        return df.withColumn("__token", token).orderBy("__token").limit(n).drop("__token")
     total = df.count()
     if total <= n:
         return df
-    parts = {0: [n, total - n]}
     whole = df.withColumn("__all", F.lit(0))
-    cut = hash_segments(whole, "__all", parts, key, seed, "__part", sort_rows)
+    cut = hash_segments(whole, "__all", parts_frame(whole, "__all", {0: [n, total - n]}), key, seed, "__part")
     return cut.filter("__part = 0").drop("__part", "__all")
 
 
@@ -171,14 +163,14 @@ def sample_by_class(
     df: DataFrame, label: str, n: int, key: Sequence[str], seed: int = SEED, majority: object = 0
 ) -> DataFrame:
     """n rows of the majority class and every row of the others."""
-    few = sample_exact(df.filter(F.col(label) == majority), n, key, seed)
-    return few.unionByName(df.filter(F.col(label) != majority))
+    few = sample_exact(df.filter(quoted(label) == majority), n, key, seed)
+    return few.unionByName(df.filter(quoted(label) != majority))
 
 
 def pick(df: DataFrame, **key) -> DataFrame:
     """The row or rows with the given key values."""
     for name, value in key.items():
-        df = df.filter(F.col(name) == value)
+        df = df.filter(quoted(name) == value)
     return df
 
 

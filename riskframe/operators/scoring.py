@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import one_row
-from .columns import coerce_numeric, quarantine, quoted, require_binary, validate_frame
+from ..functions.values import quoted
+from .columns import coerce_numeric, quarantine, require_binary, validate_frame
 from .metrics import average_precision, classify, point_metrics
 from .models import predict
 
@@ -61,6 +62,9 @@ def score_summary(valid: DataFrame, rejected: DataFrame, predicted: str = "predi
 
 
 def ranked_scores(df: DataFrame, score: str = "fraud_probability", key: Sequence[str] = (), n: int | None = None) -> DataFrame:
-    """Scored rows, highest first; a range-partitioned sort, or a top-n when n is given."""
-    out = df.orderBy(F.col(score).desc(), *[F.col(k) for k in key])
+    """Scored rows, highest first, ties by key; a range-partitioned sort, or a top-n when n is given.
+
+    Forest scores tie by the million; without a key all rows of one score meet in one task.
+    """
+    out = df.orderBy(F.col(score).desc(), *[quoted(k) for k in key])
     return out if n is None else out.limit(n)

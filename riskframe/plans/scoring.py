@@ -6,12 +6,17 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.frames import cut_lineage
 from ..operators.columns import detect_schema, normalise_columns
 from ..operators.scoring import evaluate_labelled, ranked_scores, score_summary, score_upload
 from ..schema import LABEL_COL
 from ..sources.tables import write_table
-from ..sources.uploads import read_upload
+from ..sources.uploads import MALFORMED, read_upload
+
+# Fixed value: the reason of a row that has more or fewer cells than the first line.
+RAGGED = "another number of cells"
 
 
 class UnsuitableSchema(ValueError):
@@ -20,9 +25,9 @@ class UnsuitableSchema(ValueError):
     def __init__(self, kind: str, missing: list[str]):
         self.kind, self.missing = kind, missing
         if kind == "partial":
-            text = f"This file is missing {len(missing)} model feature(s): {', '.join(missing)}"
+            text = f"Of the model's features {len(missing)} are not in the file: {', '.join(missing)}"
         else:
-            text = f"This file uses everyday transaction columns, not the model's features; missing: {', '.join(missing)}"
+            text = f"The file describes transactions in other terms than the model's; it lacks {', '.join(missing)}"
         super().__init__(text)
 
 
@@ -38,18 +43,29 @@ def score_file(
     spark: SparkSession, path: str, model, meta: Mapping, out: str | None = None, label: str = LABEL_COL,
     max_rows: int | None = None,
 ) -> ScoredFile:
-    """Read, name, check, score, rank and export; rejected rows keep their reason."""
-    df = normalise_columns(read_upload(spark, path, max_rows))
+    """Read, name, check, score, rank and export; rejected rows keep their reason.
+
+    Scored and rejected rows are stored once, under ``out`` or in the shared folder, so that
+    ranking, metrics and summary do not score the file again.
+    """
+    df = normalise_columns(read_upload(spark, path, max_rows, keep_malformed=True))
     kind, missing = detect_schema(df, meta["feature_order"])
     if kind != "pca":
         raise UnsuitableSchema(kind, missing)
+    ragged = None
+    if MALFORMED in df.columns:
+        ragged = df.filter(F.col(MALFORMED).isNotNull()).drop(MALFORMED).withColumn("reason", F.lit(RAGGED))
+        df = df.filter(F.col(MALFORMED).isNull()).drop(MALFORMED)
     valid, rejected = score_upload(model, meta, df)
+    rejected = rejected if ragged is None else rejected.unionByName(ragged)
     if out:
-        # Written once and read back, so ranking and metrics do not score the file again.
         write_table(valid, f"{out}/scored")
         write_table(rejected, f"{out}/rejected")
         valid, rejected = spark.read.parquet(f"{out}/scored"), spark.read.parquet(f"{out}/rejected")
-    ranked = ranked_scores(valid)
+    else:
+        valid, rejected = cut_lineage(valid), cut_lineage(rejected)
+    # Scores tie; all columns after them keep a sort from putting one score into one task.
+    ranked = ranked_scores(valid, key=[c for c in df.columns if c in valid.columns])
     if out:
         write_table(ranked, f"{out}/ranked", "csv")
     metrics = evaluate_labelled(valid, label) if label in valid.columns else None

@@ -30,10 +30,7 @@ def test_duplicates_follow_table_equality(odd):
     assert tuple(Q.conflicting_labels(odd, ["x"], "y").first()) == (1, 2)
 
 
-@pytest.mark.parametrize("rows", [0, 100_000])
-def test_hot_groups_are_marked_like_others(spark, monkeypatch, rows):
-    monkeypatch.setattr(Q, "BROADCAST_ROWS", rows)
-    monkeypatch.setattr(Q, "HOT_GROUPS", 4)
+def test_hot_groups_are_marked_like_others(spark):
     df = spark.range(300).select("id", F.when(F.col("id") < 150, 0).otherwise(F.col("id") % 40).alias("x"))
     marked = Q.mark_duplicates(df, ["x"], ["id"])
     groups = {}
@@ -118,3 +115,29 @@ def test_lookup_and_alignment(spark):
     with pytest.raises(ValueError):
         require_alignment(facts, other, ["k"], "v")
     assert union_all(facts, names).columns == ["k", "v", "n"]
+
+
+def test_cells_of_a_row_can_be_told_apart(spark):
+    rows = [("x", None), (None, "x"), ("\\N", "x"), ("a\u001fb", "c"), ("a", "b\u001fc"), ("a\\", "\u001f"), ("a", "\\\u001f")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert Q.with_row_key(df, ["a", "b"]).select("row_id").distinct().count() == len(rows)
+    prints = {tuple(Q.fingerprint(df.filter(F.struct("a", "b").eqNullSafe(F.struct(F.lit(a).cast("string").alias("a"), F.lit(b).cast("string").alias("b")))), ["a", "b"]).first()) for a, b in rows}
+    assert len(prints) == len(rows)
+
+
+def test_infinite_cells(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(1.0, 2.0, 0), (inf, 3.0, 1), (1.0, 5.0, 1)], "a double, b double, y int")
+    found = {r["feature"]: r["correlation_with_class"] for r in P.target_correlation(df, "y").collect()}
+    assert found["a"] is None and P.top_abs(P.target_correlation(df, "y"), "correlation_with_class", 1).first()["feature"] == "b"
+    matrix = {(r["a"], r["b"]): r["correlation"] for r in P.correlation_matrix(df, ["a", "b"]).collect()}
+    assert matrix["a", "b"] is None and matrix["b", "b"] == pytest.approx(1.0)
+    with pytest.raises(Exception, match="infinite"):
+        P.histogram(df, "a", 4).collect()
+
+
+def test_box_statistics_leave_missing_cells_out(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(0, x) for x in (1.0, 2.0, 3.0, nan, nan, None, 100.0)], "g int, x double")
+    row = P.box_stats(df, F.col("x"), "g").first()
+    assert row["outliers"] == 1 and row["median"] == 2.5

@@ -20,12 +20,12 @@ def shapes():
 
 
 @pytest.mark.parametrize("name", list(shapes()))
-@pytest.mark.parametrize("small", [0, 1_000_000])
-def test_equals_sorted_interpolation(spark, name, small):
+@pytest.mark.parametrize("accuracy", [20, 10_000])
+def test_equals_sorted_interpolation(spark, name, accuracy):
     values = shapes()[name]
     rows = [(float(v),) for v in values] + [(None,), (float("nan"),)]
     df = spark.createDataFrame(rows, "x double")
-    found = {r["prob"]: r["value"] for r in exact_quantiles(df, ["x"], PROBS, small_cells=small, steps=16).collect()}
+    found = {r["prob"]: r["value"] for r in exact_quantiles(df, ["x"], PROBS, accuracy=accuracy).collect()}
     for p in PROBS:
         assert found[p] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
 
@@ -33,14 +33,14 @@ def test_equals_sorted_interpolation(spark, name, small):
 def test_groups_columns_and_empty_groups(spark):
     rows = [(i % 2, float(i), None if i % 2 else float(-i)) for i in range(101)]
     df = spark.createDataFrame(rows, "g int, a double, b double")
-    for small in (0, 10_000):
-        found = {(r["g"], r["feature"]): r["value"] for r in exact_quantiles(df, ["a", "b"], [0.5], ["g"], small_cells=small).collect()}
+    for accuracy in (10, 10_000):
+        found = {(r["g"], r["feature"]): r["value"] for r in exact_quantiles(df, ["a", "b"], [0.5], ["g"], accuracy=accuracy).collect()}
         assert found == {(0, "a"): 50.0, (0, "b"): -50.0, (1, "a"): 50.0, (1, "b"): None}
 
 
 def test_infinite_values_are_ordered(spark):
     df = spark.createDataFrame([(float("-inf"),), (1.0,), (float("inf"),)], "x double")
-    found = [r["value"] for r in exact_quantiles(df, ["x"], [0.0, 0.5, 1.0], small_cells=0).orderBy("prob").collect()]
+    found = [r["value"] for r in exact_quantiles(df, ["x"], [0.0, 0.5, 1.0]).orderBy("prob").collect()]
     assert found == [float("-inf"), 1.0, float("inf")]
 
 
@@ -54,5 +54,24 @@ def test_cap(spark):
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=30), st.floats(0, 1))
 def test_counting_equals_numpy(spark, values, p):
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    got = exact_quantiles(df, ["x"], [p], small_cells=0, steps=8).first()["value"]
+    got = exact_quantiles(df, ["x"], [p], accuracy=4).first()["value"]
     assert got == pytest.approx(np.quantile(values, p), rel=1e-9, abs=1e-9)
+
+
+def test_any_distribution_takes_two_passes(spark, monkeypatch):
+    """Powers of two over the whole range of doubles, and the largest double itself."""
+    from riskframe.operators import quantiles
+
+    stored = []
+    monkeypatch.setattr(quantiles, "cut_lineage", lambda df, keep=quantiles.cut_lineage: stored.append(1) or keep(df))
+    values = [2.0**i for i in range(-1000, 1000)] + [1.7976931348623157e308]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    found = {r["prob"]: r["value"] for r in exact_quantiles(df, ["x"], [0.0, 0.5, 1.0], accuracy=50).collect()}
+    assert found == {0.0: 2.0**-1000, 0.5: 1.0, 1.0: 1.7976931348623157e308}
+    assert len(stored) == 1
+
+
+def test_names_with_dots_and_spaces(spark):
+    df = spark.createDataFrame([(1.0, "a"), (3.0, "a")], "`x.y z` double, `g.h` string")
+    row = exact_quantiles(df, ["x.y z"], [0.5], ["g.h"]).first()
+    assert tuple(row) == ("a", "x.y z", 0.5, 2.0)

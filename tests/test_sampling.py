@@ -10,8 +10,8 @@ def rows(spark):
         F.col("id").alias("key"), F.when(F.col("id") % 29 == 0, 1).otherwise(0).alias("y"), (F.col("id") * 3).alias("x"))
 
 
-def test_published_allocation():
-    train = S.split_quotas({0: 283_253, 1: 473}, 0.2)
+def test_published_allocation(spark):
+    train = S.split_quotas(spark, {0: 283_253, 1: 473}, 0.2)
     assert train == {0: 226_602, 1: 378}
     assert {c: n - train[c] for c, n in {0: 283_253, 1: 473}.items()} == {0: 56_651, 1: 95}
 
@@ -38,27 +38,39 @@ def test_folds_differ_by_one(rows, k):
         assert len(s) == k and max(s) - min(s) <= 1
 
 
-def test_counting_gives_the_sorted_cuts(rows):
-    for make in (S.stratified_split, S.stratified_folds):
-        sorted_way = make(rows, "y", ["key"]).collect()
-        counted_way = make(rows, "y", ["key"], sort_rows=0).collect()
-        assert sorted(map(tuple, sorted_way)) == sorted(map(tuple, counted_way))
+def test_cuts_follow_the_order_of_tokens(rows):
+    from hashlib import md5
+
+    parts = {r["key"]: (r["y"], r["split"]) for r in S.stratified_split(rows, "y", ["key"]).collect()}
+    for y in (0, 1):
+        order = sorted((k for k, (c, _) in parts.items() if c == y), key=lambda k: md5(f"{k}|42/split".encode()).hexdigest())
+        test = sum(parts[k][1] == "test" for k in order)
+        assert [parts[k][1] for k in order] == ["test"] * test + ["train"] * (len(order) - test)
+
+
+def test_many_classes(spark):
+    """More classes than any list on the driver should hold would do as well."""
+    rows = spark.range(60_000).select(F.col("id").alias("key"), (F.col("id") % 12_000).alias("y"))
+    out = S.stratified_folds(rows, "y", ["key"], 5)
+    assert out.groupBy("fold").count().select("count").distinct().collect()[0][0] == 12_000
+    assert out.groupBy("y", "fold").count().agg(F.max("count")).first()[0] == 1
 
 
 def test_parts_of_any_size(rows):
     sizes = S.class_sizes(rows, "y")
-    parts = {c: [0, 3, 0, n - 3, 0] for c, n in sizes.items()}
-    for limit in (0, 10**6):
-        out = S.hash_segments(rows, "y", parts, ["key"], 1, "part", limit)
+    parts = S.parts_frame(rows, "y", {c: [0, 3, 0, n - 3, 0] for c, n in sizes.items()})
+    for frame in (rows, rows.repartition(3)):
+        out = S.hash_segments(frame, "y", parts, ["key"], 1, "part")
         assert {tuple(r) for r in out.groupBy("y", "part").count().collect()} == {
             (0, 1, 3), (0, 3, sizes[0] - 3), (1, 1, 3), (1, 3, sizes[1] - 3)}
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_repeated_keys_are_refused(spark, limit):
+def test_repeated_keys_are_refused(spark):
     df = spark.range(100).select(F.lit(1).alias("key"), (F.col("id") % 2).alias("y"))
     with pytest.raises(ValueError, match="not unique"):
-        S.stratified_split(df, "y", ["key"], sort_rows=limit)
+        S.stratified_split(df, "y", ["key"])
+    with pytest.raises(ValueError, match="not unique"):
+        S.sample_exact(df, 10, ["key"])
 
 
 def test_unfit_labels_are_refused(spark):
