@@ -46,13 +46,9 @@ def small_model():
     s = M.Spelling(words, kinds)
     pairs = np.bincount(s.before * M.SYMBOLS + s.symbol, n[s.word], minlength=M.SYMBOLS**2).astype(np.int64)
     trees = M.build_trees(pairs.reshape(M.SYMBOLS, M.SYMBOLS))
-    owner, node, bit = trees.decisions(s)
-    tables = []
-    for k, slot in enumerate(M._slots(node, s.contexts(), owner)):
-        v = np.zeros((M.SIZES[k], 2), np.int64)
-        np.add.at(v.reshape(-1), slot * 2 + bit, n[s.word[owner]])
-        tables.append(((np.log(v[:, 1] + 0.4) - np.log(v[:, 0] + 0.4)).astype(np.float32), np.frexp(v.sum(axis=1).astype(float))[1].astype(np.uint8)))
-    return M.Mixer(classes, trees, tables, M.first_weights().astype(np.float32))
+    sums = [np.zeros((size, 2), np.int64) for size in M.SIZES]
+    M._add_words(sums, trees, s, n)
+    return M.Mixer(classes, trees, [M._logits(v) for v in sums], M.first_weights())
 
 
 def plain_log10(mixer, words, kind):
@@ -74,10 +70,10 @@ def test_mixing_matches_the_sequential_form():
     texts = [b"the cat of the house", b"", b"la casa", b"zzz qqq " * 150, b"the mat"]
     docs = [[*t.split(), b""] for t in texts]
     kinds = [mixer.classes.of(d) for d in docs]
-    place, ids = {}, []
-    for d, k in zip(docs, kinds):
-        ids.append(np.array([place.setdefault((k, w), len(place)) for w in d]))
-    got = mixer.log10(ids, [w for _, w in place], np.array([k for k, _ in place]), np.array(kinds))
+    known = M.Known(mixer)
+    ids = [known.ids(d, k) for d, k in zip(docs, kinds)]
+    known.complete()
+    got = mixer.log10(ids, known, np.array(kinds))
     for g, d, k in zip(got, docs, kinds):
         assert abs(g - plain_log10(mixer, d, k)) < 1e-3 * max(1, abs(g))
 
