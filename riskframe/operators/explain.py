@@ -7,12 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml.classification import (
-    DecisionTreeClassificationModel,
-    LogisticRegressionModel,
-    RandomForestClassificationModel,
-)
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressionModel, RandomForestRegressionModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,7 +111,7 @@ def sampled_shap(
 def explain(model, df: DataFrame, key: Sequence[str], background: DataFrame | None = None, keep: Sequence[str] = (), **options) -> DataFrame:
     """Contributions by the method that fits the model."""
     fitted = model.stages[-1]
-    if isinstance(fitted, (DecisionTreeClassificationModel, RandomForestClassificationModel, BaggedForest)):
+    if isinstance(fitted, (DecisionTreeRegressionModel, RandomForestRegressionModel, BaggedForest)):
         return tree_shap(model, df, key, keep)
     if isinstance(fitted, LogisticRegressionModel):
         return linear_shap(model, df, key, background, keep)

@@ -19,6 +19,8 @@ from ..functions.values import fold_nan
 from .quantiles import quantile_columns
 
 AMOUNT_TRANSFORMS = ("original", "log1p")
+#: Prefix of scaled columns inside a preparation.
+SCALED = "scaled__"
 
 
 def robust_stats(df: DataFrame, cols: Sequence[str], **options) -> DataFrame:
@@ -90,10 +92,10 @@ class Preprocess:
             stats |= {r["feature"]: (r["center"], r["scale"]) for r in standard_stats(df, self.standard).collect()}
         expressions = {**plain, **logged}
         scaled = [
-            f"(({expressions[c]}) - {_literal(stats[c][0])}) / {_literal(stats[c][1])} AS `scaled__{c}`"
+            f"(({expressions[c]}) - {_literal(stats[c][0])}) / {_literal(stats[c][1])} AS `{SCALED}{c}`"
             for c in self.names() if c in stats
         ]
-        inputs = [f"scaled__{c}" if c in stats else c for c in self.names()]
+        inputs = [f"{SCALED}{c}" if c in stats else c for c in self.names()]
         stages = []
         if scaled:
             stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__"))
@@ -127,7 +129,7 @@ def feature_names(model: PipelineModel) -> list[str]:
     """Names in vector order, read from the assembler."""
     for stage in model.stages:
         if isinstance(stage, VectorAssembler):
-            return [c.split("__", 1)[-1] for c in stage.getInputCols()]
+            return [c.removeprefix(SCALED) for c in stage.getInputCols()]
         if isinstance(stage, PipelineModel):
             return feature_names(stage)
     raise ValueError("The model has no assembler")

@@ -1,13 +1,23 @@
-"""Classifiers as candidate specifications, fitted with Spark ML."""
+"""Classifiers as candidate specifications, fitted with Spark ML.
+
+Trees are fitted as regressions of the 0/1 label: for two classes variance is half the gini
+impurity, so the splits are those of a classification tree, and a leaf holds the class-1 share.
+(Spark's classification trees merge sibling leaves that predict the same class, which erases
+nearly every split of a rare label.) Rows are dealt to a fixed number of partitions and sorted by
+key before every fit, so seeded forests do not depend on cores or on how the input was stored.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +31,10 @@ from .resample import smote
 LR, DT, RF = "Logistic Regression", "Decision Tree", "Random Forest"
 ORIGINAL, BALANCED = "original_distribution", "class_weight_balanced"
 SUBSAMPLE, SMOTE = "class_weight_balanced_subsample", "smote"
+#: Depth of a tree without a limit; Spark grows none deeper.
 DEEPEST = 30
+#: Partitions of the fitting rows; part of a seeded result, so it is fixed and not taken from the cluster.
+FIT_PARTITIONS = 16
 
 
 @dataclass(frozen=True)
@@ -95,8 +108,11 @@ def _tree_params(params: Mapping[str, object]) -> dict:
         raise ValueError("min_samples_split other than 2 is not supported")
     if params.get("criterion", "gini") != "gini":
         raise ValueError("Only the gini criterion is supported")
+    depth = params.get("max_depth")
+    if depth is not None and int(depth) > DEEPEST:
+        raise ValueError(f"max_depth above {DEEPEST} is not supported")
     return {
-        "maxDepth": min(DEEPEST, params.get("max_depth") or DEEPEST),
+        "maxDepth": DEEPEST if depth is None else int(depth),
         "minInstancesPerNode": int(params.get("min_samples_leaf") or 1),
         "maxBins": int(params.get("max_bins") or 256),
         "seed": int(params.get("random_state") or SEED),
@@ -119,10 +135,10 @@ def classifier(spec: Candidate, weight_sum: float, label: str, weight: str | Non
             maxIter=int(params.get("max_iter", 1000)),
         )
     if spec.model == DT:
-        return DecisionTreeClassifier(**columns, **_tree_params(params))
+        return DecisionTreeRegressor(**columns, **_tree_params(params))
     if spec.model == RF:
         subset = params.get("max_features", "sqrt")
-        return RandomForestClassifier(
+        return RandomForestRegressor(
             **columns, **_tree_params(params), numTrees=int(params.get("n_estimators", 100)),
             featureSubsetStrategy="all" if subset is None else str(subset),
         )
@@ -148,11 +164,9 @@ class BaggedForest:
     def transform(self, df: DataFrame) -> DataFrame:
         out = self.prepared.transform(df)
         for i, tree in enumerate(self.trees):
-            tree.setProbabilityCol(f"__p{i}").setRawPredictionCol("").setPredictionCol("")
-            out = tree.transform(out)
-            out = out.withColumn(f"__p{i}", vector_to_array(f"__p{i}")[1])
+            out = tree.setPredictionCol(f"__p{i}").transform(out)
         total = sum((F.col(f"__p{i}") for i in range(len(self.trees))), F.lit(0.0)) / len(self.trees)
-        out = out.withColumn("probability", array_to_vector(F.array(1 - total, total)))
+        out = out.withColumn("prediction", total)
         return out.drop(*[f"__p{i}" for i in range(len(self.trees))])
 
 
@@ -167,10 +181,11 @@ def bootstrap_count(key: Sequence[str], seed: object):
     return count.otherwise(13)
 
 
-def _fit_bagged(spec: Candidate, prepared: PipelineModel, rows: DataFrame, columns: Columns) -> BaggedForest:
+def _fit_bagged(spec: Candidate, prepared: PipelineModel, rows: DataFrame, columns: Columns, at_once: int = 8) -> BaggedForest:
+    """Trees are fitted in groups, ``at_once`` jobs side by side."""
     single = spec.with_params(n_estimators=1)
-    trees = []
-    for i in range(int(spec.params.get("n_estimators", 100))):
+
+    def one(i: int):
         drawn = rows.withColumn("__n", bootstrap_count([columns.key], f"{SEED}/tree/{i}").cast("double")).filter("__n > 0")
         sizes = {r[0]: r[1] for r in drawn.groupBy(columns.label).agg(F.sum("__n")).collect()}
         total = sum(sizes.values())
@@ -179,14 +194,20 @@ def _fit_bagged(spec: Candidate, prepared: PipelineModel, rows: DataFrame, colum
             weight = weight.when(F.col(columns.label) == c, F.lit(total / (len(sizes) * n)))
         weighted = drawn.withColumn("__weight", weight * F.col("__n"))
         model = classifier(single.with_params(random_state=SEED + i), total, columns.label, "__weight")
-        trees.append(model.setBootstrap(False).fit(weighted))
+        return model.setBootstrap(False).setFeatureSubsetStrategy(str(spec.params.get("max_features") or "sqrt")).fit(weighted)
+
+    with ThreadPool(at_once) as pool:
+        trees = pool.map(inheritable_thread_target(rows.sparkSession)(one), range(int(spec.params.get("n_estimators", 100))))
     return BaggedForest(prepared, trees)
 
 
-def fit(spec: Candidate, train: DataFrame, columns: Columns):
-    """Fit a candidate on training rows; statistics, weights and synthetic rows come from them only."""
+def fit(spec: Candidate, train: DataFrame, columns: Columns, partitions: int = FIT_PARTITIONS):
+    """Fit a candidate on training rows; statistics, weights and synthetic rows come from them only.
+
+    A cluster with much data needs more ``partitions``; the same number gives the same model.
+    """
     prepared = preprocess_for(spec, columns).fit(train)
-    rows = prepared.transform(spread(train.select(columns.key, columns.label, *columns.features), [columns.key]))
+    rows = prepared.transform(spread(train.select(columns.key, columns.label, *columns.features), [columns.key], partitions, ordered=True))
     rows = rows.select(columns.key, columns.label, "features")
     weight = None
     if spec.strategy == SUBSAMPLE:
@@ -199,7 +220,8 @@ def fit(spec: Candidate, train: DataFrame, columns: Columns):
     elif spec.strategy == SMOTE:
         arrays = rows.withColumn("features", vector_to_array("features"))
         made = smote(arrays, columns.label, columns.key, "features")
-        rows = cut_lineage(spread(made.select(columns.key, columns.label, array_to_vector("features").alias("features")), [columns.key]))
+        dealt = spread(cut_lineage(made.select(columns.key, columns.label, "features")), [columns.key, "features"], partitions, ordered=True)
+        rows = dealt.select(columns.key, columns.label, array_to_vector("features").alias("features"))
     elif spec.strategy != ORIGINAL:
         raise ValueError(f"Unknown strategy: {spec.strategy}")
     total = float(rows.count()) if spec.model == LR else 0.0
@@ -209,7 +231,8 @@ def fit(spec: Candidate, train: DataFrame, columns: Columns):
 
 def predict(model, df: DataFrame, name: str = "score") -> DataFrame:
     """Add the class-1 probability; helper columns of the pipeline are dropped."""
-    scored = model.transform(df).withColumn(name, vector_to_array("probability")[1])
+    out = model.transform(df)
+    scored = out.withColumn(name, vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction"))
     return scored.select(*df.columns, name)
 
 

@@ -90,10 +90,10 @@ def test_models_are_saved_and_checked(spark, raw, model, tmp_path):
     assert found["threshold"] == 0.485
     want = [r["score"] for r in M.predict(model, raw).orderBy("row_id").collect()]
     assert [r["score"] for r in M.predict(loaded, raw).orderBy("row_id").collect()] == want
-    with pytest.raises(ValueError, match="order"):
+    with pytest.raises(ValueError, match="other features"):
         load_checked(spark, path, FEATS[::-1])
     save_model(model, path, {**meta, "threshold": 1.5}, spark)
-    with pytest.raises(ValueError, match="threshold"):
+    with pytest.raises(ValueError, match="cut 1.5"):
         load_checked(spark, path, FEATS)
     save_preprocessing(model, str(tmp_path / "p"))
     bag = M.fit(M.Candidate("b", M.RF, M.SUBSAMPLE, params={"n_estimators": 2, "max_depth": 2}), raw, COLS)
@@ -134,7 +134,7 @@ def test_strict_scoring(raw, model):
     out = score(model, META, raw.select("row_id", *FEATS), ["row_id"])
     assert out.columns == ["row_id", "fraud_probability", "predicted_class", "threshold"]
     assert out.filter((F.col("fraud_probability") >= 0.485) != (F.col("predicted_class") == 1)).count() == 0
-    with pytest.raises(ValueError, match="negative"):
+    with pytest.raises(ValueError, match="below zero"):
         score(model, META, raw.select(*FEATS).withColumn("Amount", -F.col("Amount")))
 
 
@@ -162,7 +162,7 @@ def test_file_job(spark, raw, model, tmp_path):
     ranked = [r["fraud_probability"] for r in done.ranked.collect()]
     assert ranked == sorted(ranked, reverse=True)
     spark.createDataFrame([("x", 1.0)], "merchant string, amount double").write.parquet(str(tmp_path / "e.parquet"))
-    with pytest.raises(UnsuitableSchema, match="everyday|missing"):
+    with pytest.raises(UnsuitableSchema, match="other terms|not in the file"):
         score_file(spark, str(tmp_path / "e.parquet"), model, META)
 
 
@@ -212,3 +212,37 @@ def test_profile_report(raw):
     facts = report["dataset_profile"].first()
     assert (facts["rows"], facts["exact_duplicate_rows_after_first"], facts["target_labels"]) == (630, 30, [0, 1])
     assert len(facts.asDict()) == 28 and all(t.count() > 0 for t in report.values())
+
+
+def rare(spark, n=20_000):
+    """2 % positive; twenty times as likely above a cut."""
+    rng = np.random.default_rng(1)
+    x, z = rng.random(n), rng.random(n)
+    y = rng.random(n) < np.where(x > 0.9, 0.18, 0.002)
+    rows = [(i, float(a), float(b), int(c)) for i, (a, b, c) in enumerate(zip(x, z, y))]
+    return spark.createDataFrame(rows, "row_id int, x double, z double, Class int")
+
+
+RARE = M.Columns("row_id", "Class", ("x", "z"), "z", None)
+
+
+def test_unweighted_trees_keep_their_probabilities(spark):
+    df = rare(spark)
+    model = M.fit(M.Candidate("dt", M.DT, params={"max_depth": 1}), df, RARE)
+    shares = {r["high"]: r["share"] for r in df.groupBy((F.col("x") > 0.9).alias("high")).agg(F.avg("Class").alias("share")).collect()}
+    levels = sorted(r["score"] for r in M.predict(model, df).select("score").distinct().collect())
+    assert len(levels) == 2
+    assert levels[0] == pytest.approx(shares[False], rel=0.1) and levels[1] == pytest.approx(shares[True], rel=0.1)
+
+
+@pytest.mark.parametrize("strategy", [M.ORIGINAL, M.SUBSAMPLE])
+def test_forests_do_not_depend_on_the_input_partitions(spark, strategy):
+    df = rare(spark, 3000)
+    spec = M.Candidate("rf", M.RF, strategy, params={"n_estimators": 4, "max_depth": 4})
+    sums = [M.predict(M.fit(spec, df.repartition(n), RARE), df).agg(F.sum(F.round("score", 9))).first()[0] for n in (4, 6)]
+    assert sums[0] == pytest.approx(sums[1], abs=1e-6)
+
+
+def test_deeper_trees_than_spark_grows_are_refused(raw):
+    with pytest.raises(ValueError, match="max_depth"):
+        M.fit(M.Candidate("x", M.DT, params={"max_depth": 31}), raw, COLS)
