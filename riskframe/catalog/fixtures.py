@@ -16,13 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with a rare label that quantity and discount explain, and two scores."""
+    """Line items with a rare label that quantity and discount explain, and two scores.
+
+    Two line items may have the same four numbers; the ship day is the last tie-break of the key.
+    """
     li = table(spark, sf_dir, "lineitem")
+    days = F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date"))
     u = uniform(LINE_KEY, 42)
     rare = (u < 0.0005) | ((F.col("l_quantity") >= 45) & (F.col("l_discount") >= 0.09) & (u < 0.10))
     return li.select(
-        F.concat_ws("|", *LINE_KEY).alias("row_id"),
-        F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")).cast("double").alias("days"),
+        F.concat_ws("|", *LINE_KEY, days).alias("row_id"), days.cast("double").alias("days"),
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("amount"),
         F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
         F.col("l_returnflag").alias("returnflag"), F.col("l_linestatus").alias("linestatus"),
@@ -36,7 +39,7 @@ hashed AS (
   SELECT *, ('0x' || substr(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, 42)), 1, 8))::BIGINT
     / 4294967296.0 AS u FROM lineitem),
 tx AS (
-  SELECT concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row_id,
+  SELECT concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, date_diff('day', TIMESTAMP '1992-01-01', l_shipdate)) AS row_id,
     date_diff('day', TIMESTAMP '1992-01-01', l_shipdate)::DOUBLE AS days, l_quantity AS quantity,
     l_extendedprice AS amount, l_discount AS discount, l_tax AS tax, l_returnflag AS returnflag,
     l_linestatus AS linestatus,

@@ -10,7 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel, RandomForestRegressionModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import cut_lineage, explode_features, join_on
@@ -20,6 +20,7 @@ from ..schema import SEED
 from .features import feature_names, transform_only
 from .models import BaggedForest, predict
 from .quantiles import exact_quantiles
+from .ranking import numbered
 from .sampling import sample_exact
 from .selection import ranked
 from .tree_shap import tree_shap
@@ -62,25 +63,25 @@ def linear_shap(model, df: DataFrame, key: Sequence[str], background: DataFrame
 
 def sampled_shap(
     score: Callable[[DataFrame], DataFrame], df: DataFrame, features: Sequence[str], background: DataFrame,
-    key: Sequence[str], permutations: int = 16, seed: int = SEED, background_rows: int = 100,
+    key: Sequence[str], permutations: int = 16, seed: int = SEED, background_rows: int | None = None,
 ) -> DataFrame:
     """Sampled Shapley values of any scorer (adds ``score``), all rows in one pass.
 
     Every row walks ``permutations`` seeded feature orders from a background row to itself;
-    the steps are scored together. Base is the mean score of the background rows used, so
-    base and contributions add up to the row's own score.
+    the steps are scored together. Walks start from any row of the background, or of a sample of
+    ``background_rows``. Base is the mean score of the rows they start from, so base and
+    contributions add up to the row's own score.
     """
-    few = cut_lineage(sample_exact(background, background_rows, key, seed).select(*features))
-    n = few.count()
-    order = Window.partitionBy(F.lit(0)).orderBy(*features)
-    pool = few.withColumn("__at", F.row_number().over(order) - 1).select(
-        "__at", F.array(*[F.col(f).cast("double") for f in features]).alias("__from"))
+    few = background if background_rows is None else sample_exact(background, background_rows, key, seed)
+    pool = cut_lineage(numbered(few.select(*features), [F.col(f) for f in features], "__at")).select(
+        (F.col("__at") - 1).alias("__at"), F.array(*[F.col(f).cast("double") for f in features]).alias("__from"))
+    n = pool.count()
     walks = df.select(
         *key, F.array(*[F.col(f).cast("double") for f in features]).alias("__x"),
         F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("__walk"),
     )
     token = hash_token([*key, "__walk"], seed)
-    walks = walks.withColumn("__at", (hex_number(token, 1, 8) % n).cast("int")).join(F.broadcast(pool), "__at")
+    walks = walks.withColumn("__at", hex_number(token, 1, 12) % n).join(pool, "__at")
     turns = F.array_sort(F.array(*[
         F.struct(hash_token([*key, "__walk"], f"{seed}/{f}").alias("t"), F.lit(i).alias("i")) for i, f in enumerate(features)
     ]))
@@ -90,20 +91,19 @@ def sampled_shap(
         f: F.when(F.array_position("__turns", F.lit(i)) <= F.col("__step"), F.col("__x")[i]).otherwise(F.col("__from")[i])
         for i, f in enumerate(features)
     })
-    scored = score(mixed.select(*key, "__walk", "__x", "__turns", "__step", *features))
-    path = F.map_from_entries(F.collect_list(F.struct("__step", "score")))
-    walked = scored.groupBy(*key, "__walk").agg(
-        path.alias("__path"), F.first("__turns").alias("__turns"), F.first("__x").alias("x")
-    )
-    gains = F.array(*[
-        F.col("__path")[F.array_position("__turns", F.lit(i)).cast("int")]
-        - F.col("__path")[(F.array_position("__turns", F.lit(i)) - 1).cast("int")]
-        for i in range(len(features))
-    ])
-    one = walked.select(*key, "x", gains.alias("g"), F.col("__path")[0].alias("start"))
-    mean = one.groupBy(*key).agg(
-        F.first("x").alias("x"), F.array(*[F.avg(F.col("g")[i]) for i in range(len(features))]).alias("phi"),
-        F.avg("start").alias("base"),
+    # A step's score counts for the feature that came last and against the one that comes next, so
+    # plain sums per row give the gains.
+    walked = mixed.select(
+        *key, "__step", F.get("__turns", F.col("__step") - 1).alias("__last"), F.get("__turns", F.col("__step")).alias("__next"), "__x", *features)
+    scored = score(walked)
+
+    def gain(i: int) -> Column:
+        sign = F.when(F.col("__last") == i, 1).otherwise(0) - F.when(F.col("__next") == i, 1).otherwise(0)
+        return F.sum(sign * F.col("score")) / permutations
+
+    mean = scored.groupBy(*key).agg(
+        F.any_value("__x").alias("x"), F.array(*[gain(i) for i in range(len(features))]).alias("phi"),
+        F.avg(F.when(F.col("__step") == 0, F.col("score"))).alias("base"),
     )
     return explode_features(mean, list(features), [*key, "base"])
 
@@ -148,7 +148,7 @@ def importance(contributions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def global_importance(contributions: DataFrame) -> DataFrame:
     """Importance with rank 1..n; one row per feature."""
-    return ranked(cut_lineage(importance(contributions)), "mean_absolute")
+    return ranked(importance(contributions), "mean_absolute")
 
 
 def cohort_importance(contributions: DataFrame, label: str, names: tuple[str, str] = ("fraud", "legitimate")) -> DataFrame:
@@ -221,8 +221,9 @@ def explain_rows(
 
 def beeswarm_data(contributions: DataFrame, key: Sequence[str], n: int = 20) -> DataFrame:
     """Points of the n most important features: key, feature, rank, value, contribution."""
-    order = global_importance(contributions).filter(F.col("rank") <= n).select("feature", "rank")
-    return contributions.join(F.broadcast(order), "feature").select(*key, "feature", "rank", "value", "contribution")
+    stored = cut_lineage(contributions)
+    order = global_importance(stored).filter(F.col("rank") <= n).select("feature", "rank")
+    return stored.join(order, "feature").select(*key, "feature", "rank", "value", "contribution")
 
 
 def importance_bars(contributions: DataFrame, n: int = 20) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import quoted
 from ..operators.profile import (
     box_stats,
     class_stats,
@@ -26,20 +27,17 @@ from ..operators.quality import (
     predictors,
 )
 from ..operators.quantiles import cap_at_quantile
-from ..operators.sampling import sample_by_class
-from ..schema import LABEL_COL, SEED
+from ..schema import LABEL_COL
 
 
 def profile_report(
     df: DataFrame, key: Sequence[str], label: str = LABEL_COL, amount: str = "Amount", time: str = "Time",
-    plot_rows: int = 20_000, seed: int = SEED,
 ) -> dict[str, DataFrame]:
-    """Named tables; the key columns take no part in the statistics."""
+    """Named tables over all rows; the key columns take no part in the statistics."""
     data = df.drop(*key)
     feats = predictors(data, label)
     correlations = target_correlation(data, label, feats)
     leading = [r["feature"] for r in top_abs(correlations, "correlation_with_class", 8).collect()]
-    shown = sample_by_class(df, label, plot_rows, key, seed)
     return {
         "dataset_profile": profile(data, label, amount, time, feats),
         "class_distribution": class_distribution(data, label),
@@ -51,8 +49,8 @@ def profile_report(
         "duplicate_analysis": duplicate_measures(data, feats, label),
         "feature_target_correlations": correlations,
         "amount_distribution": histogram(cap_at_quantile(data, amount, 0.995), amount, 70),
-        "amount_by_class": box_stats(shown, F.log1p(amount), label),
+        "amount_by_class": box_stats(data, F.log1p(quoted(amount)), label),
         "time_distribution": histogram(data, time, 60, [label], density=True),
-        "selected_feature_distributions": histogram(shown, leading, 45, [label], density=True),
+        "selected_feature_distributions": histogram(data, leading, 45, [label], density=True),
         "correlation_matrix": correlation_matrix(data, [*feats, label]),
     }

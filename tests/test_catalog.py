@@ -8,23 +8,21 @@ from __spark_entry__ import entry, oracle_sql, queries
 # Fits repeat what other tests cover; here one of each kind is enough.
 SLOW = {"locked_evaluation", "candidate_comparison", "strategy_comparison", "metric_bars", "random_search", "frozen_threshold"}
 
-# These join on the row key, which the smallest line item table repeats once.
-UNIQUE_KEY = {"additivity", "row_explanations", "sampled_shapley", "tree_additivity"}
-LARGER = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="module")
-def cons(sf):
-    return {path: connect(path) for path in (sf, LARGER)}
+def con(sf):
+    return connect(sf)
+
+
+OWN = {n for n in queries() if n == "pipeline" or n.startswith("op") and n[2].isdigit()}  # tested in tests/llm
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
-def test_query_matches_sql(spark, sf, cons, name):
-    path = LARGER if name in UNIQUE_KEY else sf
-    assert compare(queries()[name](spark, path), cons[path], oracle_sql()[name]) == ""
+@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - OWN))
+def test_query_matches_sql(spark, sf, con, name):
+    assert compare(queries()[name](spark, sf), con, oracle_sql()[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SLOW - OWN))
 def test_query_runs(spark, sf, name):
     assert queries()[name](spark, sf).count() > 0
 
