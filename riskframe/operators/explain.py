@@ -1,6 +1,7 @@
 """Shapley contributions for each model kind and the tables built from them.
 
-Contributions are kept long: key, feature, value, contribution, base.
+Contributions are long (key, feature, value, contribution, base) or wide (key, arrays ``x`` and
+``phi``, base). Tables about single rows start from the wide form and shuffle nothing.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ OUTCOMES = ["true_positive", "true_negative", "false_positive", "false_negative"
 
 def linear_contributions(
     df: DataFrame, coefficients: Mapping[str, float], intercept: float, key: Sequence[str],
-    background: DataFrame | None = None, keep: Sequence[str] = (),
+    background: DataFrame | None = None, keep: Sequence[str] = (), wide: bool = False,
 ) -> DataFrame:
     """coefficient * (x - background mean) per feature, in log-odds."""
     names = list(coefficients)
@@ -41,10 +42,16 @@ def linear_contributions(
         F.array(*[F.lit(float(coefficients[c])) * (F.col(c) - F.lit(means[c])) for c in names]).alias("phi"),
     )
     base = intercept + sum(coefficients[c] * means[c] for c in names)
-    return explode_features(rows, names, carried).withColumn("base", F.lit(float(base)))
+    return _shaped(rows.withColumn("base", F.lit(float(base))), names, [*carried, "base"], wide)
 
 
-def linear_shap(model, df: DataFrame, key: Sequence[str], background: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def _shaped(rows: DataFrame, names: Sequence[str], carried: Sequence[str], wide: bool) -> DataFrame:
+    return rows if wide else explode_features(rows, names, carried)
+
+
+def linear_shap(
+    model, df: DataFrame, key: Sequence[str], background: DataFrame | None = None, keep: Sequence[str] = (), wide: bool = False
+) -> DataFrame:
     """Linear Shapley values of a fitted logistic regression on its prepared features."""
     fitted = model.stages[-1]
     names = feature_names(model)
@@ -58,7 +65,7 @@ def linear_shap(model, df: DataFrame, key: Sequence[str], background: DataFrame
     data = spread(df.select(*[c for c in df.columns]), carried)
     behind = spread(background if background is not None else df, [])
     weights = dict(zip(names, (float(c) for c in fitted.coefficients), strict=True))
-    return linear_contributions(data, weights, float(fitted.intercept), key, behind, keep)
+    return linear_contributions(data, weights, float(fitted.intercept), key, behind, keep, wide)
 
 
 def sampled_shap(
@@ -108,13 +115,15 @@ def sampled_shap(
     return explode_features(mean, list(features), [*key, "base"])
 
 
-def explain(model, df: DataFrame, key: Sequence[str], background: DataFrame | None = None, keep: Sequence[str] = (), **options) -> DataFrame:
-    """Contributions by the method that fits the model."""
+def explain(
+    model, df: DataFrame, key: Sequence[str], background: DataFrame | None = None, keep: Sequence[str] = (), wide: bool = False, **options
+) -> DataFrame:
+    """Contributions by the method that fits the model; ``feature_names`` gives the order of the wide form."""
     fitted = model.stages[-1]
     if isinstance(fitted, (DecisionTreeRegressionModel, RandomForestRegressionModel, BaggedForest)):
-        return tree_shap(model, df, key, keep)
+        return tree_shap(model, df, key, keep, wide)
     if isinstance(fitted, LogisticRegressionModel):
-        return linear_shap(model, df, key, background, keep)
+        return linear_shap(model, df, key, background, keep, wide)
     features = feature_names(model)
     return sampled_shap(
         lambda rows: predict(model, rows), df, features, background if background is not None else df, key, **options
@@ -160,11 +169,29 @@ def cohort_importance(contributions: DataFrame, label: str, names: tuple[str, st
     ])
 
 
-def top_contributions(contributions: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
-    """The n largest contributions of each case with rank and direction."""
-    order = Window.partitionBy(*key).orderBy(F.abs("contribution").desc(), "feature")
-    rows = contributions.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    return rows.withColumn("direction", direction("contribution"))
+def _by_size(names: Sequence[str]) -> Column:
+    """A wide row's cells, the largest contribution first, ties by feature."""
+    return F.array_sort(F.array(*[
+        F.struct((-F.abs(F.col("phi")[i])).alias("size"), F.lit(n).alias("feature"), F.col("x")[i].alias("value"), F.col("phi")[i].alias("contribution"))
+        for i, n in enumerate(names)
+    ]))
+
+
+def wide_of(contributions: DataFrame, key: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """A stored long table as wide rows, at the price of one shuffle; every row must have the same features."""
+    names = sorted(r["feature"] for r in contributions.select("feature").distinct().toLocalIterator())
+    cells = F.map_from_entries(F.collect_list(F.struct("feature", F.struct("value", "contribution"))))
+    rows = contributions.groupBy(*key).agg(cells.alias("m"), F.first("base").alias("base"))
+    arrays = {out: F.array(*[F.col("m")[n][c] for n in names]) for out, c in (("x", "value"), ("phi", "contribution"))}
+    return rows.withColumns(arrays).drop("m"), names
+
+
+def top_contributions(wide: DataFrame, names: Sequence[str], n: int, key: Sequence[str]) -> DataFrame:
+    """The n largest contributions of each wide row with rank and direction."""
+    cells = F.posexplode(F.slice(_by_size(names), 1, n)).alias("at", "c")
+    rows = wide.select(*key, "base", cells)
+    return rows.select(
+        *key, (F.col("at") + 1).alias("rank"), "c.feature", "c.value", "c.contribution", "base", direction(F.col("c.contribution")).alias("direction"))
 
 
 def representative_rows(
@@ -195,27 +222,27 @@ def representative_cases(
     ``predictions`` hold the model's features next to key, score and outcome.
     """
     cases = cut_lineage(representative_rows(predictions, key, score))
-    contributions = cut_lineage(explain(model, cases, key, keep=["outcome"]))
+    wide = cut_lineage(explain(model, cases, key, keep=["outcome"], wide=True))
+    names = feature_names(model)
+    contributions = explode_features(wide, names, [*key, "outcome", "base"])
     require_additivity(contributions, cases, key, score, tolerance)
     rebuilt = contributions.groupBy(*key).agg(
         F.first("base").alias("base_value"), (F.first("base") + F.sum("contribution")).alias("reconstructed_probability")
     )
-    return join_on(cases, rebuilt, key), top_contributions(contributions, n, [*key, "outcome"])
+    return join_on(cases, rebuilt, key), top_contributions(wide, names, n, [*key, "outcome"])
 
 
 def explain_rows(
-    contributions: DataFrame, scores: DataFrame, key: Sequence[str], threshold: float, n: int = 5, score: str = "score"
+    wide: DataFrame, names: Sequence[str], key: Sequence[str], threshold: float, n: int = 5, score: str = "score"
 ) -> DataFrame:
-    """Per row: class name, probability, threshold, top features toward fraud and legitimate."""
-    cell = F.struct("contribution", "feature")
-    lists = contributions.groupBy(*key).agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    """Per wide row, which carries its score: class name, probability, threshold, top features toward fraud and legitimate."""
+    cells = F.array_sort(F.array(*[F.struct(F.col("phi")[i].alias("contribution"), F.lit(f).alias("feature")) for i, f in enumerate(names)]))
     named = "x -> struct(x.feature as feature, x.contribution as contribution)"
-    both = join_on(scores.select(*key, score), lists, key)
-    return both.select(
+    return wide.withColumn("__cells", cells).select(
         *key, F.when(F.col(score) >= threshold, "Fraudulent").otherwise("Legitimate").alias("predicted_class"),
         F.bround(score, 4).alias("fraud_probability"), F.lit(threshold).alias("threshold_used"),
-        F.expr(f"transform(slice(reverse(cells), 1, {n}), {named})").alias("top_toward_fraud"),
-        F.expr(f"transform(slice(cells, 1, {n}), {named})").alias("top_toward_legitimate"),
+        F.expr(f"transform(slice(reverse(__cells), 1, {n}), {named})").alias("top_toward_fraud"),
+        F.expr(f"transform(slice(__cells, 1, {n}), {named})").alias("top_toward_legitimate"),
     )
 
 
@@ -230,16 +257,15 @@ def importance_bars(contributions: DataFrame, n: int = 20) -> DataFrame:
     return global_importance(contributions).filter(F.col("rank") <= n).select("rank", "feature", "mean_absolute")
 
 
-def waterfall_data(contributions: DataFrame, key: Sequence[str], shown: int = 12) -> DataFrame:
-    """Bars per row in order of size with running start and end; the rest forms one bar."""
-    order = Window.partitionBy(*key).orderBy(F.abs("contribution").desc(), "feature")
-    placed = contributions.withColumn("rank", F.row_number().over(order))
-    rest = F.col("rank") > shown
-    bars = placed.groupBy(*key, F.least("rank", F.lit(shown + 1)).alias("position")).agg(
-        F.max(F.when(rest, F.lit("other features")).otherwise(F.col("feature"))).alias("feature"),
-        F.max(F.when(~rest, F.col("value"))).alias("value"),
-        F.sum("contribution").alias("contribution"), F.first("base").alias("base"),
-    )
-    upto = Window.partitionBy(*key).orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.col("base") + F.sum("contribution").over(upto)
-    return bars.withColumn("end", end).withColumn("start", F.col("end") - F.col("contribution"))
+def waterfall_data(wide: DataFrame, names: Sequence[str], key: Sequence[str], shown: int = 12) -> DataFrame:
+    """Bars per wide row in order of size with running start and end; the rest forms one bar."""
+    bar = "struct(c.feature AS feature, c.value AS value, c.contribution AS contribution)"
+    rest = f"""CASE WHEN size(__cells) > {shown} THEN array(struct('other features' AS feature, CAST(NULL AS double) AS value,
+        aggregate(slice(__cells, {shown + 1}, size(__cells)), 0D, (a, c) -> a + c.contribution) AS contribution)) END"""
+    bars = F.expr(f"concat(transform(slice(__cells, 1, {shown}), c -> {bar}), coalesce({rest}, array()))")
+    rows = wide.withColumn("__cells", _by_size(names)).withColumn("__bars", bars)
+    rows = rows.select(*key, "base", "__bars", F.posexplode("__bars").alias("at", "c"))
+    end = F.expr("base + aggregate(slice(__bars, 1, at + 1), 0D, (a, c) -> a + c.contribution)")
+    return rows.select(
+        *key, (F.col("at") + 1).alias("position"), "c.feature", "c.value", "c.contribution", "base",
+        (end - F.col("c.contribution")).alias("start"), end.alias("end"))

@@ -95,12 +95,13 @@ def test_additivity_violation_is_an_error(spark):
 def test_tables_from_contributions(spark):
     rows = [(1, f, float(i), v, 0.2) for i, (f, v) in enumerate([("a", 0.3), ("b", -0.5), ("c", 0.1), ("d", -0.05)])]
     long = spark.createDataFrame(rows, "id int, feature string, value double, contribution double, base double")
-    top = E.top_contributions(long, 2, ["id"]).orderBy("rank").collect()
+    wide, names = E.wide_of(long, ["id"])
+    top = E.top_contributions(wide, names, 2, ["id"]).orderBy("rank").collect()
     assert [(r["feature"], r["direction"]) for r in top] == [("b", "toward legitimate"), ("a", "toward fraud")]
-    bars = E.waterfall_data(long, ["id"], 2).orderBy("position").collect()
+    bars = E.waterfall_data(wide, names, ["id"], 2).orderBy("position").collect()
     assert [r["feature"] for r in bars] == ["b", "a", "other features"]
     assert bars[0]["start"] == pytest.approx(0.2) and bars[-1]["end"] == pytest.approx(0.05)
-    why = E.explain_rows(long, spark.createDataFrame([(1, 0.05)], "id int, score double"), ["id"], 0.485, 2).first()
+    why = E.explain_rows(wide.withColumn("score", F.lit(0.05)), names, ["id"], 0.485, 2).first()
     assert why["predicted_class"] == "Legitimate"
     assert [c["feature"] for c in why["top_toward_fraud"]] == ["a", "c"]
     assert [c["feature"] for c in why["top_toward_legitimate"]] == ["b", "d"]
@@ -119,3 +120,22 @@ def test_representatives_are_nearest_the_median(spark):
 def test_sample_is_bounded(data):
     model = fit(Candidate("dt", DT, params={"max_depth": 2}), data, COLS)
     assert E.explain_sample(model, data, ["id"], 50).select("id").distinct().count() == 50
+
+
+def test_tables_about_rows_shuffle_nothing(data):
+    wide = E.linear_contributions(data, {"a": 1.0, "b": 2.0, "c": -1.0}, 0.5, ["id"], keep=["y"], wide=True).withColumn("score", F.lit(0.2))
+    names = ["a", "b", "c"]
+    for frame in (E.top_contributions(wide, names, 2, ["id"]), E.waterfall_data(wide, names, ["id"], 2), E.explain_rows(wide, names, ["id"], 0.5)):
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+        assert frame.count() > 0
+
+
+def test_forests_are_explained_in_groups(spark, data, monkeypatch):
+    from riskframe.operators import tree_shap
+
+    model = fit(Candidate("rf", RF, ORIGINAL, params={"n_estimators": 5, "max_depth": 3}), data, COLS)
+    few = data.filter("id < 20")
+    whole = {(r["id"], r["feature"]): r["contribution"] for r in E.explain(model, few, ["id"]).collect()}
+    monkeypatch.setattr(tree_shap, "NODES_AT_ONCE", 20)
+    parts = {(r["id"], r["feature"]): r["contribution"] for r in E.explain(model, few, ["id"]).collect()}
+    assert whole.keys() == parts.keys() and all(abs(whole[k] - parts[k]) < 1e-12 for k in whole)
