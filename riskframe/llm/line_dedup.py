@@ -63,7 +63,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     shared = cut_lineage(every.join(prints, "fh", "left_semi").drop("fh", "place"))
     here = F.struct(F.col(key).alias("key"), "__text", F.col("first").alias("line"))
     content = shared.groupBy("k1", "k2").agg(F.min(here).alias("origin"), F.max(here).alias("other")).filter("origin < other")
-    later = shared.join(content.drop("other"), ["k1", "k2"]).filter(here > F.col("origin"))
+    # Stored, so that both sides of the join are plain exchanges and a passage of many copies can be split.
+    later = shared.join(cut_lineage(content.drop("other")), ["k1", "k2"]).filter(here > F.col("origin"))
     gone = later.select(key, "__text", F.explode(F.sequence("first", "last")).alias("pos"))
     return gone.groupBy(key, "__text").agg(F.collect_set("pos").alias("gone"))
 
