@@ -41,15 +41,6 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{k}" for k in keys])
 
 
-def small_side(stored: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast a stored frame whose rows hold at most ``row_bytes``, when it is small enough.
-
-    Beyond the limit Spark joins by shuffle; the result is the same.
-    """
-    rows = limit // row_bytes
-    return F.broadcast(stored) if stored.limit(rows + 1).count() <= rows else stored
-
-
 #: Columns of a dense vector's pieces: which vector, first place, 64-bit integers.
 PIECES = "which long, first long, sums binary"
 
