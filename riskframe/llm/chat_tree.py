@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import cut_lineage
 from .common import null_safe
-from .token_counts import PATTERN, VOCABULARY, read_vocabulary
+from .token_counts import PATTERN, VOCABULARY, load_encoding, read_vocabulary
 
 OPEN, CLOSE, ASSISTANT = "<s>", "</s>", "assistant"
 #: Strings that chat templates use as marks; none of them survives inside a text.
@@ -63,13 +63,7 @@ def unescape_role(role: str) -> str:
 
 def chat_encoding(vocabulary: bytes):
     """Byte-level BPE with the two marks as tokens of their own."""
-    import base64
-
-    import tiktoken
-
-    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
-    free = max(ranks.values()) + 1
-    return tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={OPEN: free, CLOSE: free + 1})
+    return load_encoding(vocabulary, PATTERN, (OPEN, CLOSE))
 
 
 def ordered_turns(conversations: DataFrame) -> DataFrame:

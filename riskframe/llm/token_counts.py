@@ -16,18 +16,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import cut_lineage
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the word pattern that belongs to this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct lengths per bucket of the running sums.
-BUCKET = 4096
+#: Lengths per bucket of the running sums.
+BUCKET = 64
+
 
+def load_encoding(vocabulary: bytes, pattern: str = PATTERN, special: tuple[str, ...] = ()):
+    """Byte-level BPE; ``special`` strings are tokens of their own after the vocabulary.
 
-def load_encoding(vocabulary: bytes, pattern: str = PATTERN):
+    Built once per worker process: an encoding holds much memory, and a worker runs many tasks.
+    These functions travel by value, so the encoding is kept with the library's own module.
+    """
     import tiktoken
 
+    built = tiktoken.__dict__.setdefault("_built_encodings", {})
+    name = (hash(vocabulary), pattern, special)
+    if name not in built:
+        built[name] = _build_encoding(tiktoken, vocabulary, pattern, special)
+    return built[name]
+
+
+def _build_encoding(tiktoken, vocabulary: bytes, pattern: str, special: tuple[str, ...]):
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
-    return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    marks = {mark: max(ranks.values()) + 1 + i for i, mark in enumerate(special)}
+    return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens=marks)
 
 
 def read_vocabulary(df: DataFrame, path: str) -> bytes:
@@ -50,9 +66,9 @@ def encoded_length(df: DataFrame, text: str = "text", vocabulary: str = VOCABULA
 
 
 def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """length, documents; the longest stands for no cap."""
+    """length, documents; stored, as several sums read it and texts are encoded once only."""
     lengths = docs.select(encoded_length(docs, text, vocabulary).alias("length"))
-    return lengths.groupBy("length").agg(F.count(F.lit(1)).alias("documents"))
+    return cut_lineage(lengths.groupBy("length").agg(F.count(F.lit(1)).alias("documents")))
 
 
 def length_totals(histogram: DataFrame) -> DataFrame:
