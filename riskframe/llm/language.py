@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PIECES, add_pieces, pieces_batch, pieces_of
+from ..functions.frames import cut_lineage
+from .common import PIECES, add_pieces, null_safe, pieces_batch, pieces_of, text_hash
 
 UNKNOWN = "und"
 #: Hash buckets of the n-grams (1, 2 and 3 characters).
@@ -205,8 +206,11 @@ def train(training: DataFrame, key: str = "doc_id", buckets: int = BUCKETS, cali
 
 
 def _calibrate(model: Model, known: DataFrame, key: str, rows: int) -> None:
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(key), key, F.xxhash64("text"))
-    chosen = known.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= rows)
+    # Ranks travel without the texts; these are fetched for the few keys chosen.
+    first = Window.partitionBy("lang").orderBy(F.xxhash64(key), key, "__text")
+    ranked = known.select(key, "lang", text_hash().alias("__text")).withColumn("__n", F.row_number().over(first))
+    keys = cut_lineage(ranked.filter(F.col("__n") <= rows).drop("__n"))  # at most ``rows`` per language
+    chosen = null_safe(known.withColumn("__text", text_hash()), F.broadcast(keys), [key, "lang", "__text"], "left_semi")
     place = {name: i for i, name in enumerate(model.languages)}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +224,7 @@ def _calibrate(model: Model, known: DataFrame, key: str, rows: int) -> None:
     found = list(chosen.select("lang", "text").mapInArrow(measure, "language long, margin array<double>").toLocalIterator())
     if not found:
         return
+    found.sort(key=lambda r: (r.language, r.margin))  # sums don't depend on the order of tasks
     lang, margin = np.array([r.language for r in found]), np.array([r.margin for r in found])
     for b in range(model.code.shape[1]):
         one = model.code[lang, b] == 1
