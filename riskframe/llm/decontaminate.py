@@ -11,7 +11,9 @@ document.
 An item with n windows must share one of its n - ceil(0.8 n) + 1 rarest, so only those look for
 candidates; passages that many items share join nothing by themselves. Documents' windows pass a
 bitmap of the benchmark's hashes (of fixed size) before they leave their task. Items with the same
-template are one class, named by the smallest item id.
+template are one class while candidates are sought; the slots are compared for every item that
+differs from the others in words or slots. Items equal in both are named by the smallest of their
+ids; ``item_names`` lists all.
 
 A window with fewer than two literal words is compared by its words instead of its template. Null
 or empty texts have no windows; items of fewer than five template words have none either, and are never found. Rows that
@@ -197,59 +199,85 @@ def hash_bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> bytes:
     return whole.tobytes()
 
 
-def benchmark_items(benchmark: DataFrame, key: str = "item_id", text: str = "text", width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
-    """item_id, size (places of windows), pos, h, slots, rare (looks for candidates); one item per template."""
-    found = template_windows(benchmark, key, text, width).withColumnRenamed(key, "item_id").filter("NOT inside").drop("inside")
+def _named_items(benchmark: DataFrame, key: str, text: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """Windows of all items, with ``shape`` (the template) and ``filled`` (the template with its slots' values) per item."""
+    found = template_windows(benchmark, key, text, width).withColumnRenamed(key, "item_id").filter("NOT inside").drop("inside", "kinds")
     found = cut_lineage(found.dropDuplicates(["item_id", "__text", "pos", "h"]))
-    shape = found.groupBy("item_id", "__text").agg(F.xxhash64(F.array_sort(F.collect_set(F.struct("pos", "h")))).alias("shape"))
-    chosen = shape.groupBy("shape").agg(F.min(F.struct(F.col("item_id").isNull().alias("n"), "item_id", "__text")).alias("k"))
-    chosen = chosen.select("k.item_id", "k.__text")
-    own = null_safe(found, chosen, ["item_id", "__text"], "left_semi")
-    common = own.groupBy("h").agg(F.count_distinct("item_id", "__text").alias("items"))
-    item = ["item_id", "__text"]
-    own = own.join(common, "h").drop("kinds")
-    places = own.groupBy(*item, "pos").agg(F.max("items").alias("items"))
-    places = places.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*item)))
-    rank = F.row_number().over(Window.partitionBy(*item).orderBy("items", "pos"))
+    shapes = found.groupBy("item_id", "__text").agg(
+        F.xxhash64(F.array_sort(F.collect_set(F.struct("pos", "h")))).alias("shape"),
+        F.xxhash64(F.array_sort(F.collect_set(F.struct("pos", "h", "slots")))).alias("filled"))
+    return found, cut_lineage(shapes)
+
+
+def _first(shapes: DataFrame, *by: str) -> DataFrame:
+    """The item of smallest id of each group."""
+    return shapes.groupBy(*by).agg(F.min(F.struct(F.col("item_id").isNull().alias("n"), "item_id", "__text")).alias("k")).select(*by, "k.item_id", "k.__text")
+
+
+def item_names(benchmark: DataFrame, key: str = "item_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """member, item_id: the id under which ``contaminated`` names each item; they differ for items of equal words and slots only."""
+    shapes = _named_items(benchmark, key, text, width)[1]
+    first = _first(shapes, "filled").drop("__text")
+    return shapes.select(F.col("item_id").alias("member"), "filled").join(first, "filled").select("member", "item_id").distinct()
+
+
+def benchmark_items(benchmark: DataFrame, key: str = "item_id", text: str = "text", width: int = WIDTH, coverage: float = COVERAGE) -> tuple[DataFrame, DataFrame]:
+    """Templates: shape, size (places of windows), pos, h, rare (looks for candidates). Items: shape, item_id, item_text, pos, h, slots."""
+    found, shapes = _named_items(benchmark, key, text, width)
+    own = null_safe(found, _first(shapes, "shape"), ["item_id", "__text"], "inner").select("shape", "pos", "h")
+    common = own.groupBy("h").agg(F.count_distinct("shape").alias("items"))
+    own = own.join(common, "h")
+    places = own.groupBy("shape", "pos").agg(F.max("items").alias("items"))
+    places = places.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("shape")))
+    rank = F.row_number().over(Window.partitionBy("shape").orderBy("items", "pos"))
     need = F.ceil(F.col("size") * coverage - 1e-9)
-    return null_safe(own.drop("items"), places.withColumn("rare", rank <= F.col("size") - need + 1).drop("items"), [*item, "pos"], "inner")
+    templates = own.drop("items").join(places.withColumn("rare", rank <= F.col("size") - need + 1).drop("items"), ["shape", "pos"])
+    items = null_safe(found, _first(shapes, "shape", "filled"), ["item_id", "__text"], "inner")
+    return templates, items.select("shape", "item_id", F.col("__text").alias("item_text"), "pos", "h", "slots")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
                  width: int = WIDTH, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
     """key, __text, item_id, coverage, consistency, kind (``exact`` or ``reparameterised``) per document and item."""
     spark = docs.sparkSession
-    items = cut_lineage(benchmark_items(benchmark, item, "text", width, coverage).withColumnRenamed("__text", "item_text"))
-    bitmap = spark.sparkContext.broadcast(hash_bitmap(items.select("h")))
+    templates, items = map(cut_lineage, benchmark_items(benchmark, item, "text", width, coverage))
+    bitmap = spark.sparkContext.broadcast(hash_bitmap(templates.select("h")))
     doc = [key, "__text"]
     windows = cut_lineage(template_windows(docs, key, text, width, bitmap))
-    pairs = windows.select(*doc, "h").distinct().join(items.filter("rare").select("h", "item_id", "item_text", "size").distinct(), "h")
-    pairs = pairs.select(*doc, "item_id", "item_text", "size").distinct()
-    # All windows of each pair: the item's, matched with the document's by id and hash.
-    theirs = items.select(
-        F.col("item_id").alias("__item"), F.col("item_text").alias("__item_text"), "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
-    same = F.col("item_id").eqNullSafe(F.col("__item")) & (F.col("item_text") == F.col("__item_text"))
-    asked = pairs.join(theirs, same).drop("__item", "__item_text")
-    met = null_safe(asked, windows.select(*doc, "h", "pos", "kinds", "slots"), [*doc, "h"], "inner")
-    met = cut_lineage(met.withColumn("shift", F.col("pos") - F.col("item_pos")))
+    pairs = windows.select(*doc, "h").distinct().join(templates.filter("rare").select("h", "shape", "size").distinct(), "h")
+    pairs = pairs.select(*doc, "shape", "size").distinct()
+    # All windows of each pair: the template's, matched with the document's by id and hash.
+    asked = pairs.join(templates.select("shape", "h", F.col("pos").alias("item_pos")), "shape")
+    met = cut_lineage(null_safe(asked, windows.select(*doc, "h", "pos", "kinds", "slots"), [*doc, "h"], "inner"))
+    covered = met.groupBy(*doc, "shape", "size").agg(F.count_distinct("item_pos").alias("n")).filter(F.col("n") >= F.ceil(F.col("size") * coverage - 1e-9))
+    met = null_safe(met.drop("size"), covered, [*doc, "shape"], "inner")
+    # From here on each item of a template by its own slots.
+    theirs = items.select("shape", "item_id", "item_text", "h", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
+    met = cut_lineage(met.join(theirs, ["shape", "h", "item_pos"]).withColumn("shift", F.col("pos") - F.col("item_pos")))
     pair = [*doc, "item_id", "item_text"]
-    # A place may be met at several others: the one on the best supported shift counts, plain words first.
-    support = Window.partitionBy(*pair, "shift")
-    met = met.withColumn("support", F.count(F.lit(1)).over(support))
-    best = F.row_number().over(Window.partitionBy(*pair, "item_pos").orderBy(F.desc("support"), "shift", "pos", F.array_contains("kinds", NAME)))
-    chosen = met.withColumn("best", best).filter("best = 1")
-    covered = chosen.groupBy(*pair, "size").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= F.ceil(F.col("size") * coverage - 1e-9))
+    # A place may be met at several others: the one on the shift with the most consistent slots counts, plain words first.
     slots = F.expr("filter(transform(kinds, (k, i) -> struct(k AS kind, item_slots[i] AS own, slots[i] AS other)), s -> s.kind != 0)")
-    values = chosen.select(*pair, F.explode(slots).alias("s")).groupBy(*pair, "s.kind", "s.own", "s.other").agg(F.count(F.lit(1)).alias("m"))
-    values = values.groupBy(*pair, "kind", "own").agg(
-        F.max("m").alias("most"), F.sum("m").alias("all"), F.sum(F.when(F.col("own") == F.col("other"), F.col("m")).otherwise(0)).alias("equal"))
-    values = values.groupBy(*pair).agg((F.sum("most") / F.sum("all")).alias("kept"), (F.sum("equal") / F.sum("all")).alias("equal"))
-    found = null_safe(covered, values, pair, "left")
+    support = met.groupBy(*pair, "shift").agg(F.count_distinct("item_pos").alias("support"), F.count_if(F.col("slots") == F.col("item_slots")).alias("same"))
+    kept = _agreement(met.select(*pair, "shift", F.explode(slots).alias("s")), [*pair, "shift"]).drop("equal")
+    support = null_safe(support, kept, [*pair, "shift"], "left").withColumn("fit", F.col("support") * F.coalesce("kept", F.lit(1.0))).drop("kept")
+    met = null_safe(met, support, [*pair, "shift"], "inner")
+    best = F.row_number().over(Window.partitionBy(*pair, "item_pos").orderBy(F.desc("fit"), F.desc("same"), "shift", "pos", F.array_contains("kinds", NAME)))
+    chosen = met.withColumn("best", best).filter("best = 1")
+    values = _agreement(chosen.select(*pair, F.explode(slots).alias("s")), pair)
+    found = null_safe(chosen.select(*pair, "n", "size").distinct(), values, pair, "left")
     found = found.withColumn("consistency", F.coalesce("kept", F.lit(1.0))).filter(F.col("consistency") >= consistency)
     kind = F.when(F.coalesce("equal", F.lit(1.0)) == 1.0, F.lit("exact")).otherwise(F.lit("reparameterised"))
     return found.select(*doc, "item_id", (F.col("n") / F.col("size")).alias("coverage"), "consistency", kind.alias("kind"))
 
 
+def _agreement(slots: DataFrame, by: list[str]) -> DataFrame:
+    """by, kept (share of slots that turn into their value's most frequent counterpart), equal (share that keep their value)."""
+    values = slots.groupBy(*by, "s.kind", "s.own", "s.other").agg(F.count(F.lit(1)).alias("m"))
+    values = values.groupBy(*by, "kind", "own").agg(
+        F.max("m").alias("most"), F.sum("m").alias("all"), F.sum(F.when(F.col("own") == F.col("other"), F.col("m")).otherwise(0)).alias("equal"))
+    return values.groupBy(*by).agg((F.sum("most") / F.sum("all")).alias("kept"), (F.sum("equal") / F.sum("all")).alias("equal"))
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     found = contaminated(docs, benchmark, key, text).select(key, "__text").distinct()

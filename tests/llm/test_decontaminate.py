@@ -70,3 +70,16 @@ def test_common_passages_alone_find_nothing(spark):
     items = [(i, f"{shared} number{i} alpha{i} beta{i} gamma{i} delta{i} epsilon{i} zeta{i} eta{i}") for i in range(30)]
     docs = [(1, shared), (2, items[3][1])]
     assert set(found(spark, docs, items)) == {(2, 3)}
+
+
+def test_items_that_differ_in_numbers_only(spark):
+    text = "On each market day the old farmer sells {} apples and buys {} pears at market today"
+    items = [(1, text.format(12, 12)), (2, text.format(12, 30)), (3, text.format(12, 30) + "!")]
+    docs = [(1, items[0][1]), (2, items[1][1]), (3, f"{items[1][1]}. Later: {items[0][1]}"), (4, "nothing of that kind is in here")]
+    got = found(spark, docs, items)
+    assert set(got) == {(1, 1), (1, 2), (2, 2), (3, 1), (3, 2)}
+    assert {k for k, r in got.items() if r.kind == "exact"} == {(1, 1), (2, 2), (3, 1), (3, 2)}
+    kept = D.remove_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [4]
+    names = D.item_names(spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.member, r.item_id) for r in names.collect()} == {(1, 1), (2, 2), (3, 2)}
