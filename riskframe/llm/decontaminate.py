@@ -3,8 +3,9 @@
 Words lose case and outer punctuation; numbers, units after numbers, and names (capitalised words
 that do not open a sentence; neighbours form one name) become typed placeholders. Windows of five
 template words are hash-joined with those of the benchmark. As case may be lost in a copy, every
-text is also cut with its names as plain words. A document holds an item if it has at least 80 %
-of the item's windows in one form or the other. Then the slots are compared: in a copy or a
+text is also cut with its names as plain words; as names may open sentences, also with capitalised
+sentence openers as names, unless the corpus mostly has that word in lower case. A document holds an item if it has at least 80 %
+of the item's windows in one form or another. Then the slots are compared: in a copy or a
 re-parameterised question the item's value for a slot always turns into the same value of the
 document.
 
@@ -16,13 +17,14 @@ differs from the others in words or slots. Items equal in both are named by the
 ids; ``item_names`` lists all.
 
 A window with fewer than two literal words is compared by its words instead of its template. Null
-or empty texts have no windows; items of fewer than five template words have none either, and are never found. Rows that
+or empty texts have no windows; items of fewer than five template words are one window of all their words. Rows that
 repeat id and text give one result. Null ids take part. Only id and text are read. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ from .common import null_safe, text_hash
 WIDTH, COVERAGE, CONSISTENCY, MIN_LITERALS = 5, 0.8, 0.8, 2
 #: Bits of the bitmap of benchmark hashes: 4 MB.
 BITMAP_BITS = 1 << 25
+#: An opener is an ordinary word if it is written in lower case so often for each time with a capital, and among so many words.
+ORDINARY, ORDINARY_RATE = 0.25, 1e-5
 #: Characters handled at once, and known words kept, by a task.
 PIECE, KNOWN_WORDS = 1 << 22, 1 << 20
 
@@ -53,11 +57,16 @@ LITERAL, NUMBER, UNIT, NAME, NOTHING = range(5)
 
 
 class Templates:
-    """Texts to template windows, many texts at once."""
+    """Texts to template windows, many texts at once.
 
-    def __init__(self, width: int = WIDTH, min_literals: int = MIN_LITERALS):
+    ``ordinary``: words that are no names where they open a sentence. ``short``: lesser widths that are cut besides;
+    None cuts forms of fewer words than ``width`` as a whole.
+    """
+
+    def __init__(self, width: int = WIDTH, min_literals: int = MIN_LITERALS, ordinary: frozenset[str] = frozenset(), short: tuple[int, ...] | None = ()):
         from xxhash import xxh64_intdigest
 
+        self.ordinary, self.short = ordinary, short
         self.width, self.min_literals, self.digest = width, min_literals, xxh64_intdigest
         self.glued = re.compile(r"(?<=\d)(?=[^\W\d_])|(?<=\d)(?=%)")
         self.outer = re.compile(r"^[\W_]+|[\W_]+$")
@@ -71,6 +80,7 @@ class Templates:
         self.kind: list[int] = []
         self.ends: list[bool] = []
         self.capital: list[bool] = []
+        self.opener: list[bool] = []
 
     def learn(self, word: str) -> int:
         core = word if word == "%" else self.outer.sub("", word)
@@ -81,10 +91,11 @@ class Templates:
         self.kind.append(kind)
         self.ends.append(word.rstrip("\"')]}»”")[-1:] in (".", "!", "?", ":", ";"))
         self.capital.append(core[:1].isupper() and core != core.upper())
+        self.opener.append(self.capital[-1] and low not in self.ordinary)
         return i
 
     def windows(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        """text number, position, hash, slot kinds (window x width), slot values, and whether it starts inside a name."""
+        """text number, position, hash, slot kinds (window x width), slot values, words, and whether it starts inside a name."""
         if len(self.hash) > KNOWN_WORDS:
             self.forget()
         ids, sizes = [], []
@@ -101,38 +112,54 @@ class Templates:
         ends, capital = np.array(self.ends, bool)[ids], np.array(self.capital, bool)[ids]
         first = np.concatenate(([True], doc[1:] != doc[:-1])) if ids.size else np.empty(0, bool)
         opens = first | np.concatenate(([True], ends[:-1]))[: ids.size]
+        opener = (kind == LITERAL) & np.array(self.opener, bool)[ids] & opens
         kind = np.where((kind == LITERAL) & capital & ~opens, NAME, kind)
         keep = kind != NOTHING
-        value, kind, doc = value[keep], kind[keep], doc[keep]
+        value, kind, doc, opener, opens = value[keep], kind[keep], doc[keep], opener[keep], opens[keep]
         first = np.searchsorted(doc, np.arange(len(sizes)))
         same = np.concatenate(([False], doc[1:] == doc[:-1]))[: doc.size]
         before = np.concatenate(([NOTHING], kind[:-1]))[: doc.size]
         kind = np.where((kind == UNIT) & ~(same & (before == NUMBER)), LITERAL, kind)
-        goes_on = same & (kind == NAME) & (before == NAME)
-        plain = self.cut(value, np.where(kind == NAME, LITERAL, kind), doc, np.arange(doc.size))
+        named = self.join_names(value, kind, same)
+        opened = self.join_names(value, np.where(opener, NAME, kind), same & ~opens)
+        forms = [(value, np.where(kind == NAME, LITERAL, kind), np.arange(doc.size), None),
+                 (*named[:3], kind[named[2]] == NAME), (*opened[:3], opener[opened[2]])]
+        parts = [self.cut(v, k, doc[at], at, wanted, w) for v, k, at, wanted in forms for w in (self.width, *(range(1, self.width) if self.short is None else self.short))]
+        doc, at, h, kinds, slots, size = (np.concatenate(x) for x in zip(*parts))
+        return doc, at - first[doc], h, kinds, slots, size, opened[3][at]
+
+    def join_names(self, value: np.ndarray, kind: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Neighbouring names as one: values, kinds, first places, and which words go on a name."""
+        goes_on = same & (kind == NAME) & np.concatenate(([False], kind[:-1] == NAME))[: kind.size]
         starts = np.flatnonzero(~goes_on)
-        place = np.arange(doc.size) - np.repeat(starts, np.diff(np.concatenate((starts, [doc.size]))))
+        place = np.arange(kind.size) - np.repeat(starts, np.diff(np.concatenate((starts, [kind.size]))))
         with np.errstate(over="ignore"):
             value = np.add.reduceat(value * (2 * place.astype(np.uint64) + np.uint64(1)), starts) if starts.size else value
-        named = self.cut(value, kind[starts], doc[starts], starts)
-        chosen = (named[3] == NAME).any(axis=1)
-        doc, at, h, kinds, slots = (np.concatenate((a, b[chosen])) for a, b in zip(plain, named))
-        return doc, at - first[doc], h, kinds, slots, goes_on[at]
+        return value, kind[starts], starts, goes_on
 
-    def cut(self, value: np.ndarray, kind: np.ndarray, doc: np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, ...]:
-        n, w = value.size, self.width
+    def cut(self, value: np.ndarray, kind: np.ndarray, doc: np.ndarray, origin: np.ndarray, wanted: np.ndarray | None, w: int) -> tuple[np.ndarray, ...]:
+        """Windows of w words, with a wanted one among them; arrays of words are filled up to ``width``."""
+        n = value.size
         whole = np.flatnonzero(doc[: max(n - w + 1, 0)] == doc[w - 1 :])
+        if self.short is None and w < self.width:
+            edge = np.concatenate(([True], doc[1:] != doc[:-1], [True])) if n else np.ones(1, bool)
+            whole = whole[edge[whole] & edge[whole + w]]
+        if wanted is not None:
+            known = np.concatenate(([0], np.cumsum(wanted)))
+            whole = whole[known[whole + w] > known[whole]]
         template = np.where(kind == LITERAL, value, self.typed[kind])
         literals = np.concatenate(([0], np.cumsum(kind == LITERAL)))
         few = literals[whole + w] - literals[whole] < self.min_literals
-        h = np.where(few, self.roll(value, whole) ^ np.uint64(0x9E3779B97F4A7C15), self.roll(template, whole))
+        h = np.where(few, self.roll(value, whole, w) ^ np.uint64(0x9E3779B97F4A7C15), self.roll(template, whole, w))
         at = whole[:, None] + np.arange(w)
-        return doc[whole], origin[whole], h.view(np.int64), kind[at].astype(np.int8), value[at].view(np.int64)
+        kinds, slots = np.full((whole.size, self.width), LITERAL, np.int8), np.zeros((whole.size, self.width), np.int64)
+        kinds[:, :w], slots[:, :w] = kind[at], value[at].view(np.int64)
+        return doc[whole], origin[whole], h.view(np.int64), kinds, slots, np.full(whole.size, w, np.int8)
 
-    def roll(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def roll(self, x: np.ndarray, at: np.ndarray, w: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             h = np.zeros(at.size, np.uint64)
-            for k in range(self.width):
+            for k in range(w):
                 h = (h ^ x[at + k]) * np.uint64(0xD6E8FEB86659FD93)
                 h ^= h >> np.uint64(32)
         return h
@@ -157,19 +184,57 @@ def _key_type(df: DataFrame, key: str) -> str:
     return df.select(key).schema[0].dataType.simpleString()
 
 
-def template_windows(df: DataFrame, key: str, text: str, width: int, bitmap=None) -> DataFrame:
-    """key, __text, pos, h, kinds, slots, inside (a name) per window; with a bitmap only the windows it knows."""
+def ordinary_words(docs: DataFrame, benchmark: DataFrame, text: str = "text", share: float = ORDINARY, rate: float = ORDINARY_RATE) -> frozenset[str]:
+    """Words that open sentences of the benchmark with a capital and are often written in lower case, by texts that have capitals."""
+
+    def openers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        outer, ended, found = re.compile(r"^[\W_]+|[\W_]+$"), True, set()
+        for batch in batches:
+            for t in batch.column(0):
+                ended = True
+                for word in (t.as_py() or "").split():
+                    core = outer.sub("", word)
+                    if ended and core[:1].isupper():
+                        found.add(core.lower())
+                    ended = word.rstrip("\"')]}»”")[-1:] in (".", "!", "?", ":", ";")
+        yield pa.record_batch({"word": pa.array(sorted(found), pa.string())})
+
+    asked = benchmark.select("text").mapInArrow(openers, "word string").distinct()
+    forms = {f: r.word for r in asked.toLocalIterator() for f in (r.word, r.word.capitalize())}  # the benchmark's openers only
+    sent = docs.sparkSession.sparkContext.broadcast(forms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms, seen, n = sent.value, Counter(), 0
+        for batch in batches:
+            for t in batch.column(0):
+                t = t.as_py()
+                if t and t != t.lower():
+                    words = t.split()
+                    n += len(words)
+                    seen.update(filter(forms.__contains__, words))
+        low, high = ([m * ((f == forms[f]) == is_low) for f, m in seen.items()] for is_low in (True, False))
+        yield pa.record_batch([pa.array([None, *(forms[f] for f in seen)], pa.string()), pa.array([n, *low], pa.int64()), pa.array([0, *high], pa.int64())], names=["word", "low", "high"])
+
+    texts = docs.select(F.col(text).alias("text")).union(benchmark.select("text"))
+    counted = texts.mapInArrow(count, "word string, low long, high long").groupBy("word").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
+    found = list(counted.toLocalIterator())  # the benchmark's openers, and the number of words under None
+    least = max([1, *(rate * r.low for r in found if r.word is None)])
+    return frozenset(r.word for r in found if r.word is not None and r.low >= max(least, share * r.high))
+
+
+def template_windows(df: DataFrame, key: str, text: str, width: int, bitmap=None, ordinary: frozenset[str] = frozenset(), short: tuple[int, ...] | None = None) -> DataFrame:
+    """key, __text, pos, h, kinds, slots, wide, inside (a name) per window; with a bitmap only the windows it knows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates(width)
+        templates = Templates(width, ordinary=ordinary, short=short)
         bits = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
         for batch in batches:
             for rows in _rows(batch):
-                doc, pos, h, kinds, slots, inside = templates.windows([r[2] for r in rows])
+                doc, pos, h, kinds, slots, wide, inside = templates.windows([r[2] for r in rows])
                 if bits is not None and h.size:
                     i = h.view(np.uint64) % np.uint64(bits.size * 8)
                     known = (bits[i >> np.uint64(3)] >> (i & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    doc, pos, h, kinds, slots, inside = (x[known] for x in (doc, pos, h, kinds, slots, inside))
+                    doc, pos, h, kinds, slots, wide, inside = (x[known] for x in (doc, pos, h, kinds, slots, wide, inside))
                 if not h.size:
                     continue
                 offsets = np.arange(0, h.size * width + 1, width, dtype=np.int32)
@@ -177,10 +242,10 @@ def template_windows(df: DataFrame, key: str, text: str, width: int, bitmap=None
                     pa.array([rows[i][0] for i in doc], batch.column(0).type), pa.array([rows[i][1] for i in doc], pa.int64()),
                     pa.array(pos, pa.int64()), pa.array(h, pa.int64()),
                     pa.ListArray.from_arrays(offsets, kinds.ravel()), pa.ListArray.from_arrays(offsets, slots.ravel()),
-                    pa.array(inside),
-                ], names=[key, "__text", "pos", "h", "kinds", "slots", "inside"])
+                    pa.array(wide), pa.array(inside),
+                ], names=[key, "__text", "pos", "h", "kinds", "slots", "wide", "inside"])
 
-    schema = f"`{key}` {_key_type(df, key)}, __text long, pos long, h long, kinds array<tinyint>, slots array<long>, inside boolean"
+    schema = f"`{key}` {_key_type(df, key)}, __text long, pos long, h long, kinds array<tinyint>, slots array<long>, wide tinyint, inside boolean"
     return df.select(key, text_hash(text).alias("__text"), text).mapInArrow(cut, schema)
 
 
@@ -199,9 +264,9 @@ def hash_bitmap(hashes: DataFrame, bits: int = BITMAP_BITS) -> bytes:
     return whole.tobytes()
 
 
-def _named_items(benchmark: DataFrame, key: str, text: str, width: int) -> tuple[DataFrame, DataFrame]:
+def _named_items(benchmark: DataFrame, key: str, text: str, width: int, ordinary: frozenset[str] = frozenset()) -> tuple[DataFrame, DataFrame]:
     """Windows of all items, with ``shape`` (the template) and ``filled`` (the template with its slots' values) per item."""
-    found = template_windows(benchmark, key, text, width).withColumnRenamed(key, "item_id").filter("NOT inside").drop("inside", "kinds")
+    found = template_windows(benchmark, key, text, width, ordinary=ordinary).withColumnRenamed(key, "item_id").filter("NOT inside").drop("inside", "kinds")
     found = cut_lineage(found.dropDuplicates(["item_id", "__text", "pos", "h"]))
     shapes = found.groupBy("item_id", "__text").agg(
         F.xxhash64(F.array_sort(F.collect_set(F.struct("pos", "h")))).alias("shape"),
@@ -221,10 +286,11 @@ def item_names(benchmark: DataFrame, key: str = "item_id", text: str = "text", w
     return shapes.select(F.col("item_id").alias("member"), "filled").join(first, "filled").select("member", "item_id").distinct()
 
 
-def benchmark_items(benchmark: DataFrame, key: str = "item_id", text: str = "text", width: int = WIDTH, coverage: float = COVERAGE) -> tuple[DataFrame, DataFrame]:
-    """Templates: shape, size (places of windows), pos, h, rare (looks for candidates). Items: shape, item_id, item_text, pos, h, slots."""
-    found, shapes = _named_items(benchmark, key, text, width)
-    own = null_safe(found, _first(shapes, "shape"), ["item_id", "__text"], "inner").select("shape", "pos", "h")
+def benchmark_items(benchmark: DataFrame, key: str = "item_id", text: str = "text", width: int = WIDTH, coverage: float = COVERAGE,
+                    ordinary: frozenset[str] = frozenset()) -> tuple[DataFrame, DataFrame]:
+    """Templates: shape, size (places of windows), pos, h, wide, rare (looks for candidates). Items: shape, item_id, item_text, pos, h, slots."""
+    found, shapes = _named_items(benchmark, key, text, width, ordinary)
+    own = null_safe(found, _first(shapes, "shape"), ["item_id", "__text"], "inner").select("shape", "pos", "h", "wide")
     common = own.groupBy("h").agg(F.count_distinct("shape").alias("items"))
     own = own.join(common, "h")
     places = own.groupBy("shape", "pos").agg(F.max("items").alias("items"))
@@ -240,10 +306,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                  width: int = WIDTH, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
     """key, __text, item_id, coverage, consistency, kind (``exact`` or ``reparameterised``) per document and item."""
     spark = docs.sparkSession
-    templates, items = map(cut_lineage, benchmark_items(benchmark, item, "text", width, coverage))
+    ordinary = ordinary_words(docs, benchmark, text)
+    templates, items = map(cut_lineage, benchmark_items(benchmark, item, "text", width, coverage, ordinary))
+    short = tuple(r.wide for r in templates.select("wide").distinct().toLocalIterator() if r.wide < width)
     bitmap = spark.sparkContext.broadcast(hash_bitmap(templates.select("h")))
     doc = [key, "__text"]
-    windows = cut_lineage(template_windows(docs, key, text, width, bitmap))
+    windows = cut_lineage(template_windows(docs, key, text, width, bitmap, ordinary, short).drop("wide", "inside"))
     pairs = windows.select(*doc, "h").distinct().join(templates.filter("rare").select("h", "shape", "size").distinct(), "h")
     pairs = pairs.select(*doc, "shape", "size").distinct()
     # All windows of each pair: the template's, matched with the document's by id and hash.

@@ -83,3 +83,20 @@ def test_items_that_differ_in_numbers_only(spark):
     assert [r.doc_id for r in kept.collect()] == [4]
     names = D.item_names(spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.member, r.item_id) for r in names.collect()} == {(1, 1), (2, 2), (3, 2)}
+
+
+def test_names_that_open_sentences(spark):
+    text = "{0} sells 12 apples. {1} buys 3 of them at the market and {0} Smith walks home with 9 coins left over."
+    items = [(1, text.format("Anna", "Tom")), (2, "When the train leaves, how far is the next station from here?")]
+    docs = [(1, text.format("Maria", "Pedro")), (2, "Read this. " + text.format("Rose", "Will").replace("12", "45")), (3, items[0][1].lower()),
+            (4, "How the train leaves, how far is the next station from here?"), (5, "She will come when the rose is out, and when they ask how, he will tell.")]
+    got = found(spark, docs, items)
+    assert {k: r.kind for k, r in got.items() if k[1] == 1} == {(1, 1): "reparameterised", (2, 1): "reparameterised", (3, 1): "exact"}
+    assert D.ordinary_words(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")) == {"when"}
+
+
+def test_items_shorter_than_a_window(spark):
+    items = [(1, "boil water slowly"), (2, "Peter bakes fresh bread"), (3, "zyzzyva"), (4, None), (5, "?!")]
+    docs = [(1, "First boil water, slowly."), (2, "Then Maria bakes fresh bread there"), (3, "a zyzzyva is a weevil"), (4, "boil the water slowly; he bakes bread"), (5, "Peter bakes fresh bread")]
+    got = found(spark, docs, items)
+    assert {k: r.kind for k, r in got.items()} == {(1, 1): "exact", (2, 2): "reparameterised", (3, 3): "exact", (5, 2): "exact"}
