@@ -108,3 +108,18 @@ def test_odd_rows(spark):
     assert M.score(docs.limit(0), docs).count() == 0
     nothing = M.score(docs.limit(1), docs.limit(0)).head()
     assert nothing.base_score == 0 and nothing.train_tokens == 0 and nothing.score < 0
+
+
+def test_tables_less_the_sample_are_those_learned_without_it():
+    trees = small_model().trees
+    rest, sample = Counter({(0, b"the"): 5, (0, b"cat"): 1, (1, b"gato"): 2, (1, b""): 3}), Counter({(0, b"the"): 1, (0, b"cab"): 1, (1, b"gato"): 4})
+
+    def tables(counts, sign=1, sums=None):
+        sums = [np.zeros((size, 2), np.int64) for size in M.SIZES] if sums is None else sums
+        M._add_words(sums, trees, M.Spelling([w for _, w in counts], np.array([k for k, _ in counts])), sign * np.array(list(counts.values())))
+        return sums
+
+    left, want = tables(sample, -1, tables(rest + sample)), tables(rest)
+    assert all((a == b).all() for a, b in zip(left, want))
+    once = tables({(0, b"dog"): 1})
+    assert [int(t.sum()) for t in once] == [int(once[0].sum())] * 4 and once[0].any()
