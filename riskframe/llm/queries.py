@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_tree, decontaminate, language, language_model, line_dedup, mixing, simhash, token_counts, top_k, url_filter
+from . import chat_tree, decontaminate, fill_middle, language, language_model, line_dedup, mixing, simhash, token_counts, top_k, url_filter
 from .common import remainder, table
 from .registry import query
 
@@ -142,3 +142,22 @@ def op8(spark, sf):
     found = language_model.score(docs, docs.filter(remainder("doc_id", 7) != 2))
     held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+@query("op12_fill_middle", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+  sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+draws AS (SELECT *, len(u) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS y,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+    WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+parts AS (SELECT *, array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m,
+  array_to_string(u[greatest(x, y) + 1:], '') AS s FROM draws)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts""")
+def op12(spark, sf):
+    found = fill_middle.fill_in_middle(table(spark, sf, "documents").select("doc_id", "text"))
+    back = fill_middle.restore("__fim.output", "__fim.form")
+    return found.select("doc_id", "__fim.n", "__fim.form", "__fim.prefix_chars", "__fim.middle_chars",
+                        F.sha2("__fim.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))

@@ -20,6 +20,6 @@ def test_query_matches_sql(spark, sf, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language identification", "line dedup", "near duplicates", "benchmark decontamination", "mixing"]
