@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_tree, decontaminate, fill_middle, language, language_model, line_dedup, mixing, simhash, token_counts, top_k, url_filter
+from . import chat_tree, decontaminate, fill_middle, language, language_model, line_dedup, mixing, packing, simhash, token_counts, top_k, url_filter
 from .common import remainder, table
 from .registry import query
 
@@ -161,3 +161,9 @@ def op12(spark, sf):
     back = fill_middle.restore("__fim.output", "__fim.form")
     return found.select("doc_id", "__fim.n", "__fim.form", "__fim.prefix_chars", "__fim.middle_chars",
                         F.sha2("__fim.output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+@query("op13_packing")
+def op13(spark, sf):
+    found = packing.pack(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
