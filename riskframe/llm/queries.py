@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_tree, decontaminate, fill_middle, language, language_model, line_dedup, mixing, packing, simhash, token_counts, top_k, url_filter
+from . import chat_tree, decontaminate, fill_middle, language, language_model, lexical, line_dedup, mixing, packing, simhash, token_counts, top_k, url_filter
 from .common import remainder, table
 from .registry import query
 
@@ -167,3 +167,21 @@ def op12(spark, sf):
 def op13(spark, sf):
     found = packing.pack(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op11_lexical", r"""
+WITH words AS (SELECT d.rowid AS r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT *, row_number() OVER () AS rowid FROM documents) d),
+tfs AS (SELECT r, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS (SELECT r, sum(tf)::BIGINT AS n FROM tfs GROUP BY r),
+facts AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+weighted AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM dfs, facts),
+scored AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN weighted USING (term) JOIN tfs USING (term) JOIN sizes USING (r), facts GROUP BY item_id, r, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10""")
+def op11(spark, sf):
+    return lexical.top_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
