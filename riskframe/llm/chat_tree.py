@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import cut_lineage
 from .common import null_safe
-from .token_counts import PATTERN, VOCABULARY, load_encoding, read_vocabulary
+from .token_counts import PATTERN, VOCABULARY, encode_text, load_encoding, read_vocabulary
 
 OPEN, CLOSE, ASSISTANT = "<s>", "</s>", "assistant"
 #: Strings that chat templates use as marks; none of them survives inside a text.
@@ -118,8 +118,8 @@ def pack(conversations: DataFrame, vocabulary: str = VOCABULARY, pack_tokens: in
                     continue
                 on_path = False
                 del path[depth:]
-                head = [first_mark, *encoding.encode_ordinary(escape_role(role) + "\n")]
-                body = encoding.encode_ordinary(escape(text))
+                head = [first_mark, *encode_text(encoding, escape_role(role) + "\n")]
+                body = encode_text(encoding, escape(text))
                 tokens = [*head, *body, last_mark]
                 _, parent, position, intervals = path[-1] if path else (None, -1, 0, [])
                 mine = (size, size + len(tokens))

@@ -41,7 +41,7 @@ BITMAP_BITS = 1 << 25
 #: An opener is an ordinary word if it is written in lower case so often for each time with a capital, and among so many words.
 ORDINARY, ORDINARY_RATE = 0.25, 1e-5
 #: Characters handled at once, and known words kept, by a task.
-PIECE, KNOWN_WORDS = 1 << 22, 1 << 20
+PIECE, KNOWN_WORDS = 1 << 20, 1 << 20
 
 UNITS = frozenset("""
 % percent kg g mg kilogram kilograms gram grams km m cm mm kilometer kilometers kilometre kilometres meter meters metre metres
@@ -71,6 +71,7 @@ class Templates:
         self.glued = re.compile(r"(?<=\d)(?=[^\W\d_])|(?<=\d)(?=%)")
         self.outer = re.compile(r"^[\W_]+|[\W_]+$")
         self.number = re.compile(r"^\d[\d.,:/]*$")
+        self.digit = re.compile(r"\d")
         self.typed = np.array([0, *(self.digest(f"\0{k}") for k in range(1, 5))], np.uint64)
         self.forget()
 
@@ -94,13 +95,19 @@ class Templates:
         self.opener.append(self.capital[-1] and low not in self.ordinary)
         return i
 
-    def windows(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        """text number, position, hash, slot kinds (window x width), slot values, words, and whether it starts inside a name."""
+    def digits(self, text: str) -> bool:
+        return any(d in text for d in "0123456789") if text.isascii() else self.digit.search(text) is not None
+
+    def windows(self, texts: list[str], bits: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """text number, position, hash, slot kinds (window x width), slot values, words, and whether it starts inside a name.
+
+        With a bitmap only the windows whose hash it knows: their kinds and slots alone are gathered.
+        """
         if len(self.hash) > KNOWN_WORDS:
             self.forget()
         ids, sizes = [], []
         for text in texts:
-            words = (self.glued.sub(" ", text) if any(map(str.isdigit, text)) else text).split()
+            words = (self.glued.sub(" ", text) if self.digits(text) else text).split()
             place, learn = self.place.get, self.learn
             found = [place(w, -1) for w in words]
             if -1 in found:
@@ -124,7 +131,7 @@ class Templates:
         opened = self.join_names(value, np.where(opener, NAME, kind), same & ~opens)
         forms = [(value, np.where(kind == NAME, LITERAL, kind), np.arange(doc.size), None),
                  (*named[:3], kind[named[2]] == NAME), (*opened[:3], opener[opened[2]])]
-        parts = [self.cut(v, k, doc[at], at, wanted, w) for v, k, at, wanted in forms for w in (self.width, *(range(1, self.width) if self.short is None else self.short))]
+        parts = [self.cut(v, k, doc[at], at, wanted, w, bits) for v, k, at, wanted in forms for w in (self.width, *(range(1, self.width) if self.short is None else self.short))]
         doc, at, h, kinds, slots, size = (np.concatenate(x) for x in zip(*parts))
         return doc, at - first[doc], h, kinds, slots, size, opened[3][at]
 
@@ -137,8 +144,9 @@ class Templates:
             value = np.add.reduceat(value * (2 * place.astype(np.uint64) + np.uint64(1)), starts) if starts.size else value
         return value, kind[starts], starts, goes_on
 
-    def cut(self, value: np.ndarray, kind: np.ndarray, doc: np.ndarray, origin: np.ndarray, wanted: np.ndarray | None, w: int) -> tuple[np.ndarray, ...]:
-        """Windows of w words, with a wanted one among them; arrays of words are filled up to ``width``."""
+    def cut(self, value: np.ndarray, kind: np.ndarray, doc: np.ndarray, origin: np.ndarray, wanted: np.ndarray | None, w: int,
+            bits: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """Windows of w words, with a wanted one among them and known to the bitmap; arrays of words are filled up to ``width``."""
         n = value.size
         whole = np.flatnonzero(doc[: max(n - w + 1, 0)] == doc[w - 1 :])
         if self.short is None and w < self.width:
@@ -151,6 +159,10 @@ class Templates:
         literals = np.concatenate(([0], np.cumsum(kind == LITERAL)))
         few = literals[whole + w] - literals[whole] < self.min_literals
         h = np.where(few, self.roll(value, whole, w) ^ np.uint64(0x9E3779B97F4A7C15), self.roll(template, whole, w))
+        if bits is not None and h.size:
+            i = h % np.uint64(bits.size * 8)
+            known = (bits[i >> np.uint64(3)] >> (i & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            whole, h = whole[known], h[known]
         at = whole[:, None] + np.arange(w)
         kinds, slots = np.full((whole.size, self.width), LITERAL, np.int8), np.zeros((whole.size, self.width), np.int64)
         kinds[:, :w], slots[:, :w] = kind[at], value[at].view(np.int64)
@@ -230,11 +242,7 @@ def template_windows(df: DataFrame, key: str, text: str, width: int, bitmap=None
         bits = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
         for batch in batches:
             for rows in _rows(batch):
-                doc, pos, h, kinds, slots, wide, inside = templates.windows([r[2] for r in rows])
-                if bits is not None and h.size:
-                    i = h.view(np.uint64) % np.uint64(bits.size * 8)
-                    known = (bits[i >> np.uint64(3)] >> (i & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    doc, pos, h, kinds, slots, wide, inside = (x[known] for x in (doc, pos, h, kinds, slots, wide, inside))
+                doc, pos, h, kinds, slots, wide, inside = templates.windows([r[2] for r in rows], bits)
                 if not h.size:
                     continue
                 offsets = np.arange(0, h.size * width + 1, width, dtype=np.int32)

@@ -10,6 +10,7 @@ gives an empty histogram. Other columns are not read.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,6 +47,28 @@ def _build_encoding(tiktoken, vocabulary: bytes, pattern: str, special: tuple[st
     return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens=marks)
 
 
+#: White space as the word pattern knows it, and runs of it that are not left to the pattern.
+BLANKS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_BLANKS, LONG_TEXT = re.compile(f"[{BLANKS}]{{2000,}}"), 100_000
+
+
+def encode_text(encoding, text: str) -> list[int]:
+    """The tokens of a text of any form.
+
+    The word pattern overflows its stack on very long runs of blanks. It makes one word of a run, less its
+    last blank if a word follows; such runs are cut out and encoded as that word.
+    """
+    if len(text) < LONG_TEXT:
+        return encoding.encode_ordinary(text)
+    ids, start = [], 0
+    for run in LONG_BLANKS.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += encoding.encode_ordinary(text[start : run.start()])
+        ids += encoding._encode_single_piece(text[run.start() : end])
+        start = end
+    return ids + encoding.encode_ordinary(text[start:])
+
+
 def read_vocabulary(df: DataFrame, path: str) -> bytes:
     """The vocabulary file's bytes (about 1 MB), read by Spark so that any store works."""
     found = df.sparkSession.read.format("binaryFile").load(path if "://" in path else f"file://{path}")
@@ -60,7 +83,7 @@ def encoded_length(df: DataFrame, text: str = "text", vocabulary: str = VOCABULA
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoding = load_encoding(shared.value)
         for texts in batches:
-            yield pd.Series([len(encoding.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
+            yield pd.Series([len(encode_text(encoding, t)) if t else 0 for t in texts], dtype="int64")
 
     return count(F.col(text))
 

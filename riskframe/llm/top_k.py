@@ -38,7 +38,8 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     """id, v: integer components as doubles, of the vectors that take part; one row per id and vector."""
     x = F.col(vector).cast("array<double>")
     fine = (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    cells = F.transform(x, lambda c: F.floor(c * SCALE).cast("double"))
+    # Doubles from 2^52 on are integers; as longs they would saturate.
+    cells = F.transform(x, lambda c: F.when(F.abs(c * SCALE) < 2.0**52, F.floor(c * SCALE).cast("double")).otherwise(c * SCALE))
     rows = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).filter(fine)
     return rows.select(F.col(key).cast("long").alias("id"), cells.alias("v")).dropDuplicates()
 

@@ -64,3 +64,10 @@ def test_odd_rows(spark):
     got = {r.conv_id: r for r in C.read_back(C.pack(frame)).collect()}
     assert {k: (r.n_turns, r.loss_chars) for k, r in got.items()} == {1: (3, 0), None: (1, 200_000), 2: (1, 0)}
     assert C.pack(frame.limit(0)).count() == 0
+
+
+def test_a_million_blanks_in_a_turn(spark):
+    rows = [(1, 0, "user", " " * 10**6), (1, 1, "assistant", "\n" * 10**6 + "x"), (2, 0, "user", "short")]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in C.read_back(C.pack(chats)).collect()}
+    assert found[1].n_turns == 2 and found[1].loss_chars == 10**6 + 1 and found[2].n_turns == 1

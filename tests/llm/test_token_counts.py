@@ -40,3 +40,18 @@ def test_odd_rows_and_any_limit(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "text string")
     assert T.length_totals(T.length_histogram(docs)).count() == 0
+
+
+def test_long_runs_of_blanks():
+    encoding = T.load_encoding(open(T.VOCABULARY, "rb").read())
+    words = "some words, " * 10_000
+    for run in (" " * 3000, "\n" * 2500, " \n" * 1500, "\u3000\xa0" * 1200, "\x1c" * 3000):
+        for text in (run + words, words + run, f"a{run}\n{words}", words + run + "1" + run + "'s", run * 40):
+            assert T.encode_text(encoding, text) == encoding.encode_ordinary(text)
+    for text in (" " * 10**6, "\n" * 10**6 + "x", "x" * 10**6, words + " \t" * 10**6 + words):
+        assert encoding.decode(T.encode_text(encoding, text)) == text
+
+
+def test_a_million_blanks_are_counted(spark):
+    docs = spark.createDataFrame([(" " * 10**6,), ("\n" * 10**6,), ("x" * 10**6,)], "text string")
+    assert sum(r.documents for r in T.length_histogram(docs).collect()) == 3

@@ -56,7 +56,12 @@ def test_nothing_to_search(spark):
     assert run(spark, [(1, [1.0])], [1], 3) == []
 
 
-@pytest.mark.parametrize("big", [2.0**45])
+def test_huge_components_do_not_saturate(spark):
+    rows = [(0, [2.0**54, 1.0]), (1, [2.0**-12, 3.0]), (2, [0.0, 2.0**-10]), (3, [0.0, -0.25])]
+    assert run(spark, rows, [1, 2, 3], 3) == plain(rows, [1, 2, 3], 3)
+
+
+@pytest.mark.parametrize("big", [2.0**45, 1e300])
 def test_scores_beyond_a_long_raise(spark, big):
-    with pytest.raises(Exception, match="Overflow|too large|too big"):
+    with pytest.raises(Exception, match="Overflow|too large|too big|infinity"):
         run(spark, [(0, [big, big]), (1, [big, big])], [0], 3)
