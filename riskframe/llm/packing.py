@@ -23,9 +23,11 @@ tokenizer never joins across ASCII blanks, so very long texts are whole and need
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,9 @@ from ..functions.frames import cut_lineage
 
 CAPACITY, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Pieces numbered by one task at once.
-GROUP = 2048
+GROUP = 256
+#: Between a small letter and a punctuation mark (no apostrophe: contractions are units).
+MARK = re.compile(rb"(?<=[a-z])(?=[.,;:!?])")
 #: Words encoded at once, known words kept by a task, and bytes of texts handled at once.
 ENCODE, KNOWN_WORDS, PIECE = 1 << 14, 1 << 20, 1 << 21
 
@@ -48,12 +52,20 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Words:
-    """Token ids of words, kept while there are not too many."""
+    """Token ids of words, kept by a worker from task to task while there are not too many.
+
+    Plain words (small letters of Latin scripts) are one unit for the tokenizer's pattern and unchanged by its
+    normalisation, so the model alone is asked; all others go through the whole tokenizer.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.model = self.tokenizer.model
+        # The byte alphabet of byte-level BPE: printable bytes stand for themselves, all others come after 255.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
         self.forget()
 
     def forget(self) -> None:
@@ -61,38 +73,70 @@ class Words:
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
+    def tokens(self, words: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(words)
+        others = []
+        for i, word in enumerate(words):
+            text = word.decode()
+            if text.isalpha() and (text.isascii() or max(text) < "\u0250") and text == text.lower():
+                out[i] = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.alphabet))]
+            else:
+                others.append((i, text))
+        for (i, _), found in zip(others, self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False)):
+            out[i] = found.ids
+        return out
+
     def learn(self, words: list[bytes]) -> None:
         for i in range(0, len(words), ENCODE):
             some = words[i : i + ENCODE]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                ids, n = found.ids, len(self.place)
-                while self.used + len(ids) > self.ids.size:
-                    self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
-                if n == self.start.size:
-                    self.start, self.count = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.count))
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.place[word], self.start[n], self.count[n] = n, self.used, len(ids)
-                self.used += len(ids)
+            found = self.tokens(some)
+            count, n = np.fromiter(map(len, found), np.int64, len(found)), len(self.place)
+            ids = np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum()))
+            while self.used + ids.size > self.ids.size:
+                self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+            while n + len(some) > self.start.size:
+                self.start, self.count = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.count))
+            self.ids[self.used : self.used + ids.size] = ids
+            self.start[n : n + len(some)], self.count[n : n + len(some)] = self.used + np.cumsum(count) - count, count
+            self.place.update(zip(some, range(n, n + len(some))))
+            self.used += ids.size
 
     def encode(self, words: list[bytes]) -> np.ndarray:
         if len(self.place) > KNOWN_WORDS:
             self.forget()
-        if new := list(dict.fromkeys(w for w in words if w not in self.place)):
-            self.learn(new)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        found = list(map(self.place.get, words))
+        if None in found:
+            self.learn(list(dict.fromkeys(w for w, at in zip(words, found) if at is None)))
+            found = map(self.place.__getitem__, words)
+        at = np.fromiter(found, np.int64, len(words))
         count = self.count[at]
         first = np.cumsum(count) - count
         return self.ids[np.repeat(self.start[at] - first, count) + np.arange(int(count.sum()))]
 
 
+def kept_words(vocabulary: str) -> Words:
+    """The worker's own; these functions travel by value, so it is kept with the tokenizer library."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_kept_words", {})
+    if hash(vocabulary) not in kept:
+        kept[hash(vocabulary)] = Words(vocabulary)
+    return kept[hash(vocabulary)]
+
+
 def word_lists(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, some megabytes at a time."""
+    """Stretches of a text that can be encoded apart, some megabytes at a time.
+
+    The tokenizer ignores blanks and case, and ends a unit between a letter and a punctuation mark, so
+    marks are parted from words and capitals made small: there are fewer words to learn. Its special tokens alone need their case.
+    """
     start = 0
     while start < len(text):
         end = min(len(text), start + PIECE)
         while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
             end += 1
-        yield text[start:end].split()
+        part = text[start:end]
+        yield (part if b"<|" in part else MARK.sub(b" ", part.lower())).split()
         start = end
 
 
@@ -109,7 +153,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
-        words = Words(shared.value)
+        words = kept_words(shared.value)
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             held = 0

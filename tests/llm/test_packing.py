@@ -119,6 +119,16 @@ def verify(rows, docs, capacity):
     return len(bins)
 
 
+def test_words_apart_equal_the_whole_text():
+    rng, tokenizer, words = random.Random(2), Tokenizer.from_file(P.vocabulary_path()), P.Words(open(P.vocabulary_path(), encoding="utf-8").read())
+    parts = ["word", "Word's", "it's.", "end.", "end...", "(a,b)", "don't!", "x1y", "ﬁne", "naïve", "NAÏVE", "e\u0301", "Σίσυφος", "İstanbul", "ß", "ŉ", "漢字。", "a\u0301b",
+             "<|endoftext|>", "<|ENDOFTEXT|>", "A<|endoftext|>b.", "...", "'s", "'ve", "co\xadop", "\x1c", "q\x00r", "\u2028", "a.b.c", "U.S.A.", "\u00aa", "ǅ", "\u0130."]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) + rng.choice([" ", "\n", "  ", "\t", "", "."]) for _ in range(rng.randint(1, 12)))
+        got = [i for w in P.word_lists(text.encode()) for i in words.encode(w).tolist()]
+        assert got == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_query(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()]
     rows = op13(spark, sf).collect()
