@@ -1,140 +1,181 @@
-"""Exact k nearest neighbours within one set of points.
+"""Exact k nearest neighbours within one set of points, through a metric tree.
 
-Points are cut into cells around pivots. A point meets its own cell first; the distance to
-its k-th neighbour there rules out every cell that lies wholly farther away (triangle
-inequality), and only the others are visited. Large cells are cut into blocks and the
-points visiting a block into chunks, so one task holds one block and one chunk. Out of each
-meeting come at most k rows per point, never the pairs.
+The tree is built level by level: every node with more than ``leaf_rows`` points is split among pivots
+drawn from its own points, each point going to its nearest one. A table keeps the nodes (node, parent,
+level, centre, radius, rows), another the points with their leaf; neither ever is on the driver.
+
+A point first meets its own leaf. The distance to its k-th neighbour there is its limit: a node
+farther away than its radius and that limit holds nothing closer (triangle inequality). The tree is
+descended for whole leaves at once, with the largest reach of any of their points, so the frontier has a
+row per pair of leaf and node; at the leaves each point applies its own limit. Of the leaves left
+open the nearest are visited first and tighten the limit; only those still open are visited then.
+
+A meeting holds one leaf and at most about as many askers, so no task grows with the data; out of it
+come at most k rows per point, never the pairs. The number of leaves a point visits does not depend on
+the number of points in few dimensions; in many dimensions limits rule out little.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import cut_lineage, join_on
-from ..functions.hashing import hash_token
 from .quality import attach_group_facts
 
-BLOCK_ROWS = 4096
-MAX_PIVOTS = 4096
+LEAF_ROWS = 4096
+FANOUT = 32
+#: Leaves a point visits before its limit is drawn tighter.
+NEAREST_LEAVES = 3
+#: Rounding of distances, relative to them.
+SLACK = 1e-9
+
+
+def _apart(a: str | Column, b: str | Column) -> Column:
+    gaps = F.zip_with(a, b, lambda p, q: (p - q) * (p - q))
+    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g))
+
+
+def metric_tree(points: DataFrame, leaf_rows: int = LEAF_ROWS, fanout: int = FANOUT, seed: object = 0) -> tuple[DataFrame, DataFrame]:
+    """Points (id, x and others) with their leaf and reach, and the nodes: node, parent, level, centre, radius, rows.
+
+    ``reach`` is the distance to the leaf's centre. Points of one place stay together, so a leaf
+    holds at most ``leaf_rows`` points unless one place has more. The root has no centre.
+    """
+    spark, names, total = points.sparkSession, points.columns, points.count()
+    kept = [points.select(*names, F.lit(0).cast("bigint").alias("leaf"), F.lit(0.0).alias("reach"))]
+    nodes = [spark.range(1).select(
+        F.col("id").alias("node"), F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("level"),
+        F.lit(None).cast("array<double>").alias("centre"), F.lit(float("inf")).alias("radius"), F.lit(total).cast("bigint").alias("rows"))]
+    wide, level = total > leaf_rows, 0
+    while wide:
+        level += 1
+        sizes = nodes[-1].filter(F.col("rows") > leaf_rows).select("node", "rows")
+        sizes = sizes.withColumn("wanted", F.least(F.lit(fanout), F.ceil(2 * F.col("rows") / leaf_rows).cast("int")))
+        open_points = kept.pop().withColumnRenamed("leaf", "node")
+        inside = attach_group_facts(open_points, sizes, ["node"])
+        kept.append(inside.filter("wanted IS NULL").select(*names, F.col("node").alias("leaf"), "reach"))
+        inside = inside.filter("wanted IS NOT NULL")
+        # About eight candidates for each pivot, by the hash of their place; of these the lowest, one per place.
+        token = F.pmod(F.xxhash64(F.lit(f"{seed}/{level}"), "x"), F.lit(1 << 40))
+        drawn = inside.withColumn("token", token).filter(F.col("token") * F.col("rows") < F.lit(8.0 * (1 << 40)) * F.col("wanted"))
+        drawn = drawn.groupBy("node", "wanted", "token").agg(F.min("x").alias("centre"))
+        place = F.row_number().over(Window.partitionBy("node").orderBy("token"))
+        chosen = drawn.withColumn("j", place).filter(F.col("j") <= F.col("wanted"))
+        pivots = chosen.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("j", "centre"))).alias("pivots"))
+        dealt = attach_group_facts(inside.select(*names, "node", "reach"), pivots, ["node"])
+        near = F.array_min(F.transform("pivots", lambda p: F.struct(_apart(p["centre"], F.col("x")).alias("reach"), p["j"].alias("j"))))
+        dealt = dealt.withColumn("near", near)
+        child = F.col("node") * (fanout + 1) + F.coalesce("near.j", F.lit(0))  # a node without candidates stays whole for a level
+        centre = F.get(F.col("pivots"), F.col("near.j") - 1)["centre"]
+        moved = cut_lineage(dealt.select(*names, child.alias("leaf"), F.coalesce("near.reach", "reach").alias("reach"), "node", centre.alias("centre")))
+        made = moved.groupBy(F.col("leaf").alias("node")).agg(
+            F.first("node").alias("parent"), F.lit(level).alias("level"), F.first("centre").alias("centre"),
+            F.max("reach").alias("radius"), F.count(F.lit(1)).alias("rows"))
+        # Without a centre nothing is known of a node's place.
+        nodes.append(cut_lineage(made.withColumn("radius", F.when(F.col("centre").isNull(), float("inf")).otherwise(F.col("radius")))))
+        kept.append(moved.select(*names, "leaf", "reach"))
+        wide = not nodes[-1].filter(F.col("rows") > leaf_rows).isEmpty()
+    return reduce(DataFrame.unionByName, kept), reduce(DataFrame.unionByName, nodes)
+
+
+def open_leaves(asking: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, leaf, ahead: the other leaves that may hold something closer than a point's limit.
+
+    ``asking``: id, x, leaf, reach, limit. ``ahead`` is the least distance anything in the leaf can have.
+    """
+    margin = 1.0 + SLACK
+    whole = asking.groupBy("leaf").agg(F.max(F.col("limit") + F.col("reach")).alias("span"))
+    own = nodes.select(F.col("node").alias("leaf"), F.col("centre").alias("own"), F.col("parent").alias("home"))
+    frontier = cut_lineage(join_on(whole, own, ["leaf"]).withColumn("node", F.lit(0).cast("bigint")))
+    parents = nodes.select(F.col("parent").alias("node")).distinct()
+    tree = cut_lineage(join_on(nodes.filter("parent IS NOT NULL").select(F.col("node").alias("child"), F.col("parent").alias("node"), "centre", "radius"),
+                               parents.withColumn("inner", F.lit(True)).withColumnRenamed("node", "child"), ["child"], "left"))
+    found = []
+    while not frontier.isEmpty():
+        met = join_on(frontier, tree, ["node"]).withColumnRenamed("node", "parent")
+        apart = _apart("own", "centre")
+        sibling = F.min(apart).over(Window.partitionBy("leaf", "parent"))
+        met = met.withColumns({"apart": apart, "sibling": sibling})
+        ball = F.col("apart") * (1 - SLACK) - F.col("radius") * margin
+        ahead = F.greatest(ball, (F.col("apart") * (1 - SLACK) - F.col("sibling") * margin) / 2)
+        close = F.col("apart").isNull() | (ahead <= F.col("span"))
+        met = cut_lineage(met.filter(close).select("leaf", "span", "own", "home", "parent", F.col("child").alias("node"), "inner", "centre", "radius"))
+        found.append(met.filter("inner IS NULL AND node <> leaf").select("leaf", "home", "parent", F.col("node").alias("other"), "centre", "radius"))
+        frontier = met.filter("inner").select("leaf", "span", "own", "home", "node")
+    pairs = reduce(DataFrame.unionByName, found)
+    apart = F.when(F.col("centre").isNull(), F.lit(0.0)).otherwise(_apart("x", "centre"))
+    reached = join_on(asking, pairs, ["leaf"]).withColumn("apart", apart)
+    reached = reached.withColumn("ahead", F.greatest(F.lit(0.0), F.col("apart") * (1 - SLACK) - F.col("radius") * margin)).filter(F.col("ahead") <= F.col("limit"))
+    # All points of a leaf are nearer to its centre than to those of its siblings, so half the difference of distances is ahead as well.
+    nearest = F.least(F.min("apart").over(Window.partitionBy("id", "parent")), F.when(F.col("parent") == F.col("home"), F.col("reach")))
+    reached = reached.withColumn("ahead", F.greatest("ahead", (F.col("apart") * (1 - SLACK) - nearest * margin) / 2))
+    return reached.filter(F.col("ahead") <= F.col("limit")).select("id", "x", "limit", F.col("other").alias("leaf"), "ahead")
 
 
 def nearest_neighbours(
-    df: DataFrame, key: str, vector: str, k: int, seed: object = 0,
-    block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS,
+    df: DataFrame, key: str, vector: str, k: int, seed: object = 0, leaf_rows: int = LEAF_ROWS, fanout: int = FANOUT,
 ) -> DataFrame:
     """Rows ``key, rank, neighbour, distance``; ties in distance go to the lower key.
 
-    ``vector`` is an array of doubles and ``key`` unique.
+    ``vector`` is an array of doubles of one length and ``key`` unique.
     """
     kind = df.schema[key].dataType.simpleString()
     points = cut_lineage(df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("x")))
     # Copies of a point share their answer, and no answer needs more than k + 1 of them.
-    places = cut_lineage(points.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")))
-    total = places.count()
-    if total == 0:
-        return df.sparkSession.createDataFrame([], f"{key} {kind}, rank int, neighbour {kind}, distance double")
-    pivots = min(max_pivots, math.ceil(total / block_rows))
-    chosen = places.withColumn("token", hash_token(["id"], f"{seed}/pivots")).orderBy("token").limit(pivots)
-    centres = np.array([r["x"] for r in chosen.select("x").collect()], dtype=float)
-    celled = cut_lineage(_with_cell(_lowest_copies(points, k + 1, kind), centres, kind))
-    cells = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("reach").alias("radius"))
-    cells = cut_lineage(cells.withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("int")))
-
-    asking = cut_lineage(_with_cell(places.select("id", "x"), centres, kind))
-    own = asking.select("id", "x", "cell", F.lit(float("inf")).alias("limit"))
-    found = cut_lineage(_visit(own, celled, cells, k + 1, kind, block_rows))
-    if pivots > 1:
-        limits = found.groupBy("id").agg(F.count(F.lit(1)).alias("found"), F.sort_array(F.collect_list("distance")).alias("far"))
-        reach = F.when(F.col("found") > k, F.get("far", F.lit(k))).otherwise(F.lit(float("inf")))
-        limited = join_on(asking, limits, ["id"], "left").select("id", "x", "cell", F.coalesce(reach, F.lit(float("inf"))).alias("limit"))
-        radius = {r["cell"]: r["radius"] for r in cells.select("cell", "radius").collect()}
-        outward = _other_cells(limited, centres, radius, kind)
-        found = found.unionByName(_visit(outward, celled, cells, k + 1, kind, block_rows))
-    answers = _nearest(found, k + 1).groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "neighbour", "distance"))).alias("near")
-    )
-    known = join_on(places, answers, ["id"]).select("x", "n", "near")
+    copy = F.row_number().over(Window.partitionBy("x").orderBy("id"))
+    copies = cut_lineage(points.withColumn("copy", copy).filter(F.col("copy") <= k + 1))
+    placed, nodes = metric_tree(copies, max(leaf_rows, k + 2), fanout, seed)
+    firsts = placed.filter("copy = 1").select("id", "x", "leaf", "reach")
+    answers = _through_tree(firsts, placed, nodes, k + 1, kind, leaf_rows)
+    near = answers.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))
+    known = join_on(copies.filter("copy = 1").select("id", "x"), near, ["id"]).select("x", "near")
     rows = attach_group_facts(points, known, ["x"], "inner")
     others = F.slice(F.filter("near", lambda s: s["neighbour"] != F.col("id")), 1, k)
     listed = rows.withColumn("others", others).select("id", F.posexplode("others").alias("at", "hit"))
     return listed.select(F.col("id").alias(key), (F.col("at") + 1).alias("rank"), "hit.neighbour", "hit.distance")
 
 
-def _lowest_copies(points: DataFrame, most: int, kind: str) -> DataFrame:
-    """At most ``most`` rows per distinct vector, those of lowest id; thinned before the shuffle."""
+def _through_tree(asking: DataFrame, placed: DataFrame, nodes: DataFrame, k: int, kind: str, leaf_rows: int) -> DataFrame:
+    """The k nearest of every asking point (id, x, leaf, reach): id, neighbour, distance."""
+    own = asking.select("id", "x", "leaf", F.lit(float("inf")).alias("limit"))
+    found = cut_lineage(_meet(own, placed, k, kind, leaf_rows))
+    if nodes.count() == 1:
+        return found
+    limited = cut_lineage(join_on(asking, _limits(found, k), ["id"], "left").withColumn("limit", F.coalesce("limit", F.lit(float("inf")))))
+    turn = F.row_number().over(Window.partitionBy("id").orderBy("ahead", "leaf"))
+    waiting = cut_lineage(open_leaves(limited, nodes).withColumn("turn", turn))
+    first = waiting.filter(F.col("turn") <= NEAREST_LEAVES)
+    found = cut_lineage(_nearest(found.unionByName(_meet(first, placed, k, kind, leaf_rows)), k))
+    tight = join_on(waiting.filter(F.col("turn") > NEAREST_LEAVES).drop("limit"), _limits(found, k), ["id"], "left")
+    later = tight.withColumn("limit", F.coalesce("limit", F.lit(float("inf")))).filter(F.col("ahead") <= F.col("limit"))
+    return _nearest(found.unionByName(_meet(later, placed, k, kind, leaf_rows)), k)
 
-    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                batch = batch.sort_values("id", kind="stable")
-                _, place = np.unique(np.stack(batch["x"]) + 0.0, axis=0, return_inverse=True)
-                yield batch[pd.Series(place.ravel()).groupby(place.ravel()).cumcount().to_numpy() < most]
 
-    order = Window.partitionBy("x").orderBy("id")
-    thinned = points.mapInPandas(thin, f"id {kind}, x array<double>").withColumn("copy", F.row_number().over(order))
-    return thinned.filter(F.col("copy") <= most).drop("copy")
+def _limits(found: DataFrame, k: int) -> DataFrame:
+    """id, limit: the distance of the k-th neighbour so far, of points that have k."""
+    counted = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("limit"))
+    return counted.filter(F.col("n") >= k).select("id", "limit")
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row-by-row distances, summed in place so that equal inputs give equal results."""
+    """Row-by-row distances, summed in dimension order so that equal inputs give equal results."""
     out = np.zeros((len(a), len(b)))
     for d in range(a.shape[1]):
         out += np.square(a[:, d][:, None] - b[:, d][None, :])
     return np.sqrt(out)
 
 
-def _with_cell(points: DataFrame, centres: np.ndarray, kind: str) -> DataFrame:
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                away = _distances(np.stack(batch["x"]), centres)
-                cell = away.argmin(axis=1)
-                yield batch.assign(cell=cell.astype("int32"), reach=away[np.arange(len(batch)), cell])
-
-    return points.mapInPandas(assign, f"id {kind}, x array<double>, cell int, reach double")
-
-
-def _other_cells(limited: DataFrame, centres: np.ndarray, radius: dict[int, float], kind: str) -> DataFrame:
-    """Pair each point with the other cells that may hold a closer neighbour."""
-    reach = np.array([radius.get(i, -np.inf) for i in range(len(centres))])
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                away = _distances(np.stack(batch["x"]), centres)
-                slack = 1e-9 * (1.0 + away)
-                open_cell = away - reach[None, :] <= batch["limit"].to_numpy()[:, None] + slack
-                open_cell[np.arange(len(batch)), batch["cell"]] = False
-                row, cell = np.nonzero(open_cell & np.isfinite(reach)[None, :])
-                yield batch.iloc[row].assign(cell=cell.astype("int32"))
-
-    return limited.mapInPandas(spread, f"id {kind}, x array<double>, cell int, limit double")
-
-
-def _visit(visits: DataFrame, celled: DataFrame, cells: DataFrame, k: int, kind: str, block_rows: int) -> DataFrame:
-    """Best k per point and block for the given (point, cell) visits."""
-    sized = cells.select("cell", "blocks")
-    blocks = join_on(celled, sized, ["cell"]).select(
-        "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "x"
-    )
-    calls = cut_lineage(visits)
-    chunks = calls.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("chunks"))
-    chunks = cut_lineage(chunks)
-    callers = join_on(join_on(calls, sized, ["cell"]), chunks, ["cell"]).select(
-        "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - F.lit(1).cast("bigint"))).alias("block"),
-        F.pmod(F.xxhash64(F.lit("chunk"), "id"), F.col("chunks")).alias("chunk"), "id", "x", "limit",
-    )
-    stored = join_on(blocks, chunks, ["cell"]).select(
-        "cell", "block",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - F.lit(1).cast("bigint"))).alias("chunk"), "id", "x",
-    )
+def _meet(visits: DataFrame, placed: DataFrame, k: int, kind: str, leaf_rows: int) -> DataFrame:
+    """Best k per visit: ``visits`` (id, x, leaf, limit) meet the points of the leaf, in chunks of about ``leaf_rows`` askers."""
+    calls = cut_lineage(visits.select("id", "x", "leaf", "limit"))
+    chunks = cut_lineage(calls.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / leaf_rows).cast("int").alias("chunks")))
+    callers = join_on(calls, chunks, ["leaf"]).select("leaf", F.pmod(F.xxhash64(F.lit("chunk"), "id"), F.col("chunks")).cast("int").alias("chunk"), "id", "x", "limit")
+    stored = join_on(placed.select("leaf", "id", "x"), chunks, ["leaf"]).select("leaf", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "id", "x")
     # Fresh column identities: both sides come from the same stored points.
     callers, stored = callers.toDF(*callers.columns), stored.toDF(*stored.columns)
 
@@ -145,10 +186,10 @@ def _visit(visits: DataFrame, celled: DataFrame, cells: DataFrame, k: int, kind:
         there = there.sort_values("id", kind="stable")
         ids, points = there["id"].to_numpy(), np.stack(there["x"])
         out = []
-        for at in range(0, len(asking), 512):
-            part = asking.iloc[at:at + 512]
+        for at in range(0, len(asking), 256):
+            part = asking.iloc[at:at + 256]
             away = _distances(np.stack(part["x"]), points)
-            near = np.argsort(away, axis=1, kind="stable")[:, :k]
+            near = _least(away, k)
             rows = np.repeat(np.arange(len(part)), near.shape[1])
             found = away[rows, near.ravel()]
             keep = np.isfinite(found) & (found <= part["limit"].to_numpy()[rows])
@@ -157,13 +198,21 @@ def _visit(visits: DataFrame, celled: DataFrame, cells: DataFrame, k: int, kind:
             }))
         return pd.concat(out, ignore_index=True)
 
-    keys = ["cell", "block", "chunk"]
-    return callers.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(
-        meet, f"id {kind}, neighbour {kind}, distance double"
-    )
+    keys = ["leaf", "chunk"]
+    return callers.groupBy(*keys).cogroup(stored.groupBy(*keys)).applyInPandas(meet, f"id {kind}, neighbour {kind}, distance double")
+
+
+def _least(away: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least values per row; ties go to the lower column."""
+    k = min(k, away.shape[1])
+    cut = np.partition(away, k - 1, axis=1)[:, k - 1 : k]
+    most = int((away <= cut).sum(axis=1).max())  # k, and values equal to the k-th
+    near = np.sort(np.argpartition(away, most - 1, axis=1)[:, :most], axis=1)
+    order = np.argsort(np.take_along_axis(away, near, axis=1), axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(near, order, axis=1)
 
 
 def _nearest(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("id").orderBy("distance", "neighbour")
     ranked = found.withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k).select("id", "rank", "neighbour", "distance")
+    return ranked.filter(F.col("rank") <= k).select("id", "neighbour", "distance")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import cut_lineage, explode_count
 from ..functions.hashing import hash_token, hex_number, uniform
 from ..schema import SEED
-from .neighbours import BLOCK_ROWS, nearest_neighbours
+from .neighbours import LEAF_ROWS, nearest_neighbours
 from .quality import attach_group_facts
 from .sampling import class_sizes, hash_segments, parts_frame
 
@@ -19,7 +19,7 @@ CHUNK = 100_000
 
 def smote(
     df: DataFrame, label: str, key: str, vector: str, k: int = 5, seed: int = SEED,
-    block_rows: int = BLOCK_ROWS,
+    leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """Rows ``key, label, vector, synthetic`` with the minority raised to the majority's size.
 
@@ -43,7 +43,7 @@ def smote(
     dealt = hash_segments(base, label, parts_frame(base, label, {minority: [extra, few - extra]}), [key], f"{seed}/smote", "__part")
     counted = dealt.withColumn("__draws", F.lit(each) + F.when(F.col("__part") == 0, 1).otherwise(0))
 
-    near = cut_lineage(nearest_neighbours(base, key, vector, k, seed, block_rows))
+    near = cut_lineage(nearest_neighbours(base, key, vector, k, seed, leaf_rows))
     ends = base.select(F.col(key).alias("neighbour"), F.col(vector).alias("__end"))
     # One row may be the neighbour of very many.
     sought = near.groupBy("neighbour").agg(F.count(F.lit(1)).alias("n")).join(ends, "neighbour")
