@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -18,14 +19,15 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import cut_lineage, spread
-from ..functions.hashing import uniform
+from ..functions.hashing import cell_text, hex_number
 from ..schema import FEATURE_COLS, LABEL_COL, SEED
-from .features import balanced_weight, lr_preprocess, tree_preprocess
+from .features import balanced_weight, class_sizes_without, lr_preprocess, tree_preprocess, weight_of_sizes
 from .metrics import classify
+from .node_trees import NodeForest, cut, node_table, stored_forest
 from .resample import smote
 
 LR, DT, RF = "Logistic Regression", "Decision Tree", "Random Forest"
@@ -104,8 +106,8 @@ def candidate_table(spark, specs: Sequence[Candidate]) -> DataFrame:
 
 
 def _tree_params(params: Mapping[str, object]) -> dict:
-    if int(params.get("min_samples_split") or 2) != 2:
-        raise ValueError("min_samples_split other than 2 is not supported")
+    if int(params.get("min_samples_split") or 2) < 2:
+        raise ValueError("min_samples_split must be 2 or more")
     if params.get("criterion", "gini") != "gini":
         raise ValueError("Only the gini criterion is supported")
     depth = params.get("max_depth")
@@ -153,70 +155,109 @@ def preprocess_for(spec: Candidate, columns: Columns):
     raise ValueError(f"Unknown model kind: {spec.model}")
 
 
-class BaggedForest:
-    """Average of one-tree models whose class weights follow each tree's own bootstrap sample."""
+def bootstrap_draws(key: str, trees: int, seed: object = SEED) -> Column:
+    """Array over the trees: how often a row enters each tree's bootstrap sample, Poisson(1) draws from hashes."""
+    mass, upto, cuts = 0.36787944117144233, 0.0, []
+    for n in range(13):
+        upto += mass
+        cuts.append(upto)
+        mass /= n + 1
+    text, steps = cell_text(key), F.array(*map(F.lit, cuts))
 
-    def __init__(self, prepared: PipelineModel, trees: list):
-        self.prepared = prepared
-        self.trees = trees
-        self.stages = [*prepared.stages, self]
+    def drawn(tree: Column) -> Column:
+        token = F.md5(F.concat_ws("|", text, F.concat(F.lit(f"{seed}/tree/"), tree.cast("string"))))
+        return hex_number(token, 1, 8).cast("double") / F.lit(4294967296.0)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = self.prepared.transform(df)
-        for i, tree in enumerate(self.trees):
-            out = tree.setPredictionCol(f"__p{i}").transform(out)
-        total = sum((F.col(f"__p{i}") for i in range(len(self.trees))), F.lit(0.0)) / len(self.trees)
-        out = out.withColumn("prediction", total)
-        return out.drop(*[f"__p{i}" for i in range(len(self.trees))])
+    # The number is bound once and compared with all steps.
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), drawn)
+    return F.transform(numbers, lambda u: F.aggregate(steps, F.lit(0), lambda n, c: n + (c <= u).cast("int")))
 
 
-def bootstrap_count(key: Sequence[str], seed: object):
-    """Poisson(1) draw count from a hash: how often a row enters a bootstrap sample."""
-    u = uniform(key, seed)
-    mass, upto, count = 0.36787944117144233, 0.0, None
-    for n in range(13):
-        upto += mass
-        count = F.when(u < upto, n) if count is None else count.when(u < upto, n)
-        mass /= n + 1
-    return count.otherwise(13)
+def bootstrap_weights(rows: DataFrame, label: str, trees: int, draws: str = "draws") -> DataFrame:
+    """tree, label, n (draws of the class in the tree's sample), weight (balanced); one pass for all trees."""
+    sums = rows.groupBy(label).agg(F.array(*[F.sum(F.col(draws)[i]) for i in range(trees)]).alias("sums"))
+    cells = sums.select(label, F.posexplode("sums").alias("tree", "n")).filter("n > 0")  # a row per tree and class
+    tree = Window.partitionBy("tree")
+    return cells.select("tree", label, "n", (F.sum("n").over(tree) / (F.count(F.lit(1)).over(tree) * F.col("n"))).alias("weight"))
 
 
-def _fit_bagged(spec: Candidate, prepared: PipelineModel, rows: DataFrame, columns: Columns, at_once: int = 8) -> BaggedForest:
-    """Trees are fitted in groups, ``at_once`` jobs side by side."""
-    single = spec.with_params(n_estimators=1)
+def _fit_bagged(spec: Candidate, prepared: PipelineModel, rows: DataFrame, columns: Columns, at_once: int = 8) -> NodeForest:
+    """A forest whose class weights follow each tree's own bootstrap sample; ``at_once`` trees are fitted side by side."""
+    single, trees = spec.with_params(n_estimators=1), int(spec.params.get("n_estimators", 100))
+    rows = cut_lineage(rows.withColumn("draws", bootstrap_draws(columns.key, trees)))
+    weights: dict[int, dict] = {i: {} for i in range(trees)}
+    for r in bootstrap_weights(rows, columns.label, trees).collect():
+        weights[r["tree"]][r[columns.label]] = r["weight"]
 
     def one(i: int):
-        drawn = rows.withColumn("__n", bootstrap_count([columns.key], f"{SEED}/tree/{i}").cast("double")).filter("__n > 0")
-        sizes = {r[0]: r[1] for r in drawn.groupBy(columns.label).agg(F.sum("__n")).collect()}
-        total = sum(sizes.values())
         weight = F
-        for c, n in sizes.items():
-            weight = weight.when(F.col(columns.label) == c, F.lit(total / (len(sizes) * n)))
-        weighted = drawn.withColumn("__weight", weight * F.col("__n"))
-        model = classifier(single.with_params(random_state=SEED + i), total, columns.label, "__weight")
-        return model.setBootstrap(False).setFeatureSubsetStrategy(str(spec.params.get("max_features") or "sqrt")).fit(weighted)
+        for c, w in weights[i].items():
+            weight = weight.when(F.col(columns.label) == c, F.lit(w))
+        drawn = rows.filter(F.col("draws")[i] > 0).withColumn("__weight", weight * F.col("draws")[i])
+        model = classifier(single.with_params(random_state=SEED + i), 0.0, columns.label, "__weight")
+        return model.setBootstrap(False).setFeatureSubsetStrategy(str(spec.params.get("max_features") or "sqrt")).fit(drawn.drop("draws"))
 
     with ThreadPool(at_once) as pool:
-        trees = pool.map(inheritable_thread_target(rows.sparkSession)(one), range(int(spec.params.get("n_estimators", 100))))
-    return BaggedForest(prepared, trees)
+        fitted = pool.map(inheritable_thread_target(rows.sparkSession)(one), range(trees))
+    nodes = [node_table(tree, rows.sparkSession).withColumn("tree", F.lit(i)) for i, tree in enumerate(fitted)]
+    return stored_forest(prepared, reduce(DataFrame.unionByName, nodes))
+
+
+def grown(spec: Candidate) -> Candidate:
+    """The candidate without its least number of rows for a split and, for a single tree, without its depth: what is fitted for it."""
+    loose = ("min_samples_split", "max_depth") if spec.model == DT else ("min_samples_split",) if spec.model == RF else ()
+    return replace(spec, candidate_id="", source="", params={k: v for k, v in spec.params.items() if k not in loose})
+
 
+def cut_to(spec: Candidate, model: NodeForest) -> NodeForest:
+    """A candidate's model from the one grown for it."""
+    depth = spec.params.get("max_depth") if spec.model == DT else None
+    return NodeForest(model.prepared, cut(model.nodes, int(spec.params.get("min_samples_split") or 2), None if depth is None else int(depth)))
 
-def fit(spec: Candidate, train: DataFrame, columns: Columns, partitions: int = FIT_PARTITIONS):
+
+@dataclass
+class Prepared:
+    """What a fit needs to know of its rows beforehand: the fitted preparation and the class sizes."""
+
+    preparation: PipelineModel
+    sizes: Mapping
+
+
+def prepare_without(spec: Candidate, folds: DataFrame, columns: Columns, numbers: Sequence[int]) -> dict[int, Prepared]:
+    """For every fold what a fit on the rows outside it needs, from a few passes for all folds together."""
+    preparations = preprocess_for(spec, columns).fit_without(folds, "fold", numbers)
+    sizes: dict[int, dict] = {f: {} for f in numbers}
+    for r in class_sizes_without(folds, columns.label, "fold", numbers).collect():  # a row per fold and class
+        sizes[r["fold"]][r[columns.label]] = r["n"]
+    return {f: Prepared(preparations[f], sizes[f]) for f in numbers}
+
+
+def fit(spec: Candidate, train: DataFrame, columns: Columns, partitions: int = FIT_PARTITIONS, known: Prepared | None = None):
     """Fit a candidate on training rows; statistics, weights and synthetic rows come from them only.
 
-    A cluster with much data needs more ``partitions``; the same number gives the same model.
+    A cluster with much data needs more ``partitions``; the same number gives the same model. A least number
+    of rows for a split is applied to the grown trees' node table, by unweighted rows (draws, in a forest).
     """
-    prepared = preprocess_for(spec, columns).fit(train)
+    model = _fit_whole(spec, train, columns, partitions, known)
+    least = int(spec.params.get("min_samples_split") or 2)
+    if least == 2 or spec.model == LR:
+        return model
+    nodes = model if isinstance(model, NodeForest) else NodeForest(PipelineModel(model.stages[:-1]), cut_lineage(node_table(model.stages[-1], train.sparkSession)))
+    return stored_forest(nodes.prepared, cut(nodes.nodes, least))
+
+
+def _fit_whole(spec: Candidate, train: DataFrame, columns: Columns, partitions: int, known: Prepared | None):
+    prepared = known.preparation if known else preprocess_for(spec, columns).fit(train)
     rows = prepared.transform(spread(train.select(columns.key, columns.label, *columns.features), [columns.key], partitions, ordered=True))
     rows = rows.select(columns.key, columns.label, "features")
     weight = None
     if spec.strategy == SUBSAMPLE:
         if spec.model != RF:
             raise ValueError("Weights per bootstrap sample need a forest")
-        return _fit_bagged(spec, prepared, cut_lineage(rows), columns)
+        return _fit_bagged(spec, prepared, rows, columns)
     if spec.strategy == BALANCED:
         weight = "__weight"
-        rows = rows.withColumn(weight, balanced_weight(rows, columns.label))
+        rows = rows.withColumn(weight, weight_of_sizes(known.sizes, columns.label) if known else balanced_weight(rows, columns.label))
     elif spec.strategy == SMOTE:
         arrays = rows.withColumn("features", vector_to_array("features"))
         made = smote(arrays, columns.label, columns.key, "features")
@@ -224,7 +265,8 @@ def fit(spec: Candidate, train: DataFrame, columns: Columns, partitions: int = F
         rows = dealt.select(columns.key, columns.label, array_to_vector("features").alias("features"))
     elif spec.strategy != ORIGINAL:
         raise ValueError(f"Unknown strategy: {spec.strategy}")
-    total = float(rows.count()) if spec.model == LR else 0.0
+    exact = known and spec.strategy != SMOTE
+    total = 0.0 if spec.model != LR else float(sum(known.sizes.values()) if exact else rows.count())
     model = classifier(spec, total, columns.label, weight).fit(rows)
     return PipelineModel([*prepared.stages, model])
 
@@ -250,6 +292,8 @@ def params_table(spark, specs: Sequence[Candidate]) -> DataFrame:
         if spec.model == LR:
             values["C"] = spec.params.get("C", 1.0)
             values.pop("regParam", None)
+        else:
+            values["minSamplesSplit"] = spec.params.get("min_samples_split") or 2
         rows += [(spec.candidate_id, name, str(value)) for name, value in sorted(values.items())]
     return spark.createDataFrame(rows, "candidate_id string, parameter string, value string")
 

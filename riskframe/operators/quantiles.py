@@ -20,6 +20,8 @@ from ..functions.values import fold_nan, quoted
 #: Rank errors of the sketch are at most 1/ACCURACY of the values.
 ACCURACY = 10_000
 MARGIN = 3
+#: Counted values of a group that one task puts in order.
+WINDOW_ROWS = 1_000_000
 INF = float("inf")
 
 
@@ -40,7 +42,11 @@ def _brackets(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
         for i, v in enumerate(values.values())
     ])
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"__{i}.n").alias("n"), F.col(f"__{i}.at").alias("at")) for i, c in enumerate(cols)])
-    long = sketched.select(*map(quoted, by), F.explode(cells).alias("c")).select(*map(quoted, by), "c.*")
+    return _edges(sketched.select(*map(quoted, by), F.explode(cells).alias("c")).select(*map(quoted, by), "c.*"), by, probs, accuracy)
+
+
+def _edges(long: DataFrame, by: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+    """Brackets and ranks from counts and sketched percentiles."""
     many = F.col("n") >= MARGIN * accuracy
 
     def edge(j: int, p: float, low: bool) -> Column:
@@ -61,18 +67,82 @@ def exact_quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), accuracy: int = ACCURACY
 ) -> DataFrame:
     """Long table: by..., feature, prob, value. Missing cells are left out of the count."""
-    keys, places = [*by, "feature"], range(len(probs))
+    keys = [*by, "feature"]
     brackets = cut_lineage(_brackets(df, cols, probs, by, accuracy))
     cells = melt(df, cols, by).filter(F.col("value").isNotNull())
-    v = F.col("value")
     met = join_on(cells, brackets.select(*map(quoted, keys), "lo", "hi"), keys)
+    counts = _interval_counts(met, keys, len(probs), {"m": F.count(F.lit(1))})
+    return _at_ranks(counts, brackets, keys, probs)
+
+
+def quantiles_without(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[float], fold: str, numbers: Sequence[int], accuracy: int = ACCURACY
+) -> DataFrame:
+    """Long table: fold, feature, prob, value of the rows outside each fold; two passes for all folds together.
+
+    The brackets of all training sides are one widened bracket per rank. Values are counted in
+    them by fold, and a side's count is the total less its fold's.
+    """
+    shares = [s for p in probs for s in (max(p - MARGIN / accuracy, 0.0), min(p + MARGIN / accuracy, 1.0))]
+    found = []
+    for i, c in enumerate(cols):
+        v = fold_nan(quoted(c).cast("double"))
+        for j, f in enumerate(numbers):
+            side = F.when(quoted(fold) != f, v)
+            found.append(F.struct(F.count(side).alias("n"), F.percentile_approx(side, shares, accuracy).alias("at")).alias(f"__{i}_{j}"))
+    cells = F.array(*[
+        F.struct(F.lit(f).alias("fold"), F.lit(c).alias("feature"), F.col(f"__{i}_{j}.n").alias("n"), F.col(f"__{i}_{j}.at").alias("at"))
+        for i, c in enumerate(cols) for j, f in enumerate(numbers)
+    ])
+    brackets = cut_lineage(_edges(df.agg(*found).select(F.explode(cells).alias("c")).select("c.*"), ["fold"], probs, accuracy))
+    places = range(len(probs))
+    wide = brackets.groupBy("feature").agg(
+        F.array(*[F.min(F.col("lo")[j]) for j in places]).alias("lo"), F.array(*[F.max(F.col("hi")[j]) for j in places]).alias("hi"))
+    met = join_on(melt(df, cols, [fold]).filter(F.col("value").isNotNull()), wide, ["feature"])
+    held = {f"m_{j}": F.count_if(quoted(fold) != f) for j, f in enumerate(numbers)}
+    counts = _interval_counts(met, ["feature"], len(probs), held)
+    sides = F.array(*[F.struct(F.lit(f).alias("fold"), F.col(f"m_{j}").alias("m")) for j, f in enumerate(numbers)])
+    counts = counts.select("feature", "exact", "place", F.explode(sides).alias("c")).select("feature", "exact", "place", "c.*").filter("m > 0")
+    return _at_ranks(counts, brackets, ["fold", "feature"], probs).withColumnRenamed("fold", fold)
+
+
+def _interval_counts(met: DataFrame, keys: Sequence[str], n: int, sums: dict[str, Column]) -> DataFrame:
+    """keys..., exact (a value inside a bracket) or null, place (where it comes) and the sums."""
+    v, places = F.col("value"), range(n)
     inside = reduce(lambda a, b: a | b, [(v >= F.col("lo")[j]) & (v <= F.col("hi")[j]) for j in places])
     slot = sum(((v > F.col("hi")[j]).cast("int") for j in places), F.lit(0))
-    counts = met.groupBy(*map(quoted, keys), F.when(inside, v).alias("exact"), F.when(~inside, slot).alias("slot")).agg(
-        F.count(F.lit(1)).alias("m"), F.min(v).alias("place"))
-    upto = Window.partitionBy(*map(quoted, keys)).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("upto", F.sum("m").over(upto))
-    ranks = join_on(placed, brackets.select(*map(quoted, keys), "k0", "k1"), keys)
+    return met.groupBy(*map(quoted, keys), F.when(inside, v).alias("exact"), F.when(~inside, slot).alias("slot")).agg(
+        F.min(v).alias("place"), *[s.alias(name) for name, s in sums.items()])
+
+
+def running_counts(counts: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
+    """Add ``upto``, the running sum of ``m`` along ``place``; no task holds more than about ``rows`` of a group.
+
+    Larger groups are cut at values of their own into parts, which start from the sums of the parts before.
+    """
+    stored = cut_lineage(counts)
+    most = stored.groupBy(*map(quoted, keys)).count().agg(F.max("count")).first()[0] or 0
+    parts = -(-most // (rows or WINDOW_ROWS))
+    if parts > 1:
+        shares = [i / parts for i in range(1, parts)]
+        cuts = cut_lineage(stored.groupBy(*map(quoted, keys)).agg(F.percentile_approx("place", shares, 10 * parts).alias("__cuts")))
+        stored = join_on(stored, cuts, keys).withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col("place")))).drop("__cuts")
+    else:
+        stored = stored.withColumn("__part", F.lit(0))
+    inner = Window.partitionBy(*map(quoted, keys), "__part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    placed = stored.withColumn("upto", F.sum("m").over(inner))
+    if parts > 1:
+        before = Window.partitionBy(*map(quoted, keys)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        sums = stored.groupBy(*map(quoted, keys), "__part").agg(F.sum("m").alias("__m"))
+        sums = sums.select(*map(quoted, keys), "__part", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__before"))
+        placed = join_on(placed, sums, [*keys, "__part"]).withColumn("upto", F.col("upto") + F.col("__before")).drop("__before")
+    return placed.drop("__part")
+
+
+def _at_ranks(counts: DataFrame, brackets: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """keys..., prob, value from counts by interval and the ranks around each wanted share."""
+    places = range(len(probs))
+    ranks = join_on(running_counts(counts, keys), brackets.select(*map(quoted, keys), "k0", "k1"), keys)
 
     def at(k: Column) -> Column:
         return F.max(F.when((k >= F.col("upto") - F.col("m")) & (k < F.col("upto")), F.col("exact")))

@@ -64,7 +64,7 @@ def test_neighbours_equal_brute_force(spark, block):
     x[:40] = x[0]  # a third of the points coincide
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, x array<double>")
     got = {}
-    for r in nearest_neighbours(df, "id", "x", 4, block_rows=block).collect():
+    for r in nearest_neighbours(df, "id", "x", 4, leaf_rows=block).collect():
         got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
     for i in range(120):
         away = np.sqrt(((x - x[i]) ** 2).cumsum(axis=1)[:, -1])
@@ -91,3 +91,47 @@ def test_oversampling_needs_neighbours(spark):
     df = spark.createDataFrame([(i, int(i < 3), [float(i)]) for i in range(20)], "id int, y int, x array<double>")
     with pytest.raises(ValueError, match="neighbours"):
         smote(df, "y", "id", "x")
+
+
+@pytest.mark.parametrize("transform", ["original", "log1p"])
+def test_preparations_of_all_folds_at_once(table, transform):
+    folded = table.withColumn("fold", F.col("row_id") % 3)
+    prepare = X.lr_preprocess(FEATS, amount_transform=transform)
+    made = prepare.fit_without(folded, "fold", [0, 1, 2])
+    for f, model in made.items():
+        alone = prepare.fit(folded.filter(F.col("fold") != f))
+        rows = [[r["v"] for r in m.transform(table).orderBy("row_id").select(vector_to_array("features").alias("v")).collect()] for m in (model, alone)]
+        assert np.array(rows[0]) == pytest.approx(np.array(rows[1]), rel=1e-9, abs=1e-9)
+    sizes = {(r["fold"], r["Class"]): r["n"] for r in X.class_sizes_without(folded, "Class", "fold", [0, 1, 2]).collect()}
+    assert sizes == {(f, c): folded.filter((F.col("fold") != f) & (F.col("Class") == c)).count() for f in range(3) for c in (0, 1)}
+
+
+def _visits(spark, n, leaf_rows=64):
+    """Leaves visited by all points of a cloud in three dimensions, its own apart."""
+    from riskframe.operators import neighbours as K
+
+    points = spark.range(n).select("id", F.array(*[F.randn(s) for s in range(3)]).alias("x")).cache()
+    placed, nodes = K.metric_tree(points, leaf_rows, 16)
+    placed = placed.cache()
+    assert placed.count() == n and placed.groupBy("leaf").count().agg(F.max("count")).first()[0] <= leaf_rows
+    # A limit as wide as the points of a leaf are apart near the centre of the cloud.
+    asking = placed.withColumn("limit", F.lit(0.8 * n ** (-1 / 3)))
+    return K.open_leaves(asking, nodes).count()
+
+
+def test_visits_grow_with_the_points(spark):
+    small, large = _visits(spark, 3_000), _visits(spark, 30_000)
+    assert 0 < small and large < 20 * small
+
+
+def test_neighbours_through_a_deep_tree(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(np.concatenate((rng.normal(size=(150, 2)), 20 + rng.normal(size=(150, 2)) * 0.1, np.full((30, 2), 5.0))), 3)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id bigint, x array<double>")
+    got = {}
+    for r in nearest_neighbours(df, "id", "x", 3, leaf_rows=20, fanout=3).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    for i in range(len(x)):
+        away = np.sqrt(((x - x[i]) ** 2).cumsum(axis=1)[:, -1])
+        order = [j for j in np.lexsort((np.arange(len(x)), away)) if j != i][:3]
+        assert [n for _, n in sorted(got[i])] == order
