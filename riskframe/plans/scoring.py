@@ -41,14 +41,15 @@ class ScoredFile:
 
 def score_file(
     spark: SparkSession, path: str, model, meta: Mapping, out: str | None = None, label: str = LABEL_COL,
-    max_rows: int | None = None,
+    max_rows: int | None = None, multi_line: bool = False,
 ) -> ScoredFile:
     """Read, name, check, score, rank and export; rejected rows keep their reason.
 
     Scored and rejected rows are stored once, under ``out`` or in the shared folder, so that
-    ranking, metrics and summary do not score the file again.
+    ranking, metrics and summary do not score the file again. ``path`` may be a folder of part files with equal
+    headers; all are read in parallel, and in pieces unless ``multi_line`` allows line breaks in cells.
     """
-    df = normalise_columns(read_upload(spark, path, max_rows, keep_malformed=True))
+    df = normalise_columns(read_upload(spark, path, max_rows, keep_malformed=True, multi_line=multi_line))
     kind, missing = detect_schema(df, meta["feature_order"])
     if kind != "pca":
         raise UnsuitableSchema(kind, missing)
