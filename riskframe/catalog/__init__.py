@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import columns, explaining, features, metrics, modelling, profiling, quality, sampling  # noqa: F401
+from . import columns, explaining, features, metrics, modelling, profiling, quality, sampling, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -13,12 +13,15 @@ from ..functions.frames import cut_lineage, shared_folder
 from ..operators import explain as E
 from ..operators import metrics as M
 from ..operators.features import feature_names
-from ..operators.models import BALANCED, DT, LR, RF, SMOTE, SUBSAMPLE, Candidate, Columns, fit, predict
+from ..operators.models import BALANCED, DT, LR, RF, SMOTE, SUBSAMPLE, Candidate, Columns, bootstrap_draws, bootstrap_weights, fit, predict
 from ..operators.sampling import stratified_split
 from ..operators.scoring import score, score_summary, score_upload
 from ..operators.selection import cv_summary, leaderboard, metric_bars
-from ..operators.tree_shap import base_value, node_table
-from ..operators.validation import cross_validate, expand_grid, fold_results, fold_table, grid_search, oof_scores, random_search, validate
+from ..operators.node_trees import node_table
+from ..operators.tree_shap import base_value
+from ..operators.validation import (
+    DT_GRID, cross_validate, expand_grid, fold_results, fold_table, grid_search, oof_scores, random_search, validate,
+)
 from ..plans.cleaning import clean_and_split
 from ..plans.evaluation import final_evaluation
 from ..plans.explanation import explain_model
@@ -108,6 +111,17 @@ def smote_model(spark, sf):
     return M.classification_metrics(cut_lineage(scored))
 
 
+# Draws and class weights of each tree's bootstrap sample, from the Poisson(1) steps.
+@query("bootstrap_class_weights", "WITH " + TX + """, trees AS (SELECT row_id, label, unnest(range(4)) AS tree FROM tx),
+draws AS (SELECT tree, label, ('0x' || substr(md5(replace(row_id, '\\', '\\\\') || '|42/tree/' || tree), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM trees),
+steps AS (SELECT k, sum(exp(-1.0::DOUBLE) / gamma(k + 1)) OVER (ORDER BY k) AS step FROM range(13) r(k)),
+counted AS (SELECT tree, label, sum((SELECT count(*) FROM steps WHERE step <= u))::BIGINT AS n FROM draws GROUP BY tree, label)
+SELECT tree::INTEGER AS tree, label, n, round(sum(n) OVER (PARTITION BY tree) / (2.0::DOUBLE * n), 9) AS weight FROM counted""")
+def bootstrap_class_weights(spark, sf):
+    rows = training(spark, sf).select("label", bootstrap_draws("row_id", 4).alias("draws"))
+    return rounded(bootstrap_weights(rows, "label", 4))
+
+
 @query("weights_per_bootstrap")
 def weights_per_bootstrap(spark, sf):
     data = training(spark, sf)
@@ -161,6 +175,47 @@ def tree_best_split(spark, sf):
     return rounded(root.join(low, "left").join(high, "right").select("feature", "threshold", "low_share", "high_share"))
 
 
+# Two levels of splits; a side of the first with fewer than a fifth of all rows is not split again.
+@query("tree_least_rows", "WITH " + TX + """, cells AS (
+  SELECT 'quantity' AS feature, quantity AS v, label FROM tx UNION ALL SELECT 'discount', discount, label FROM tx),
+counts AS (SELECT feature, v, count(*) AS n, sum(label) AS p FROM cells GROUP BY ALL),
+cuts AS (SELECT feature, (v + lead(v) OVER w) / 2 AS threshold, sum(n) OVER u AS nl, sum(p) OVER u AS pl,
+  sum(n) OVER (PARTITION BY feature) AS nt, sum(p) OVER (PARTITION BY feature) AS pt FROM counts
+  WINDOW w AS (PARTITION BY feature ORDER BY v), u AS (PARTITION BY feature ORDER BY v ROWS UNBOUNDED PRECEDING)),
+root AS (SELECT *, pl * pl / nl + (pt - pl) * (pt - pl) / (nt - nl) AS gain FROM cuts WHERE nt > nl ORDER BY gain DESC LIMIT 1),
+sided AS (SELECT quantity, discount, label, CASE WHEN CASE feature WHEN 'quantity' THEN quantity ELSE discount END <= threshold THEN 'low' ELSE 'high' END AS side FROM tx, root),
+sizes AS (SELECT side, count(*) AS n, sum(label) AS p FROM sided GROUP BY side),
+cells2 AS (SELECT side, 'quantity' AS feature, quantity AS v, label FROM sided UNION ALL SELECT side, 'discount', discount, label FROM sided),
+counts2 AS (SELECT side, feature, v, count(*) AS n, sum(label) AS p FROM cells2 GROUP BY ALL),
+cuts2 AS (SELECT side, sum(n) OVER u AS nl, sum(p) OVER u AS pl, sum(n) OVER t AS nt, sum(p) OVER t AS pt FROM counts2
+  WINDOW t AS (PARTITION BY side, feature), u AS (PARTITION BY side, feature ORDER BY v ROWS UNBOUNDED PRECEDING)),
+best2 AS (SELECT *, pl * pl / nl + (pt - pl) * (pt - pl) / (nt - nl) AS gain FROM cuts2 WHERE nt > nl AND nt >= (SELECT count(*) // 5 FROM tx)
+  AND gain > pt * pt / nt + 1e-9 QUALIFY row_number() OVER (PARTITION BY side ORDER BY gain DESC) = 1),
+leaves AS (SELECT side AS leaf, n, p FROM sizes WHERE side NOT IN (SELECT side FROM best2)
+  UNION ALL SELECT side || '/low', nl, pl FROM best2 UNION ALL SELECT side || '/high', nt - nl, pt - pl FROM best2)
+SELECT leaf, n::BIGINT AS n_rows, round(p / n, 9) AS share FROM leaves""")
+def tree_least_rows(spark, sf):
+    data = training(spark, sf)
+    roles = Columns("row_id", "label", ("discount", "quantity"), "discount", None)
+    model = fit(Candidate("dt_least_rows", DT, params={"max_depth": 2, "min_samples_split": data.count() // 5}), data, roles)
+    nodes = node_table(model.stages[-1], spark)
+    steps = nodes.filter("left >= 0").select(F.explode(F.array(F.struct(F.col("left").alias("id"), F.lit("low").alias("step"), F.col("id").alias("up")),
+                                                              F.struct(F.col("right").alias("id"), F.lit("high").alias("step"), F.col("id").alias("up")))).alias("s")).select("s.*")
+    above = steps.select(F.col("id").alias("up"), F.col("step").alias("first"))
+    paths = steps.join(above, "up", "left").select("id", F.concat_ws("/", "first", "step").alias("leaf"))
+    share = (F.col("stats")[1] / (F.col("stats")[0] + F.col("stats")[1])).alias("share")
+    return rounded(nodes.filter("left < 0").join(paths, "id").select("leaf", "n_rows", share))
+
+
+# The published grid of single trees: 90 combinations from one grown tree per leaf size, weighting and fold.
+@query("published_tree_grid")
+def published_tree_grid(spark, sf):
+    specs = expand_grid(DT, DT_GRID)
+    folds = fold_table(training(spark, sf), ROLES)
+    results = cv_summary(cut_lineage(fold_results(specs, validate(specs, folds, ROLES, parallelism=4))))
+    return leaderboard(results.drop("fit_time_seconds_mean", "fit_time_seconds_total"))
+
+
 @query("logistic_contributions")
 def logistic_contributions(spark, sf):
     data = training(spark, sf)
@@ -201,9 +256,8 @@ def file_scored(spark, sf):
     cells = [*[F.col(c).cast("string") for c in ("row_id", "Time", "V1", "V2", "V3")], amount, F.col("Class").cast("string")]
     line = F.concat_ws(",", *cells)
     lines = data.select(F.when(digit == "4", F.concat_ws(",", *cells[:5])).otherwise(line).alias("value"))
-    header = spark.createDataFrame([("row_id,time,pca_1,V_2,v3,AMOUNT,is_fraud",)], "value string")
     path = f"{_folder(spark)}/upload.csv"
-    header.unionByName(lines).coalesce(1).write.text(path)
+    lines.withColumnRenamed("value", "row_id,time,pca_1,V_2,v3,AMOUNT,is_fraud").write.options(header=True, quote="", emptyValue="").csv(path)
     done = score_file(spark, path, model, {"feature_order": feats, "threshold": 0.485})
     scored = done.ranked.select(F.lit("scored").alias("outcome"))
     return scored.unionByName(done.rejected.select(F.col("reason").alias("outcome"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n_rows"))

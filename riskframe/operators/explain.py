@@ -19,7 +19,8 @@ from ..functions.hashing import hash_token, hex_number
 from ..functions.values import direction
 from ..schema import SEED
 from .features import feature_names, transform_only
-from .models import BaggedForest, predict
+from .models import predict
+from .node_trees import NodeForest
 from .quantiles import exact_quantiles
 from .ranking import numbered
 from .sampling import sample_exact
@@ -120,7 +121,7 @@ def explain(
 ) -> DataFrame:
     """Contributions by the method that fits the model; ``feature_names`` gives the order of the wide form."""
     fitted = model.stages[-1]
-    if isinstance(fitted, (DecisionTreeRegressionModel, RandomForestRegressionModel, BaggedForest)):
+    if isinstance(fitted, (DecisionTreeRegressionModel, RandomForestRegressionModel, NodeForest)):
         return tree_shap(model, df, key, keep, wide)
     if isinstance(fitted, LogisticRegressionModel):
         return linear_shap(model, df, key, background, keep, wide)
@@ -259,13 +260,15 @@ def importance_bars(contributions: DataFrame, n: int = 20) -> DataFrame:
 
 def waterfall_data(wide: DataFrame, names: Sequence[str], key: Sequence[str], shown: int = 12) -> DataFrame:
     """Bars per wide row in order of size with running start and end; the rest forms one bar."""
-    bar = "struct(c.feature AS feature, c.value AS value, c.contribution AS contribution)"
-    rest = f"""CASE WHEN size(__cells) > {shown} THEN array(struct('other features' AS feature, CAST(NULL AS double) AS value,
-        aggregate(slice(__cells, {shown + 1}, size(__cells)), 0D, (a, c) -> a + c.contribution) AS contribution)) END"""
-    bars = F.expr(f"concat(transform(slice(__cells, 1, {shown}), c -> {bar}), coalesce({rest}, array()))")
-    rows = wide.withColumn("__cells", _by_size(names)).withColumn("__bars", bars)
-    rows = rows.select(*key, "base", "__bars", F.posexplode("__bars").alias("at", "c"))
-    end = F.expr("base + aggregate(slice(__bars, 1, at + 1), 0D, (a, c) -> a + c.contribution)")
+    cell = "struct<feature:string,value:double,contribution:double,end:double>"
+    bars = f"""concat(transform(slice(cells, 1, {shown}), c -> struct(c.feature AS feature, c.value AS value, c.contribution AS contribution)),
+        coalesce(CASE WHEN size(cells) > {shown} THEN array(struct('other features' AS feature, CAST(NULL AS double) AS value,
+            aggregate(slice(cells, {shown + 1}, size(cells)), 0D, (a, c) -> a + c.contribution) AS contribution)) END, array()))"""
+    # Each array is bound once, as the only element of an array that is transformed; ends are summed in one walk.
+    walk = f"""aggregate(bars, CAST(array() AS array<{cell}>), (done, b) -> concat(done, array(struct(b.feature AS feature, b.value AS value,
+        b.contribution AS contribution, coalesce(try_element_at(done, -1).end, base) + b.contribution AS end))))"""
+    whole = F.expr(f"transform(transform(array(__cells), cells -> {bars}), bars -> {walk})[0]")
+    rows = wide.select(*key, "base", _by_size(names).alias("__cells")).select(*key, "base", F.posexplode(whole).alias("at", "c"))
     return rows.select(
         *key, (F.col("at") + 1).alias("position"), "c.feature", "c.value", "c.contribution", "base",
-        (end - F.col("c.contribution")).alias("start"), end.alias("end"))
+        (F.col("c.end") - F.col("c.contribution")).alias("start"), F.col("c.end").alias("end"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import explain as E
 from riskframe.operators.models import BALANCED, DT, LR, ORIGINAL, RF, SUBSAMPLE, Candidate, Columns, fit, predict
-from riskframe.operators.tree_shap import base_value, node_table
+from riskframe.operators.node_trees import node_table
+from riskframe.operators.tree_shap import base_value
 
 FEATS = ("a", "b", "c")
 COLS = Columns("id", "y", FEATS, "c", None)

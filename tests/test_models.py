@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskframe.operators import explain as E
 from riskframe.operators import models as M
+from riskframe.operators import node_trees as N
 from riskframe.operators import validation as V
 from riskframe.operators.metrics import classify, outcome
 from riskframe.operators.scoring import score, score_summary, score_upload
@@ -51,7 +53,7 @@ def test_registry_tables(spark):
 
 
 @pytest.mark.parametrize("spec", [
-    M.Candidate("x", "Boosting"), M.Candidate("x", M.DT, params={"min_samples_split": 10}), M.Candidate("x", M.LR, params={"solver": "liblinear"}),
+    M.Candidate("x", "Boosting"), M.Candidate("x", M.DT, params={"min_samples_split": 1}), M.Candidate("x", M.DT, params={"criterion": "entropy"}), M.Candidate("x", M.LR, params={"solver": "liblinear"}),
     M.Candidate("x", M.LR, "oversample"), M.Candidate("x", M.LR, M.SUBSAMPLE), M.Candidate("x", M.LR, amount_transform="sqrt"),
 ])
 def test_unknown_choices_are_refused(raw, spec):
@@ -246,3 +248,53 @@ def test_forests_do_not_depend_on_the_input_partitions(spark, strategy):
 def test_deeper_trees_than_spark_grows_are_refused(raw):
     with pytest.raises(ValueError, match="max_depth"):
         M.fit(M.Candidate("x", M.DT, params={"max_depth": 31}), raw, COLS)
+
+
+def _scores(model, raw):
+    return [r["score"] for r in M.predict(model, raw).orderBy("row_id").collect()]
+
+
+def test_cut_trees_equal_trees_that_stop_there(spark, raw):
+    deep = M.fit(M.Candidate("deep", M.DT, params={"max_depth": 8}), raw, COLS)
+    nodes = N.with_depth(N.node_table(deep.stages[-1], spark)).cache()
+    assert nodes.agg(F.max("depth")).first()[0] <= 8 and nodes.filter("depth = 0").count() == 1
+    prepared = deep.__class__(deep.stages[:-1])
+    assert _scores(N.NodeForest(prepared, nodes), raw) == pytest.approx(_scores(deep, raw))
+    for depth in (0, 1, 3):
+        direct = M.fit(M.Candidate("d", M.DT, params={"max_depth": depth}), raw, COLS)
+        assert _scores(N.NodeForest(prepared, N.cut(nodes, max_depth=depth)), raw) == pytest.approx(_scores(direct, raw))
+    for least in (20, 200, 10_000):
+        rows = {r["id"]: r for r in N.cut(nodes, least).collect()}
+        whole = {r["id"]: r for r in nodes.collect()}
+        inner = [i for i, r in rows.items() if r["left"] >= 0]
+        assert all(rows[i]["n_rows"] >= least and {rows[i]["left"], rows[i]["right"]} <= set(rows) for i in inner)
+        assert all(whole[i]["left"] < 0 or r["n_rows"] < least for i, r in rows.items() if r["left"] < 0)
+        assert sum(r["n_rows"] for r in rows.values() if r["left"] < 0) == 630
+
+
+def test_least_rows_of_forests(spark, raw, tmp_path):
+    spec = M.Candidate("f", M.RF, M.BALANCED, params={"n_estimators": 3, "max_depth": 6, "min_samples_split": 60})
+    model = M.fit(spec, raw, COLS)
+    assert model.nodes.filter("left >= 0").agg(F.min("n_rows")).first()[0] >= 60 and model.nodes.select("tree").distinct().count() == 3
+    save_model(model, str(tmp_path / "f"), {"feature_order": FEATS, "threshold": 0.5}, spark)
+    again, _ = load_checked(spark, str(tmp_path / "f"), FEATS)
+    assert _scores(again, raw) == _scores(model, raw)
+    gap = E.additivity(E.explain(model, raw, ["row_id"]), M.predict(model, raw), ["row_id"]).first()
+    assert gap["n_rows"] == 630 and gap["max_error"] < 1e-9
+
+
+def test_candidates_that_share_a_grown_tree(raw):
+    specs = V.expand_grid(M.DT, {"max_depth": [2, None], "min_samples_split": [2, 50], "min_samples_leaf": [1, 5]})
+    folds = V.fold_table(raw, COLS, 2)
+    shared = V.validate(specs, folds, COLS, 2)
+    assert shared.timings.count() == 16 and shared.scores.count() == 8 * 630
+    got = {(r["candidate_id"], r["row_id"]): r["score"] for r in shared.scores.collect()}
+    for spec in (specs[1], specs[2], specs[7]):
+        alone = V.validate([spec], folds, COLS).scores.collect()
+        assert {r["row_id"]: r["score"] for r in alone} == pytest.approx({k[1]: s for k, s in got.items() if k[0] == spec.candidate_id})
+
+
+def test_published_grids_are_supported(spark):
+    specs = [*V.expand_grid(M.DT, V.DT_GRID, "dt"), *V.expand_grid(M.RF, V.RF_GRID, "rf"), *V.expand_grid(M.LR, V.LR_GRID, "lr")]
+    reasons = [r["reason"] for r in V.search_status(spark, specs).filter("NOT supported").collect()]
+    assert len(reasons) == 8 and all("lbfgs" in r for r in reasons)
