@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,15 @@ class Templates:
         self.ends: list[bool] = []
         self.capital: list[bool] = []
         self.opener: list[bool] = []
+        self.arrays = [np.empty(0, kind) for kind in (np.uint64, np.int8, bool, bool, bool)]
+
+    def facts(self) -> list[np.ndarray]:
+        """hash, kind, ends, capital, opener of all known words; only new ones are converted."""
+        done = self.arrays[0].size
+        if done < len(self.hash):
+            lists = (self.hash, self.kind, self.ends, self.capital, self.opener)
+            self.arrays = [np.concatenate((a, np.array(x[done:], a.dtype))) for a, x in zip(self.arrays, lists)]
+        return self.arrays
 
     def learn(self, word: str) -> int:
         core = word if word == "%" else self.outer.sub("", word)
@@ -108,18 +118,16 @@ class Templates:
         ids, sizes = [], []
         for text in texts:
             words = (self.glued.sub(" ", text) if self.digits(text) else text).split()
-            place, learn = self.place.get, self.learn
-            found = [place(w, -1) for w in words]
-            if -1 in found:
-                found = [i if i >= 0 else (j if (j := place(w, -1)) >= 0 else learn(w)) for w, i in zip(words, found)]
-            ids.append(np.array(found, np.int64))
+            found = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+            for i in np.flatnonzero(found < 0).tolist():
+                found[i] = self.place[words[i]] if words[i] in self.place else self.learn(words[i])
+            ids.append(found)
             sizes.append(len(found))
         ids, doc = np.concatenate(ids) if ids else np.empty(0, np.int64), np.repeat(np.arange(len(sizes)), sizes)
-        value, kind = np.array(self.hash, np.uint64)[ids], np.array(self.kind, np.int8)[ids]
-        ends, capital = np.array(self.ends, bool)[ids], np.array(self.capital, bool)[ids]
+        value, kind, ends, capital, opener = (x[ids] for x in self.facts())
         first = np.concatenate(([True], doc[1:] != doc[:-1])) if ids.size else np.empty(0, bool)
         opens = first | np.concatenate(([True], ends[:-1]))[: ids.size]
-        opener = (kind == LITERAL) & np.array(self.opener, bool)[ids] & opens
+        opener = (kind == LITERAL) & opener & opens
         kind = np.where((kind == LITERAL) & capital & ~opens, NAME, kind)
         keep = kind != NOTHING
         value, kind, doc, opener, opens = value[keep], kind[keep], doc[keep], opener[keep], opens[keep]
