@@ -12,13 +12,13 @@ id and the text are read, so other columns can't clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import cut_lineage
@@ -28,6 +28,8 @@ from .components import components
 BITS, SHINGLE, SEED, DISTANCE, BLOCKS = 64, 3, 42, 3, 5
 #: Fingerprints compared with each other in one piece; larger groups are cut into pairs of chunks.
 CHUNK = 4096
+#: Candidates of a text in each group, where similarity is verified afterwards.
+PARTNERS = 4
 #: Shingles held at once.
 SLICE = 1 << 16
 
@@ -87,7 +89,22 @@ def _spanning(values: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, n
                 yield np.full(front.size, root), front
 
 
-def _links(group: np.ndarray, value: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _nearest(values: np.ndarray, distance: int, partners: int = PARTNERS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each value with the closest of the values before it, ``partners`` at most: all pairs of a small group, a sparse net of a large one."""
+    for i in range(0, values.size, 256):
+        part = values[i : i + 256]
+        apart = np.bitwise_count(part[:, None] ^ values[None, : i + part.size]).astype(np.int16)
+        apart[np.arange(part.size)[:, None] + i <= np.arange(apart.shape[1])[None, :]] = BITS + 1  # itself and those after
+        if apart.shape[1] > partners:
+            near = np.argpartition(apart, partners - 1, axis=1)[:, :partners]
+        else:
+            near = np.tile(np.arange(apart.shape[1]), (part.size, 1))
+        rows, at = np.nonzero(np.take_along_axis(apart, near, axis=1) <= distance)
+        if rows.size:
+            yield values[near[rows, at]], part[rows]
+
+
+def _links(group: np.ndarray, value: np.ndarray, distance: int, connect=_spanning) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     starts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [group.size]))
     sizes = np.diff(starts)
     two = starts[:-1][sizes == 2]
@@ -96,27 +113,25 @@ def _links(group: np.ndarray, value: np.ndarray, distance: int) -> Iterator[tupl
     if close.any():
         yield left[close], right[close]
     for i in np.flatnonzero(sizes > 2):
-        yield from _spanning(value[starts[i] : starts[i + 1]], distance)
+        yield from connect(value[starts[i] : starts[i + 1]], distance)
 
 
-def links(fingerprints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
+def links(fingerprints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, chunk: int = CHUNK, connect=_spanning) -> DataFrame:
     """a, b: rows that connect distinct fingerprints (one stored column ``fp``) as their links do.
 
     Groups that share blocks are cut into chunks of bounded size and every pair of chunks is
     compared, so no group has to fit into a task; each piece returns a spanning star per cluster
     rather than all pairs.
     """
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("combination"), F.col("fp").bitwiseAND(F.lit(m)).alias("part"))
-        for i, m in enumerate(block_masks(distance, blocks))
-    ])
-    keyed = fingerprints.select("fp", F.explode(cells).alias("cell")).select("fp", "cell.*")
-    shared = keyed.groupBy("combination", "part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = keyed.join(shared, ["combination", "part"])
+    # A block group is known by one hash; two groups of one hash would only be compared together.
+    cells = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks(distance, blocks))])
+    keyed = fingerprints.select("fp", F.explode(cells).alias("block"))
+    shared = cut_lineage(keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    met = keyed.join(shared, "block")
     chunks = F.ceil(F.col("n") / chunk).cast("int")
     met = met.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    group = F.xxhash64("combination", "part", F.least("mine", "other"), F.greatest("mine", "other"))
+    group = F.xxhash64("block", F.least("mine", "other"), F.greatest("mine", "other"))
     dealt = met.select(group.alias("piece"), "fp").repartition("piece").sortWithinPartitions("piece")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,10 +140,10 @@ def links(fingerprints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCK
             group = np.concatenate((group, batch.column(0).to_numpy()))
             value = np.concatenate((value, batch.column(1).to_numpy()))
             done = int(np.searchsorted(group, group[-1])) if group.size else 0  # the last piece may go on
-            for a, b in _links(group[:done], value[:done], distance):
+            for a, b in _links(group[:done], value[:done], distance, connect):
                 yield pa.record_batch({"a": a, "b": b})
             group, value = group[done:], value[done:]
-        for a, b in _links(group, value, distance):
+        for a, b in _links(group, value, distance, connect):
             yield pa.record_batch({"a": a, "b": b})
 
     return dealt.mapInArrow(compare, "a long, b long")
@@ -141,17 +156,99 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     roots = cut_lineage(components(links(known.select("fp"))))
     named = roots.join(known, roots["node"] == known["fp"]).groupBy("root").agg(F.min("first").alias("least"))
     moved = roots.join(named, "root").select(F.col("node").alias("fp"), "least")
-    names = known.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    names = cut_lineage(known.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
+    return marked.join(names, "fp").select(key, "__text", "fp", "component_id")
+
+
+#: Similar documents: words per shingle, least Jaccard similarity of the shingle sets, and the fingerprints
+#: of the sets of words among which they are looked for. Changes that leave 0.8 of the shingles of five words touch few of the words.
+SIMILAR_SHINGLE, SIMILARITY, SIMILAR_DISTANCE, SIMILAR_BLOCKS = 5, 0.8, 8, 11
+
+
+def shingle_set(text: str | None, width: int = SIMILAR_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; fewer words form one, none have none."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode().lower().split() if text else []
+    width = min(width, len(words))
+    n = len(words) - width + 1 if words else 0
+    if width == 1:
+        words = list(set(words))
+        h = np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+    else:
+        h = np.fromiter((xxh64_intdigest(b" ".join(words[i : i + width]), seed) for i in range(n)), np.uint64, n)
+    return np.unique(h.view(np.int64))
+
+
+def _prints(texts: Iterable[str | None], width: int) -> tuple[list[int], list[int]]:
+    """Per text the hash of its shingle set and the fingerprint of its set of words."""
+    from xxhash import xxh64_intdigest
+
+    sets, prints = [], []
+    for text in texts:
+        sets.append(int(np.uint64(xxh64_intdigest(shingle_set(text, width).tobytes())).view(np.int64)))
+        h = shingle_set(text, 1)
+        counts = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        prints.append(int(np.packbits(counts * 2 > h.size, bitorder="little").view(np.int64)[0]))
+    return sets, prints
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY,
+                      distance: int = SIMILAR_DISTANCE, blocks: int = SIMILAR_BLOCKS) -> DataFrame:
+    """key, __text, fp (hash of the shingle set), component_id (smallest key that can be reached) per row.
+
+    Fingerprints of word sets that differ in ``distance`` bits at most are found by shared blocks; in every block group each is then paired with
+    the closest ones before it, so a group of copies gives few pairs per member, and a pair counts if the shingle sets have that Jaccard similarity. Documents of one shingle set are one
+    class, so copies are never paired. A similar pair farther apart in its fingerprints is missed (tests measure the recall).
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, prints = _prints((t.as_py() for t in batch.column(2)), width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.int64()), pa.array(prints, pa.int64())], names=[key, "__text", "fp", "words"])
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                found = [shingle_set(t.as_py(), width) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+    kind = docs.select(key).schema[0].dataType.simpleString()
+    rows = docs.select(key, text_hash(text).alias("__text"), text)
+    marked = cut_lineage(rows.mapInArrow(mark, f"`{key}` {kind}, __text long, fp long, words long"))
+    first = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key), F.col("__text")))
+    classes = cut_lineage(marked.groupBy("fp").agg(F.any_value("words").alias("words"), first.alias("k")))
+    # Classes of one fingerprint are paired with its first few, and these with those of close fingerprints.
+    heads = cut_lineage(classes.select("words", F.col("fp").alias("head")).withColumn("place", F.row_number().over(Window.partitionBy("words").orderBy("head"))).filter(F.col("place") <= PARTNERS))
+    met = cut_lineage(links(heads.filter("place = 1").select(F.col("words").alias("fp")), distance, blocks, connect=_nearest).distinct())
+    pairs = met.join(heads.select(F.col("words").alias("a"), F.col("head").alias("one")), "a").join(heads.select(F.col("words").alias("b"), F.col("head").alias("two")), "b")
+    pairs = pairs.select("one", "two").union(classes.join(heads, "words").filter("fp > head").select(F.col("head").alias("one"), F.col("fp").alias("two")))
+    pairs = cut_lineage(pairs.distinct())
+    asked = pairs.select(F.col("one").alias("fp")).union(pairs.select(F.col("two").alias("fp"))).distinct()
+    named = cut_lineage(classes.join(asked, "fp").select(F.col(f"k.{key}").alias(key), F.col("k.__text").alias("__text"), "fp"))
+    texts = null_safe(rows, named, [key, "__text"], "inner").dropDuplicates(["fp"]).select("fp", text)
+    sets = cut_lineage(texts.mapInArrow(expand, "fp long, shingles array<long>"))
+    both = pairs.join(sets.select(F.col("fp").alias("one"), F.col("shingles").alias("x")), "one").join(sets.select(F.col("fp").alias("two"), F.col("shingles").alias("y")), "two")
+    both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
+    close = both.filter(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select("one", "two")
+    roots = cut_lineage(components(close))
+    known = classes.select("fp", F.col(f"k.{key}").alias("first"))
+    least = roots.join(known, roots["node"] == known["fp"]).groupBy("root").agg(F.min("first").alias("least"))
+    moved = roots.join(least, "root").select(F.col("node").alias("fp"), "least")
+    names = cut_lineage(known.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     return marked.join(names, "fp").select(key, "__text", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", found: DataFrame | None = None) -> DataFrame:
     """``docs`` with one row of each group: smallest key, then smallest hash of the text.
 
+    Groups come from ``found``, as from ``similar_documents``, or from ``near_duplicates``.
+
     Rows that repeat key and text count as one document. Where no row of a group has a key, one
     row of each fingerprint stays. All columns are kept as they are.
     """
-    found = cut_lineage(near_duplicates(docs, key, text))
+    found = cut_lineage(near_duplicates(docs, key, text) if found is None else found)
     order = F.struct(F.col(key).isNull(), F.col(key), F.col("__text"))
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("~"), F.hex("fp")))
     kept = found.groupBy(group.alias("group")).agg(F.min(order).alias("k"))

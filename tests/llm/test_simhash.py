@@ -1,12 +1,14 @@
 """SimHash groups against a plain implementation that compares all pairs."""
 
 import re
+from collections import Counter
 
 import pyarrow.parquet as pq
 import pytest
 from xxhash import xxh64_intdigest
 
 from riskframe.llm import simhash
+from riskframe.llm import simhash as S
 from riskframe.llm.components import components
 from riskframe.llm.queries import op7
 
@@ -102,3 +104,64 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (7, 7)], "a long, b long")
     found = {r.node: r.root for r in components(edges).collect()}
     assert found == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
+
+
+def similar_pairs(texts):
+    """All pairs of different shingle sets with similarity 0.8 or more, by prefixes of the rarest shingles."""
+    sets = {i: frozenset(S.shingle_set(t).tolist()) for i, t in texts.items()}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    seen = Counter(x for s in first for x in s)
+    index, pairs = {}, set()
+    for s, i in sorted(first.items(), key=lambda x: len(x[0])):
+        near = set()
+        for x in sorted(s, key=lambda x: (seen[x], x))[: len(s) - (4 * len(s) + 4) // 5 + 1]:
+            near.update(index.setdefault(x, []))
+            index[x].append((i, s))
+        pairs |= {(j, i) for j, t in near if len(s & t) >= 0.8 * len(s | t)}
+    return sets, pairs
+
+
+@pytest.mark.parametrize("name", ["sf0.01", "sf0.1"])
+def test_similar_documents_are_found(spark, name):
+    path = f"/root/testdata/{name}/documents.parquet"
+    texts = {r["doc_id"]: r["text"] for r in pq.read_table(path, columns=["doc_id", "text"]).to_pylist()}
+    sets, pairs = similar_pairs(texts)
+    found = {r.doc_id: r.component_id for r in S.similar_documents(spark.read.parquet(path)).collect()}
+    assert len(found) == len(texts)
+    assert pairs and sum(found[a] == found[b] for a, b in pairs) >= 0.9 * len(pairs)
+    same = {}
+    for i, s in sets.items():
+        same.setdefault(s, set()).add(found[i])
+    assert all(len(c) == 1 for c in same.values())
+    # Whatever shares a component is connected by similar pairs.
+    up = {i: i for i in texts}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in pairs:
+        up[top(a)] = top(b)
+    by_set = {}
+    for i, s in sets.items():
+        up[top(by_set.setdefault(s, i))] = top(i)
+    groups = {}
+    for i, c in found.items():
+        groups.setdefault(c, set()).add(top(i))
+    assert all(len(g) == 1 for g in groups.values())
+
+
+def test_similar_documents_on_odd_rows(spark):
+    text = " ".join(f"word{i}" for i in range(100))
+    near, far = text.replace("word50 ", "other "), " ".join(f"word{i}" if i % 10 else "else" for i in range(100))
+    rows = [(5, text), (3, near), (9, far), (1, None), (2, ""), (4, " "), (None, text.upper()), (6, "a b"), (7, "A  b"), (8, "a b c"), (5, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fp", "2 AS words", "3 AS one")
+    found = S.similar_documents(docs).collect()
+    assert len(found) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in found} == {(5, 3), (3, 3), (9, 9), (1, 1), (2, 1), (4, 1), (None, 3), (6, 6), (7, 6), (8, 8)}
+    kept = S.keep_one(docs, found=S.similar_documents(docs))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 6, 8, 9]
+    assert S.similar_documents(docs.limit(0)).count() == 0
