@@ -257,7 +257,8 @@ def file_scored(spark, sf):
     line = F.concat_ws(",", *cells)
     lines = data.select(F.when(digit == "4", F.concat_ws(",", *cells[:5])).otherwise(line).alias("value"))
     path = f"{_folder(spark)}/upload.csv"
-    lines.withColumnRenamed("value", "row_id,time,pca_1,V_2,v3,AMOUNT,is_fraud").write.options(header=True, quote="", emptyValue="").csv(path)
+    # Whole lines as one column each, so that ragged ones can be written; every part file begins with the header.
+    lines.withColumnRenamed("value", "row_id,time,pca_1,V_2,v3,AMOUNT,is_fraud").write.options(header=True, sep="\u0001").csv(path)
     done = score_file(spark, path, model, {"feature_order": feats, "threshold": 0.485})
     scored = done.ranked.select(F.lit("scored").alias("outcome"))
     return scored.unionByName(done.rejected.select(F.col("reason").alias("outcome"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n_rows"))
