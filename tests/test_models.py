@@ -298,3 +298,15 @@ def test_published_grids_are_supported(spark):
     specs = [*V.expand_grid(M.DT, V.DT_GRID, "dt"), *V.expand_grid(M.RF, V.RF_GRID, "rf"), *V.expand_grid(M.LR, V.LR_GRID, "lr")]
     reasons = [r["reason"] for r in V.search_status(spark, specs).filter("NOT supported").collect()]
     assert len(reasons) == 8 and all("lbfgs" in r for r in reasons)
+
+
+def test_a_fold_table_is_dealt_once_for_all_fits(raw):
+    from riskframe.functions.frames import in_parts, spread
+
+    folds = V.fold_table(raw.dropDuplicates(["row_id"]), COLS, 3)
+    train = in_parts(folds, M.FIT_PARTITIONS).filter("fold <> 1")
+    dealt = spread(folds.filter("fold <> 1"), ["row_id"], M.FIT_PARTITIONS, ordered=True)
+    ids = [df.select("row_id").rdd.glom().collect() for df in (train, dealt)]
+    assert ids[0] == ids[1] and len(ids[0]) == M.FIT_PARTITIONS
+    plan = train._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
