@@ -140,3 +140,23 @@ def test_forests_are_explained_in_groups(spark, data, monkeypatch):
     monkeypatch.setattr(tree_shap, "NODES_AT_ONCE", 20)
     parts = {(r["id"], r["feature"]): r["contribution"] for r in E.explain(model, few, ["id"]).collect()}
     assert whole.keys() == parts.keys() and all(abs(whole[k] - parts[k]) < 1e-12 for k in whole)
+
+
+def test_tabled_gains_equal_the_integral(spark, data):
+    import numpy as np
+
+    from riskframe.operators import tree_shap as T
+    from riskframe.operators.node_trees import node_table
+
+    model = fit(Candidate("rf", RF, ORIGINAL, params={"n_estimators": 5, "max_depth": 4}), data, COLS)
+    leaves = T.leaf_paths(node_table(model.stages[-1], spark).toPandas())
+    x = np.random.default_rng(3).normal(size=(300, len(COLS.features)))
+    x[0, 0] = np.nan
+    table = T.gain_table(leaves, x.shape[1])
+    assert np.abs(T.looked_up(leaves, table, x) - T.contributions_of(leaves, x)).max() < 1e-12
+
+
+def test_rows_to_explain_are_dealt_finely(spark, data):
+    from riskframe.functions.frames import spread
+
+    assert spread(data, ["id"]).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
