@@ -12,7 +12,7 @@ id and the text are read, so other columns can't clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -22,14 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import cut_lineage
-from .common import null_safe, text_hash
+from .common import PIECES, add_pieces, null_safe, pieces_batch, pieces_of, text_hash
 from .components import components
 
 BITS, SHINGLE, SEED, DISTANCE, BLOCKS = 64, 3, 42, 3, 5
 #: Fingerprints compared with each other in one piece; larger groups are cut into pairs of chunks.
 CHUNK = 4096
-#: Candidates of a text in each group, where similarity is verified afterwards.
-PARTNERS = 4
 #: Shingles held at once.
 SLICE = 1 << 16
 
@@ -89,22 +87,7 @@ def _spanning(values: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, n
                 yield np.full(front.size, root), front
 
 
-def _nearest(values: np.ndarray, distance: int, partners: int = PARTNERS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Each value with the closest of the values before it, ``partners`` at most: all pairs of a small group, a sparse net of a large one."""
-    for i in range(0, values.size, 256):
-        part = values[i : i + 256]
-        apart = np.bitwise_count(part[:, None] ^ values[None, : i + part.size]).astype(np.int16)
-        apart[np.arange(part.size)[:, None] + i <= np.arange(apart.shape[1])[None, :]] = BITS + 1  # itself and those after
-        if apart.shape[1] > partners:
-            near = np.argpartition(apart, partners - 1, axis=1)[:, :partners]
-        else:
-            near = np.tile(np.arange(apart.shape[1]), (part.size, 1))
-        rows, at = np.nonzero(np.take_along_axis(apart, near, axis=1) <= distance)
-        if rows.size:
-            yield values[near[rows, at]], part[rows]
-
-
-def _links(group: np.ndarray, value: np.ndarray, distance: int, connect=_spanning) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _links(group: np.ndarray, value: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     starts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [group.size]))
     sizes = np.diff(starts)
     two = starts[:-1][sizes == 2]
@@ -113,10 +96,10 @@ def _links(group: np.ndarray, value: np.ndarray, distance: int, connect=_spannin
     if close.any():
         yield left[close], right[close]
     for i in np.flatnonzero(sizes > 2):
-        yield from connect(value[starts[i] : starts[i + 1]], distance)
+        yield from _spanning(value[starts[i] : starts[i + 1]], distance)
 
 
-def links(fingerprints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, chunk: int = CHUNK, connect=_spanning) -> DataFrame:
+def links(fingerprints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
     """a, b: rows that connect distinct fingerprints (one stored column ``fp``) as their links do.
 
     Groups that share blocks are cut into chunks of bounded size and every pair of chunks is
@@ -140,10 +123,10 @@ def links(fingerprints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCK
             group = np.concatenate((group, batch.column(0).to_numpy()))
             value = np.concatenate((value, batch.column(1).to_numpy()))
             done = int(np.searchsorted(group, group[-1])) if group.size else 0  # the last piece may go on
-            for a, b in _links(group[:done], value[:done], distance, connect):
+            for a, b in _links(group[:done], value[:done], distance):
                 yield pa.record_batch({"a": a, "b": b})
             group, value = group[done:], value[done:]
-        for a, b in _links(group, value, distance, connect):
+        for a, b in _links(group, value, distance):
             yield pa.record_batch({"a": a, "b": b})
 
     return dealt.mapInArrow(compare, "a long, b long")
@@ -160,9 +143,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return marked.join(names, "fp").select(key, "__text", "fp", "component_id")
 
 
-#: Similar documents: words per shingle, least Jaccard similarity of the shingle sets, and the fingerprints
-#: of the sets of words among which they are looked for. Changes that leave 0.8 of the shingles of five words touch few of the words.
-SIMILAR_SHINGLE, SIMILARITY, SIMILAR_DISTANCE, SIMILAR_BLOCKS = 5, 0.8, 8, 11
+#: Similar documents: words per shingle and least Jaccard similarity of the shingle sets.
+SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
+#: Counters of shingles by their hash. They only choose the order in which shingles are taken, not what is found.
+COUNTERS, COUNTERS_STEP = 1 << 18, 1 << 12
+#: Bits of a set's parities, kept as 64-bit integers.
+PARITIES = 512
 
 
 def shingle_set(text: str | None, width: int = SIMILAR_SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -180,32 +166,98 @@ def shingle_set(text: str | None, width: int = SIMILAR_SHINGLE, seed: int = SEED
     return np.unique(h.view(np.int64))
 
 
-def _prints(texts: Iterable[str | None], width: int) -> tuple[list[int], list[int]]:
-    """Per text the hash of its shingle set and the fingerprint of its set of words."""
-    from xxhash import xxh64_intdigest
+def shingle_ranks(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """How frequent each counter's shingles are, over all texts: 0 up to four times the mean, one more per doubling. A few hundred KB."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                sums += 0 if t.as_py() is None else np.bincount(shingle_set(t.as_py(), width) & (COUNTERS - 1), minlength=COUNTERS)
+        found = list(pieces_of(0, sums, COUNTERS_STEP))
+        if found:
+            yield pieces_batch(found)
+
+    sums = np.zeros(COUNTERS, np.int64)
+    for row in add_pieces(docs.select(text).mapInArrow(count, PIECES)).toLocalIterator():
+        v = np.frombuffer(bytes(row.sums), np.int64)
+        sums[row.first : row.first + v.size] = v
+    return np.frexp((sums // max(4 * int(sums.sum()) // COUNTERS, 1)).astype(float))[1].astype(np.uint8)
+
+
+def _prefix(shingles: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles by rank, then hash: as many as a set can't miss all of and still be that similar."""
+    if not shingles.size:
+        return shingles
+    # One more than needed where the product is rounded.
+    size = min(shingles.size, shingles.size - int(np.ceil(similarity * shingles.size - 1e-6)) + 1)
+    return shingles[np.argsort(ranks[shingles & (COUNTERS - 1)], kind="stable")[:size]]
+
+
+def _parity(shingles: np.ndarray) -> list[int]:
+    """Whether the set has an odd number of shingles of each kind; two sets differ in at least as many shingles as parities."""
+    odd = np.bincount(shingles & (PARITIES - 1), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _may_be_similar(a: str, b: str, similarity: float) -> Column:
+    """Whether sets of ``size`` that share their shingles at ``place`` as the first can be that similar."""
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    most = F.least(x - F.col(f"{a}.place"), y - F.col(f"{b}.place"))
+    return most + 1e-6 >= similarity * (x + y - most)
 
-    sets, prints = [], []
-    for text in texts:
-        sets.append(int(np.uint64(xxh64_intdigest(shingle_set(text, width).tobytes())).view(np.int64)))
-        h = shingle_set(text, 1)
-        counts = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
-        prints.append(int(np.packbits(counts * 2 > h.size, bitorder="little").view(np.int64)[0]))
-    return sets, prints
 
+def _candidates(met: DataFrame, similarity: float) -> DataFrame:
+    """one, two: pairs of ``met`` (shingle, size, fp, place) next to each other or with the first, of every shingle."""
+    own = F.struct("size", "fp", "place")
+    along = Window.partitionBy("shingle").orderBy("size", "fp")
+    near = met.select(own.alias("b"), F.array_distinct(F.array(F.lag(own).over(along), F.first(own).over(along))).alias("others"))
+    near = near.select("b", F.explode("others").alias("a")).filter(F.col("a").isNotNull() & (F.col("a.fp") != F.col("b.fp")))
+    return _ordered(near.filter(_may_be_similar("a", "b", similarity)))
 
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY,
-                      distance: int = SIMILAR_DISTANCE, blocks: int = SIMILAR_BLOCKS) -> DataFrame:
+
+def _candidates_across(met: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """one, two: all pairs of ``met`` (shingle, size, fp, place, group) that share a shingle and no group.
+
+    The rows of a shingle are cut into chunks of bounded size and every pair of chunks is a piece, so a frequent one is spread over tasks.
+    """
+    counted = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("low"), F.max("group").alias("high"))
+    mixed = cut_lineage(counted.filter("low != high").select("shingle", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")))
+    dealt = met.join(mixed, "shingle").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = cut_lineage(dealt.select("shingle", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "size", "fp", "place", "group"))
+    piece = ["shingle", "i", "j"]
+    left = dealt.select(*piece, F.struct("size", "fp", "place", "group").alias("a"))
+    right = dealt.select(*piece, F.struct("size", "fp", "place", "group").alias("b"))
+    both = left.join(right, piece).filter((F.col("a.fp") < F.col("b.fp")) & (F.col("a.group") != F.col("b.group")))
+    return _ordered(both.filter(_may_be_similar("a", "b", similarity)))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a.fp", "b.fp").alias("one"), F.greatest("a.fp", "b.fp").alias("two")).distinct()
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """key, __text, fp (hash of the shingle set), component_id (smallest key that can be reached) per row.
 
-    Fingerprints of word sets that differ in ``distance`` bits at most are found by shared blocks; in every block group each is then paired with
-    the closest ones before it, so a group of copies gives few pairs per member, and a pair counts if the shingle sets have that Jaccard similarity. Documents of one shingle set are one
-    class, so copies are never paired. A similar pair farther apart in its fingerprints is missed (tests measure the recall).
+    Documents are linked if their shingle sets have that Jaccard similarity, and no link is missed: in any one order of all shingles two such
+    sets share one of their first (a fifth and one more, for 0.8), so the pairs that share one are compared. Rare shingles come first. Documents of one shingle
+    set are one class, so copies are never paired. Each class is compared with its neighbours under a shingle first; what that connects
+    needs no more comparing, so a large group of near copies gives a few pairs per member, and then all pairs between groups are compared.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
-            sets, prints = _prints((t.as_py() for t in batch.column(2)), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.int64()), pa.array(prints, pa.int64())], names=[key, "__text", "fp", "words"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = [shingle_set(t.as_py(), width) for t in part.column(2)]
+                fp = [int(np.uint64(xxh64_intdigest(s.tobytes())).view(np.int64)) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(fp, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([_prefix(s, ranks.value, similarity) for s in sets], pa.list_(pa.int64())),
+                     pa.array(map(_parity, sets), pa.list_(pa.int64()))],
+                    names=[key, "__text", "fp", "size", "prefix", "parity"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,25 +266,34 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 found = [shingle_set(t.as_py(), width) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["fp", "shingles"])
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        # What the parities rule out never needs its shingles.
+        facts = classes.select("fp", F.struct("size", "parity").alias("f"))
+        told = pairs.join(facts.toDF("one", "x"), "one").join(facts.toDF("two", "y"), "two")
+        apart = F.aggregate(F.zip_with("x.parity", "y.parity", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+        total = F.col("x.size") + F.col("y.size")
+        pairs = cut_lineage(told.filter(total - apart + 1e-6 >= similarity * (total + apart)).select("one", "two"))
+        asked = pairs.select(F.col("one").alias("fp")).union(pairs.select(F.col("two").alias("fp"))).distinct()
+        named = cut_lineage(classes.join(asked, "fp").select(F.col(f"k.{key}").alias(key), F.col("k.__text").alias("__text"), "fp"))
+        texts = null_safe(rows, named, [key, "__text"], "inner").dropDuplicates(["fp"]).select("fp", text)
+        sets = cut_lineage(texts.mapInArrow(expand, "fp long, shingles array<long>"))
+        both = pairs.join(sets.select(F.col("fp").alias("one"), F.col("shingles").alias("x")), "one").join(sets.select(F.col("fp").alias("two"), F.col("shingles").alias("y")), "two")
+        both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
+        return both.filter(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select("one", "two")
+
     kind = docs.select(key).schema[0].dataType.simpleString()
     rows = docs.select(key, text_hash(text).alias("__text"), text)
-    marked = cut_lineage(rows.mapInArrow(mark, f"`{key}` {kind}, __text long, fp long, words long"))
+    ranks = docs.sparkSession.sparkContext.broadcast(shingle_ranks(docs, text, width))
+    marked = cut_lineage(rows.mapInArrow(mark, f"`{key}` {kind}, __text long, fp long, size long, prefix array<long>, parity array<long>"))
     first = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key), F.col("__text")))
-    classes = cut_lineage(marked.groupBy("fp").agg(F.any_value("words").alias("words"), first.alias("k")))
-    # Classes of one fingerprint are paired with its first few, and these with those of close fingerprints.
-    heads = cut_lineage(classes.select("words", F.col("fp").alias("head")).withColumn("place", F.row_number().over(Window.partitionBy("words").orderBy("head"))).filter(F.col("place") <= PARTNERS))
-    met = cut_lineage(links(heads.filter("place = 1").select(F.col("words").alias("fp")), distance, blocks, connect=_nearest).distinct())
-    pairs = met.join(heads.select(F.col("words").alias("a"), F.col("head").alias("one")), "a").join(heads.select(F.col("words").alias("b"), F.col("head").alias("two")), "b")
-    pairs = pairs.select("one", "two").union(classes.join(heads, "words").filter("fp > head").select(F.col("head").alias("one"), F.col("fp").alias("two")))
-    pairs = cut_lineage(pairs.distinct())
-    asked = pairs.select(F.col("one").alias("fp")).union(pairs.select(F.col("two").alias("fp"))).distinct()
-    named = cut_lineage(classes.join(asked, "fp").select(F.col(f"k.{key}").alias(key), F.col("k.__text").alias("__text"), "fp"))
-    texts = null_safe(rows, named, [key, "__text"], "inner").dropDuplicates(["fp"]).select("fp", text)
-    sets = cut_lineage(texts.mapInArrow(expand, "fp long, shingles array<long>"))
-    both = pairs.join(sets.select(F.col("fp").alias("one"), F.col("shingles").alias("x")), "one").join(sets.select(F.col("fp").alias("two"), F.col("shingles").alias("y")), "two")
-    both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
-    close = both.filter(F.col("shared") >= similarity * (F.size("x") + F.size("y") - F.col("shared"))).select("one", "two")
-    roots = cut_lineage(components(close))
+    classes = cut_lineage(marked.groupBy("fp").agg(F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"), F.any_value("parity").alias("parity"), first.alias("k")))
+    keyed = classes.select("size", "fp", F.posexplode("prefix").alias("place", "shingle"))
+    alone = F.count(F.lit(1)).over(Window.partitionBy("shingle")) == 1
+    met = cut_lineage(keyed.withColumn("alone", alone).filter("NOT alone").drop("alone"))
+    near = cut_lineage(verified(_candidates(met, similarity)))
+    joined = cut_lineage(components(near).select(F.col("node").alias("fp"), "root"))
+    grouped = cut_lineage(met.join(joined, "fp", "left").select("shingle", "size", "fp", "place", F.coalesce("root", "fp").alias("group")))
+    roots = cut_lineage(components(near.union(verified(_candidates_across(grouped, similarity)))))
     known = classes.select("fp", F.col(f"k.{key}").alias("first"))
     least = roots.join(known, roots["node"] == known["fp"]).groupBy("root").agg(F.min("first").alias("least"))
     moved = roots.join(least, "root").select(F.col("node").alias("fp"), "least")

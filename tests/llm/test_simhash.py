@@ -1,5 +1,6 @@
 """SimHash groups against a plain implementation that compares all pairs."""
 
+import random
 import re
 from collections import Counter
 
@@ -165,3 +166,33 @@ def test_similar_documents_on_odd_rows(spark):
     kept = S.keep_one(docs, found=S.similar_documents(docs))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 6, 8, 9]
     assert S.similar_documents(docs.limit(0)).count() == 0
+
+
+def test_no_similar_pair_is_lost_in_large_groups(spark, monkeypatch):
+    """Many texts share long passages; every text's only similar one is among many that are nearly similar."""
+    rng = random.Random(5)
+    passage = [f"common{i}" for i in range(75)]
+    texts = {}
+    for i in range(60):
+        own = [f"own{i}x{j}" for j in range(25)]
+        texts[1000 + i] = " ".join(passage + own)
+        at = rng.randrange(5, 70)
+        texts[i] = " ".join(passage[:at] + [f"edit{i}"] + passage[at + 1 :] + own)
+    for i in range(100, 200):  # copies of one text, each edited elsewhere
+        words = [f"near{j}" for j in range(100)]
+        words[i - 100] = f"edit{i}"
+        texts[i] = " ".join(words)
+    monkeypatch.setattr(S, "CHUNK", 16)
+    sets, pairs = similar_pairs(texts)
+    assert {(i, 1000 + i) for i in range(60)} <= {(min(p), max(p)) for p in pairs}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in S.similar_documents(docs).collect()}
+    assert found == {i: i % 1000 if i < 100 or i >= 1000 else 100 for i in texts}
+
+
+def test_similar_documents_miss_no_link(spark):
+    path = "/root/testdata/sf0.1/documents.parquet"
+    texts = {r["doc_id"]: r["text"] for r in pq.read_table(path, columns=["doc_id", "text"]).to_pylist()}
+    _, pairs = similar_pairs(texts)
+    found = {r.doc_id: r.component_id for r in S.similar_documents(spark.read.parquet(path)).collect()}
+    assert pairs and [p for p in pairs if found[p[0]] != found[p[1]]] == []
