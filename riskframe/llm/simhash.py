@@ -172,8 +172,9 @@ def shingle_ranks(docs: DataFrame, text: str, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for t in batch.column(0):
-                sums += 0 if t.as_py() is None else np.bincount(shingle_set(t.as_py(), width) & (COUNTERS - 1), minlength=COUNTERS)
+            for i in range(0, batch.num_rows, 256):
+                found = [shingle_set(t.as_py(), width) for t in batch.column(0).slice(i, 256)]
+                sums += np.bincount(np.concatenate(found) & (COUNTERS - 1), minlength=COUNTERS)
         found = list(pieces_of(0, sums, COUNTERS_STEP))
         if found:
             yield pieces_batch(found)
