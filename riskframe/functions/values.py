@@ -18,6 +18,11 @@ INF = float("inf")
 # Text read as a number: a decimal with optional exponent, or a spelled-out special value.
 NUMBER_TEXT = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 
+# Digits, points and signs alone: what casts to a number here is one by NUMBER_TEXT as well.
+PLAIN_TEXT = r"^[0-9.+-]*$"
+#: Types whose cells are the same numbers by a cast as by way of their text.
+NUMBERS = (T.DoubleType, T.LongType, T.IntegerType, T.ShortType, T.ByteType)
+
 
 def quoted(name: str) -> Column:
     """A column by its whole name, dots and spaces included."""
@@ -57,7 +62,13 @@ def required(c: str | Column, what: str) -> Column:
 def to_double(c: str | Column) -> Column:
     """Text or number to double; text that is no number becomes null."""
     text = col(c).cast("string")
-    return F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
+    return F.when(text.rlike(PLAIN_TEXT) | text.rlike(NUMBER_TEXT), text.try_cast("double"))
+
+
+def number_of(df: DataFrame, name: str) -> Column:
+    """``to_double`` of a column; a column of numbers is not spelled out first."""
+    c = quoted(name)
+    return c.cast("double") if isinstance(df.schema[name].dataType, NUMBERS) else to_double(c)
 
 
 def safe_div(a: Column, b: Column, default: float = 0.0) -> Column:

@@ -148,3 +148,25 @@ def test_documents_and_guards(spark, tmp_path):
     assert first_existing(spark, [str(tmp_path / "no")]) is None
     path = write_csv(tmp_path / "t.csv", [["id", "x"], ["1", "2.5"]])
     assert read_table(spark, path).first()["x"] == 2.5
+
+
+def test_cells_are_read_once_for_each_use_of_the_reason(spark):
+    """A filter on the reason took every cell's pattern again for each of its tests."""
+    from riskframe.operators.columns import quarantine
+
+    rows = spark.createDataFrame([("1", "2")], "V1 string, Amount string")
+    for part in quarantine(rows.filter("V1 is not null"), ["V1", "Amount"]):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert 2 <= plan.count("infinity|nan") <= 4  # a column is read by the filter and for the reason at most
+
+
+def test_numbers_are_the_same_as_text_and_as_columns(spark):
+    from riskframe.functions.values import NUMBER_TEXT, number_of, to_double
+
+    texts = ["1", "-1.5", "+.5", "1.", ".", "", "-", "1-2", "1e5", "1.0E-7", "inf", "-Infinity", "NaN", "1d", "1f", "0x1p3", " 2 ", "2\n", "2\u0085", " 2", "true", "--1", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.when(F.col("t").rlike(NUMBER_TEXT), F.col("t").try_cast("double"))
+    assert df.filter(~plain.eqNullSafe(to_double("t"))).collect() == []
+    numbers = spark.createDataFrame([(0.1, 2**53 + 1), (float("nan"), -1), (float("-inf"), 0), (-0.0, None), (None, 7)], "d double, l long")
+    assert numbers.filter(~(to_double("d").eqNullSafe(number_of(numbers, "d")) & to_double("l").eqNullSafe(number_of(numbers, "l")))).collect() == []
+    assert "rlike" not in numbers.select(number_of(numbers, "d").alias("x"))._jdf.queryExecution().optimizedPlan().toString().lower()
