@@ -294,6 +294,29 @@ def test_candidates_that_share_a_grown_tree(raw):
         assert {r["row_id"]: r["score"] for r in alone} == pytest.approx({k[1]: s for k, s in got.items() if k[0] == spec.candidate_id})
 
 
+def test_scores_of_trees_are_stored_once_with_their_number(raw):
+    """A grid stored every held-out row once for each of its candidates."""
+    specs = V.expand_grid(M.DT, {"max_depth": [1, 2]})
+    folds = V.fold_table(raw, COLS, 2)
+    counted, whole = V.validate(specs, folds, COLS, 2, counted=True), V.validate(specs, folds, COLS, 2)
+    sizes = {r[0]: (r[1], r[2]) for r in counted.scores.groupBy("candidate_id").agg(F.count("n"), F.sum("n")).collect()}
+    assert all(n == 630 for _, n in sizes.values()) and all(stored <= 16 for stored, _ in sizes.values())
+    assert COLS.key not in counted.scores.columns
+    a, b = (V.fold_results(specs, v).drop("fit_time_seconds", "score_time_seconds").orderBy("candidate_id", "fold").collect() for v in (counted, whole))
+    assert [r[:5] for r in a] == [r[:5] for r in b] and all(x[5:] == pytest.approx(y[5:], abs=1e-12) for x, y in zip(a, b))
+
+
+def test_the_chosen_candidate_is_not_fitted_again(raw, monkeypatch):
+    from riskframe.plans import select_and_freeze
+
+    fits, fit, tree = [], V.fit, TREE.with_params(max_depth=1)
+    monkeypatch.setattr(V, "fit", lambda spec, *a, **o: fits.append(spec.candidate_id) or fit(spec, *a, **o))
+    _, tables = select_and_freeze([tree], raw, COLS, k=2)
+    assert len(fits) == 2
+    scores = {r["row_id"]: r["score"] for r in V.oof_scores(tree, raw, COLS, 2).collect()}
+    assert {r["row_id"]: r["score"] for r in tables["oof_scores"].collect()} == scores and len(scores) == 630
+
+
 def test_published_grids_are_supported(spark):
     specs = [*V.expand_grid(M.DT, V.DT_GRID, "dt"), *V.expand_grid(M.RF, V.RF_GRID, "rf"), *V.expand_grid(M.LR, V.LR_GRID, "lr")]
     reasons = [r["reason"] for r in V.search_status(spark, specs).filter("NOT supported").collect()]
