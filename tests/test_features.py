@@ -135,3 +135,27 @@ def test_neighbours_through_a_deep_tree(spark):
         away = np.sqrt(((x - x[i]) ** 2).cumsum(axis=1)[:, -1])
         order = [j for j in np.lexsort((np.arange(len(x)), away)) if j != i][:3]
         assert [n for _, n in sorted(got[i])] == order
+
+
+def test_no_row_is_stored_for_a_point_and_a_leaf(spark, monkeypatch):
+    """In many dimensions nearly all leaves stay open; a point must not be written once for each of them."""
+    from riskframe.operators import neighbours as K
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 16))
+    df = spark.createDataFrame([(f"p{i}", r.tolist()) for i, r in enumerate(x)], "id string, x array<double>")
+    sizes, store = [], K.cut_lineage
+
+    def stored(frame):
+        kept = store(frame)
+        sizes.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(K, "cut_lineage", stored)
+    got = {}
+    for r in nearest_neighbours(df, "id", "x", 2, leaf_rows=16).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    for i in range(600):
+        order = np.argsort(((x - x[i]) ** 2).sum(axis=1))
+        assert [n for _, n in sorted(got[f"p{i}"])] == [f"p{j}" for j in order if j != i][:2]
+    assert max(sizes) <= 5 * 600
