@@ -160,3 +160,24 @@ def test_rows_to_explain_are_dealt_finely(spark, data):
     from riskframe.functions.frames import spread
 
     assert spread(data, ["id"]).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_steps_of_sampled_walks_are_not_shuffled(spark, data):
+    def score(rows):
+        return rows.withColumn("score", F.col("a") * 2 + F.col("b"))
+
+    few = data.select("id", "a", "b").filter("id < 12")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = E.sampled_shap(score, few, ["a", "b"], few, ["id"], permutations=3)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        once = {(r["id"], r["feature"]): r["contribution"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The sums per row stay where the walks came together, and strings or arrays are not sorted for them.
+    assert "hashpartitioning(id#" not in plan and "SortAggregate" not in plan
+    assert len(once) == 24
+    # Rows of one key are summed together.
+    pair = E.sampled_shap(score, few.union(few), ["a", "b"], few, ["id"], permutations=3)
+    twice = {(r["id"], r["feature"]): r["contribution"] for r in pair.collect()}
+    assert twice.keys() == once.keys() and all(twice[k] == pytest.approx(2 * v) for k, v in once.items())
