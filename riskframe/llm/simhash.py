@@ -238,13 +238,26 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a.fp", "b.fp").alias("one"), F.greatest("a.fp", "b.fp").alias("two")).distinct()
 
 
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _linked_classes(linked: DataFrame, marked: DataFrame, key: str) -> DataFrame:
+    """one, two: pairs of ``marked``'s fingerprints that connect what ``linked`` connects, at most one row per fingerprint and component."""
+    # A component without any key is known by its rows' fingerprints.
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("~"), F.hex("fp")))
+    groups = linked.select(key, "__text", group.alias("group")).distinct()
+    members = null_safe(marked.select(key, "__text", "fp").distinct(), groups, [key, "__text"], "inner").select("group", "fp").distinct()
+    members = cut_lineage(members)
+    least = members.groupBy("group").agg(F.min("fp").alias("one"), F.max("fp").alias("last")).filter("one < last")
+    return members.join(least, "group").filter("fp != one").select("one", F.col("fp").alias("two")).distinct()
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY,
+                      linked: DataFrame | None = None) -> DataFrame:
     """key, __text, fp (hash of the shingle set), component_id (smallest key that can be reached) per row.
 
     Documents are linked if their shingle sets have that Jaccard similarity, and no link is missed: in any one order of all shingles two such
     sets share one of their first (a fifth and one more, for 0.8), so the pairs that share one are compared. Rare shingles come first. Documents of one shingle
     set are one class, so copies are never paired. Each class is compared with its neighbours under a shingle first; what that connects
     needs no more comparing, so a large group of near copies gives a few pairs per member, and then all pairs between groups are compared.
+    What ``linked`` (as from ``near_duplicates`` of the same rows) holds in one component is linked as well.
     """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +304,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     keyed = classes.select("size", "fp", F.posexplode("prefix").alias("place", "shingle"))
     alone = F.count(F.lit(1)).over(Window.partitionBy("shingle")) == 1
     met = cut_lineage(keyed.withColumn("alone", alone).filter("NOT alone").drop("alone"))
-    near = cut_lineage(verified(_candidates(met, similarity)))
+    near = verified(_candidates(met, similarity))
+    near = cut_lineage(near if linked is None else near.union(_linked_classes(linked, marked, key)))
     joined = cut_lineage(components(near).select(F.col("node").alias("fp"), "root"))
     grouped = cut_lineage(met.join(joined, "fp", "left").select("shingle", "size", "fp", "place", F.coalesce("root", "fp").alias("group")))
     roots = cut_lineage(components(near.union(verified(_candidates_across(grouped, similarity)))))
