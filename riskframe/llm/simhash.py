@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import cut_lineage
-from .common import PIECES, add_pieces, null_safe, pieces_batch, pieces_of, text_hash
+from .common import BROADCAST_BYTES, PIECES, add_pieces, null_safe, pieces_batch, pieces_of, text_hash
 from .components import components
 
 BITS, SHINGLE, SEED, DISTANCE, BLOCKS = 64, 3, 42, 3, 5
@@ -147,6 +147,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 SIMILAR_SHINGLE, SIMILARITY = 5, 0.8
 #: Counters of shingles by their hash. They only choose the order in which shingles are taken, not what is found.
 COUNTERS, COUNTERS_STEP = 1 << 18, 1 << 12
+#: Bytes of a row that says what becomes of an id and text, as an estimate.
+SPECIAL_BYTES = 32
 #: Bits of a set's parities, kept as 64-bit integers.
 PARITIES = 512
 
@@ -201,6 +203,20 @@ def _parity(shingles: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
+def _fine_parity(shingles: np.ndarray) -> bytes:
+    """The same with a kind for every shingle or more (a power of two): a bit or two per shingle, so that large sets are told apart too."""
+    width = max(PARITIES, 1 << max(int(shingles.size) - 1, 0).bit_length())
+    return np.packbits((np.bincount(shingles & (width - 1), minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def _odd(one: bytes, two: bytes) -> int:
+    """How many parities differ, at the narrower set's width: the halves of a parity make up the next narrower one."""
+    x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+    n = min(x.size, y.size)
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _may_be_similar(a: str, b: str, similarity: float) -> Column:
     """Whether sets of ``size`` that share their shingles at ``place`` as the first can be that similar."""
     x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
@@ -270,8 +286,15 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 fp = [int(np.uint64(xxh64_intdigest(s.tobytes())).view(np.int64)) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(fp, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([_prefix(s, ranks.value, similarity) for s in sets], pa.list_(pa.int64())),
-                     pa.array(map(_parity, sets), pa.list_(pa.int64()))],
-                    names=[key, "__text", "fp", "size", "prefix", "parity"])
+                     pa.array(map(_parity, sets), pa.list_(pa.int64())), pa.array(map(_fine_parity, sets), pa.binary())],
+                    names=[key, "__text", "fp", "size", "prefix", "parity", "fine"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = np.fromiter(map(_odd, batch.column(3).to_pylist(), batch.column(4).to_pylist()), np.int64, batch.num_rows)
+            total = batch.column(2).to_numpy()
+            likely = total - odd + 1e-6 >= similarity * (total + odd)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(likely)) for i in range(2)], names=["one", "two"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,7 +309,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         told = pairs.join(facts.toDF("one", "x"), "one").join(facts.toDF("two", "y"), "two")
         apart = F.aggregate(F.zip_with("x.parity", "y.parity", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
         total = F.col("x.size") + F.col("y.size")
-        pairs = cut_lineage(told.filter(total - apart + 1e-6 >= similarity * (total + apart)).select("one", "two"))
+        told = cut_lineage(told.filter(total - apart + 1e-6 >= similarity * (total + apart)).select("one", "two", total.alias("total")))
+        fine = classes.select("fp", "fine")
+        told = told.join(fine.toDF("one", "x"), "one").join(fine.toDF("two", "y"), "two").select("one", "two", "total", "x", "y")
+        pairs = cut_lineage(told.mapInArrow(compare, "one long, two long"))
         asked = pairs.select(F.col("one").alias("fp")).union(pairs.select(F.col("two").alias("fp"))).distinct()
         named = cut_lineage(classes.join(asked, "fp").select(F.col(f"k.{key}").alias(key), F.col("k.__text").alias("__text"), "fp"))
         texts = null_safe(rows, named, [key, "__text"], "inner").dropDuplicates(["fp"]).select("fp", text)
@@ -298,10 +324,12 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     kind = docs.select(key).schema[0].dataType.simpleString()
     rows = docs.select(key, text_hash(text).alias("__text"), text)
     ranks = docs.sparkSession.sparkContext.broadcast(shingle_ranks(docs, text, width))
-    marked = cut_lineage(rows.mapInArrow(mark, f"`{key}` {kind}, __text long, fp long, size long, prefix array<long>, parity array<long>"))
+    marked = cut_lineage(rows.mapInArrow(mark, f"`{key}` {kind}, __text long, fp long, size long, prefix array<long>, parity array<long>, fine binary"))
     first = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key), F.col("__text")))
-    classes = cut_lineage(marked.groupBy("fp").agg(F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"), F.any_value("parity").alias("parity"), first.alias("k")))
-    keyed = classes.select("size", "fp", F.posexplode("prefix").alias("place", "shingle"))
+    classes = cut_lineage(marked.groupBy("fp").agg(F.any_value("size").alias("size"), F.any_value("parity").alias("parity"), F.any_value("fine").alias("fine"), first.alias("k")))
+    # The prefixes, most of what is held here, are not stored once more by class.
+    prefixes = marked.groupBy("fp").agg(F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
+    keyed = prefixes.select("size", "fp", F.posexplode("prefix").alias("place", "shingle"))
     alone = F.count(F.lit(1)).over(Window.partitionBy("shingle")) == 1
     met = cut_lineage(keyed.withColumn("alone", alone).filter("NOT alone").drop("alone"))
     near = verified(_candidates(met, similarity))
@@ -329,6 +357,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", found: Da
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("~"), F.hex("fp")))
     kept = found.groupBy(group.alias("group")).agg(F.min(order).alias("k"))
     kept = kept.select(F.col(f"k.{key}").alias(key), F.col("k.__text").alias("__text"))
-    lost = null_safe(found.select(key, "__text").distinct(), kept, [key, "__text"], "left_anti")
-    left = null_safe(docs.withColumn("__text", text_hash(text)), cut_lineage(lost), [key, "__text"], "left_anti")
-    return left.dropDuplicates([key, "__text"]).drop("__text")
+    # What is lost or comes more than once is told by id and hash; only rows that come more than once are shuffled with their texts.
+    seen = found.groupBy(key, "__text").agg(F.count(F.lit(1)).alias("n"))
+    kept = kept.withColumn("kept", F.lit(True))
+    special = cut_lineage(null_safe(seen, kept, [key, "__text"], "left").filter("kept IS NULL OR n > 1").select(key, "__text", F.col("kept").isNull().alias("__lost")))
+    size = special.count() * SPECIAL_BYTES
+    told = docs.withColumn("__text", text_hash(text))
+    told = null_safe(told, F.broadcast(special) if size <= BROADCAST_BYTES else special, [key, "__text"], "left")
+    once = told.filter("__lost IS NULL").select(docs.columns)
+    more = told.filter("NOT __lost").dropDuplicates([key, "__text"]).select(docs.columns)
+    return once.unionByName(more)

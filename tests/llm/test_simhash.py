@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from xxhash import xxh64_intdigest
@@ -196,3 +197,30 @@ def test_similar_documents_miss_no_link(spark):
     _, pairs = similar_pairs(texts)
     found = {r.doc_id: r.component_id for r in S.similar_documents(spark.read.parquet(path)).collect()}
     assert pairs and [p for p in pairs if found[p[0]] != found[p[1]]] == []
+
+
+def test_parities_tell_large_sets_apart_and_rule_no_similar_pair_out():
+    rng = np.random.default_rng(8)
+    for size in (1, 60, 700, 3_000, 5_000):
+        one = np.unique(rng.integers(-(2**62), 2**62, size))
+        for part in (0.0, 0.5, 0.85, 1.0):
+            two = np.unique(np.concatenate((one[: int(part * size)], rng.integers(-(2**62), 2**62, max(size // 3, 1)))))
+            apart = np.setxor1d(one, two).size
+            odd = S._odd(S._fine_parity(one), S._fine_parity(two))
+            assert odd <= apart and (apart - odd) % 2 == 0
+        assert S._odd(S._fine_parity(one), S._fine_parity(one)) == 0
+        other = np.unique(rng.integers(-(2**62), 2**62, size))
+        total, odd = one.size + other.size, S._odd(S._fine_parity(one), S._fine_parity(other))
+        # Sets without a common shingle never come to a comparison.
+        assert total - odd < 0.8 * (total + odd)
+    assert S._odd(S._fine_parity(one[:0]), S._fine_parity(one[:3])) == 3
+
+
+def test_keep_one_shuffles_texts_only_where_rows_repeat(spark, monkeypatch):
+    rows = [(1, "a b c", "x"), (2, "a b c", "y"), (1, "a b c", "z"), (None, "d e", "x"), (None, "d e", "x"), (3, None, "x"), (4, "f", "x"), (4, "g", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    for most in (S.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(S, "BROADCAST_BYTES", most)
+        left = S.keep_one(docs, found=S.similar_documents(docs))
+        assert left.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, "d e"), (1, "a b c"), (3, ""), (4, "f"), (4, "g")]
