@@ -123,3 +123,67 @@ def test_tables_less_the_sample_are_those_learned_without_it():
     assert all((a == b).all() for a, b in zip(left, want))
     once = tables({(0, b"dog"): 1})
     assert [int(t.sum()) for t in once] == [int(once[0].sum())] * 4 and once[0].any()
+
+
+def test_weights_are_carried_to_the_end_of_a_text(monkeypatch):
+    """From the first decision to the last, however the text is cut into rounds and whatever is read beside it."""
+    mixer = small_model()
+    texts = [b"zzz qqq the " * 400, b"la casa " * 700, b"the cat", b""]
+    docs = [[*t.split(), b""] for t in texts]
+    kinds = [mixer.classes.of(d) for d in docs]
+    known = M.Known(mixer)
+    ids = [known.ids(d, k) for d, k in zip(docs, kinds)]
+    known.complete()
+
+    def plain(words, kind):
+        _, _, x, gate, bit = mixer.inputs(words, np.full(len(words), kind))
+        w, total = mixer.weights.astype(float).copy(), 0.0
+        for d in range(len(bit)):
+            p = 1 / (1 + math.exp(-float(x[d] @ w[gate[d]])))
+            total += math.log(p if bit[d] else 1 - p)
+            w[gate[d]] += M.RATE * (int(bit[d]) - p) * x[d]
+        return (total + mixer.classes.log_share[kind]) / math.log(10)
+
+    want = [plain(d, k) for d, k in zip(docs, kinds)]
+    for most in (1, 100, M.ROUND):
+        monkeypatch.setattr(M, "ROUND", most)
+        assert np.allclose(mixer.log10(ids, known, np.array(kinds)), want, rtol=1e-4)
+
+
+def test_lanes_and_forgotten_words_change_no_score(spark, monkeypatch):
+    words = "the cat sat on a mat in la casa de noche".split()
+    rows = [(i, " ".join(words[(i * 7 + j * j) % len(words)] + ("" if j % 5 else str(i)) for j in range(i * 13 % 97))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    training = docs.filter("doc_id < 40")
+
+    def scores():
+        return {r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 2)) for r in M.score(docs, training).collect()}
+
+    want = scores()
+    for name, value in (("TOKENS", 50), ("LANES", 3), ("LANE_WORDS", 120), ("KEPT_DECISIONS", 500), ("ROUND", 64)):
+        monkeypatch.setattr(M, name, value)
+    got = scores()
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=0.02) for k in want)
+
+
+def test_classes_are_counted_over_all_texts(spark, monkeypatch):
+    """A language that the sample does not hold shapes the distributions, shares and words all the same."""
+    rows = [(i, "the cat sat on the mat") for i in range(20)] + [(100 + i, "la casa de la noche") for i in range(60)]
+    training = spark.createDataFrame(rows, "doc_id long, text string")
+    top = [b"the", b"la", b"casa", b"cat", b"de", b"noche", b"mat", b"on", b"sat"]
+    start = M.fit_classes([b"the cat sat on the mat".split(), b"the cat casa".split()], classes=2, top=top)
+    found = M.settle_classes(training, start)
+    one, two = found.of(b"the cat".split()), found.of(b"la casa".split())
+    assert one != two and abs(math.exp(found.log_share[two]) - 60.5 / 81) < 1e-9
+    word = np.array([0.1] * len(top))
+    for w, n in ((b"la", 120), (b"casa", 60), (b"de", 60), (b"noche", 60)):
+        word[top.index(w)] += n
+    assert np.allclose(np.exp(found.log_word[two]), word / word.sum())
+    monkeypatch.setattr(M, "SAMPLE", 1)
+    seen = []
+    monkeypatch.setattr(M, "train", lambda counts, classes, sample: seen.append(classes) or train(counts, classes, sample))
+    M.score(training, training).count()
+    assert len(seen[0].place) == 9 and abs(np.exp(seen[0].log_share).sum() - 1) < 1e-9
+
+
+train = M.train
